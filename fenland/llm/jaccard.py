@@ -21,7 +21,6 @@ Nulls and empty texts have an empty set and are linked with nothing; null ids ke
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,11 @@ from .kernel import U, blocks, heads, mix, shingles, words
 
 SMALL = 64
 HOT = 48
-#: Leader rounds before the pairs left are tested one by one, and pairs a row of a group that end the rounds early.
+#: Leader rounds before the pairs left are tested one by one, and pairs a row of a group that end the rounds early, as does a
+#: round that finds a link for fewer than one row in a thousand.
 ROUNDS, PAIRS_A_ROW = 6, 4
+#: The bits of two sets' parities that differ are at most as many as the elements that do.
+PARITY = 1024
 
 
 def linked(same, a, b):
@@ -53,11 +55,20 @@ def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return row, h, size, digest
 
 
-def digests(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def parity(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """PARITY bits of each set as longs: whether an odd number of its elements falls on the bit."""
+    cell = row * PARITY + (mix(h + U(77)) % U(PARITY)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, PARITY), axis=1, bitorder="little").view(np.int64)
+
+
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch, "text"):
-            _, _, size, digest = sets(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(id_type), pa.array(size, pa.int64()), pa.array(digest.view(np.int64))], ["doc_id", "n_shingles", "node"])
+            row, h, size, digest = sets(b.column("text"))
+            bits = parity(row, h, len(size))
+            ends = np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.ravel()))], ["doc_id", "n_shingles", "node", "bits"])
 
 
 def schemes(size: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -186,76 +197,90 @@ def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for b in blocks(batch, "text"):
             row, h, size, digest = sets(b.column("text"))
             ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["node", "n", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["node", "features"])
 
 
-def verified(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked."""
-    left, right = (features.select(F.col("node").alias(x), F.col("features").alias(f"f{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(linked(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"))).select("a", "b")
+def features_of(slim: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, features) of the wanted nodes, made again from the text of one document each."""
+    firsts = written(sized_join(known, wanted, "node", "left_semi").select(F.col("doc_id").alias("first")).distinct(), "jaccard-firsts")
+    texts = sized_join(slim, firsts, slim["doc_id"].eqNullSafe(firsts["first"]), "left_semi")
+    made = texts.select("text").mapInArrow(emit_features, "node long, features array<long>")
+    return written(sized_join(made, wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-features")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document; see the module."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    nodes = written(slim.mapInArrow(partial(digests, id_type=pa.int64()), "doc_id long, n_shingles long, node long"), "jaccard-nodes")
+def verified(pairs: DataFrame, slim: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked: sizes and parities sort most others out before texts are read."""
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    near = written(pairs.where(7 * apart <= F.col("na") + F.col("nb")).select("a", "b"), "jaccard-near")
+    wanted = written(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "jaccard-tested")
+    features = features_of(slim, known, wanted)
+    for x in "ab":
+        near = near.join(features.select(F.col("node").alias(x), F.col("features").alias(f"f{x}")), x)
+    return near.where(linked(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"))).select("a", "b")
+
+
+def candidate_groups(slim: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups(sig, node, n), in one of which any two linked nodes meet, and known(node, n, bits, doc_id) of their nodes."""
     met = meetings(slim.select("text").mapInArrow(emit_signatures, "sig long, node long"), "jaccard-met")
     often = written(met.groupBy("sig").count().where(F.col("count") > HOT).select("sig"), "jaccard-often")
     wanted = written(met.select("node").distinct(), "jaccard-wanted")
-    firsts = written(sized_join(nodes, wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "jaccard-firsts")
-    texts = sized_join(slim, firsts, slim["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
-    features = written(sized_join(texts.select("text").mapInArrow(emit_features, "node long, n long, features array<long>"), wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-features")
-    sizes = features.select("node", "n")
-
-    hot_rows = sized_join(met, often, "sig", "left_semi")
-    hot_nodes = written(hot_rows.select("node").distinct(), "jaccard-hot")
-    cold = sized_join(met, often, "sig", "left_anti")
-    if hot_nodes.isEmpty():
-        groups = met
-    else:
-        every = written(features.join(hot_nodes, "node", "left_semi").select("node", "features").mapInArrow(emit_all, "sig long, node long, spare long"), "jaccard-every")
+    known = written(sized_join(nodes, wanted, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "jaccard-known")
+    groups = met
+    if not often.isEmpty():
+        hot = written(sized_join(met, often, "sig", "left_semi").select("node").distinct(), "jaccard-hot")
+        every = written(features_of(slim, known, hot).mapInArrow(emit_all, "sig long, node long, spare long"), "jaccard-every")
         count = every.groupBy("sig").agg(F.count("*").alias("freq"))
         # A node's signatures: bounded by its own set, not by any group.
         rank = F.expr("row_number() over (partition by node, spare order by freq desc, sig)")
         rare = every.join(count.where("freq > 1"), "sig").withColumn("place", rank).where("place > spare").select("sig", "node")
-        groups = written(cold.union(rare).distinct(), "jaccard-groups")
-    groups = written(groups.join(sizes, "node"), "jaccard-sized")
+        groups = sized_join(met, often, "sig", "left_anti").union(rare).distinct()
+    return written(sized_join(groups, known.select("node", "n"), "node", "inner"), "jaccard-groups"), known
+
 
-    edges = spark.createDataFrame([], "a long, b long")
-    comp = None
-    rows = groups.count()
+def linked_components(groups: DataFrame, slim: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(node, comp) of the nodes that are linked with another; None if there are none."""
+    edges, comp, rows = None, None, groups.count()
+    gain = rows
     for turn in range(ROUNDS + 1):
-        here = groups.withColumn("comp", F.col("node")) if comp is None else groups.join(comp.withColumnRenamed("comp", "c"), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
+        here = groups.withColumn("comp", F.col("node")) if comp is None else sized_join(groups, comp.withColumnRenamed("comp", "c"), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
         here = written(here, "jaccard-here")
         parts = here.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         split = written(parts.where("comps > 1"), "jaccard-split")
         left = split.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")).first()["pairs"] or 0
         if not left:
             break
+        last = turn == ROUNDS or left <= PAIRS_A_ROW * rows or gain * 1000 < rows
         open_rows = here.join(split.select("sig"), "sig", "left_semi")
         fits = (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")) & (F.col("comp") != F.col("comp2"))
-        last = turn == ROUNDS or left <= PAIRS_A_ROW * rows
         if last:
             other = open_rows.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
             pairs = open_rows.join(other, "sig").where(fits & (F.col("node") < F.col("node2")))
         else:
             lead = open_rows.groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2")), F.xxhash64("node", F.lit(turn))).alias("lead")).select("sig", "lead.*")
             pairs = open_rows.join(lead, "sig").where(fits)
-        pairs = written(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "jaccard-pairs")
-        edges = written(edges.union(verified(pairs, features)), "jaccard-edges")
+        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        found = written(verified(pairs, slim, known), "jaccard-links")
+        gain = found.count()
+        edges = found if edges is None else edges.union(found)
         comp = written(connected_components(edges), "jaccard-comp")
         if last:
             break
+    return comp
+
 
-    if comp is None:
-        named = nodes.withColumn("comp", F.col("node"))
-    else:
-        named = sized_join(nodes, comp.toDF("node", "c"), "node", "left").select("doc_id", "n_shingles", F.coalesce("c", "node").alias("comp"))
-    named = named.withColumn("comp", F.when(F.col("n_shingles") > 0, F.col("comp")))
-    least = written(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1").select("comp", "least"), "jaccard-least")
-    return sized_join(named, least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document; see the module."""
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    nodes = written(slim.mapInArrow(digests, "doc_id long, n_shingles long, node long, bits array<long>"), "jaccard-nodes")
+    groups, known = candidate_groups(slim, nodes)
+    comp = linked_components(groups, slim, known)
+    named = nodes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    if comp is not None:
+        named = sized_join(named, comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("node"))
+    least = written(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1").select("node", "least"), "jaccard-least")
+    return sized_join(named, least, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
