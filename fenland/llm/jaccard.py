@@ -36,7 +36,7 @@ HOT = 48
 #: round that finds a link for fewer than one row in a thousand.
 ROUNDS, PAIRS_A_ROW = 6, 4
 #: The bits of two sets' parities that differ are at most as many as the elements that do.
-PARITY = 1024
+PARITY = 512
 
 
 def linked(same, a, b):
@@ -163,10 +163,35 @@ def emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column("node").take(pa.array(of)), pa.array(spare)], ["sig", "node", "spare"])
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, node): one row for each of the different nodes of a sig that has two of them at least."""
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (sig, node): the pairs (a, b) of different nodes of each sig that has 2 to HOT of them, with sig null;
+    (sig, a) for each node of a larger one, with b null. Rows held: those of a batch and HOT + 1."""
     sig, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    opened = False  # the run that is carried over has been sent in part
+    hot = None  # the sig whose nodes are being sent one by one
+
+    def sent(s: np.ndarray, n: np.ndarray, long: bool) -> Iterator[pa.RecordBatch]:
+        """long: the last run goes on and is large."""
+        nonlocal hot
+        at = heads(s)
+        size = np.diff(np.r_[at, len(s)])
+        big = (size > HOT) | (s[at] == hot) if hot is not None else size > HOT
+        big[-1] |= long
+        rows = np.repeat(big, size)
+        if rows.any():
+            yield pa.RecordBatch.from_arrays([pa.array(s[rows]), pa.array(n[rows]), pa.nulls(int(rows.sum()), pa.int64())], ["sig", "a", "b"])
+        hot = s[-1] if big[-1] else None
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k in np.unique(size[~big]):
+            if k > 1:
+                block = n[at[~big & (size == k)][:, None] + np.arange(k)]
+                i, j = np.triu_indices(k, 1)
+                pairs.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
+        found = np.concatenate(pairs)
+        if len(found):
+            found = found[np.lexsort((found[:, 1], found[:, 0]))]
+            new = np.r_[True, (found[1:] != found[:-1]).any(1)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(found[new, 0]), pa.array(found[new, 1])], ["sig", "a", "b"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -174,22 +199,21 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node = sig[new], node[new]
-        run = np.cumsum(np.r_[True, sig[1:] != sig[:-1]]) - 1
-        many = np.bincount(run) > 1
-        many[0] |= opened
-        go = many[run]
-        go[-1] = False  # the last row waits: the next batch may bring its partner or its double
-        opened = bool(many[run[-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(sig[go]), pa.array(node[go])], ["sig", "node"])
-        sig, node = sig[-1:], node[-1:]
-    if opened:
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
+        # The last run waits if it is short; of a long one the last row does, as the next batch may bring its double.
+        tail = len(sig) - heads(sig)[-1]
+        keep = tail if tail <= HOT and sig[-1] != hot else 1
+        if len(sig) > keep:
+            yield from sent(sig[:-keep], node[:-keep], keep < tail)
+            sig, node = sig[-keep:], node[-keep:]
+    if len(sig):
+        yield from sent(sig, node, False)
 
 
-def meetings(sig: DataFrame, name: str) -> DataFrame:
-    """Rows of the signatures that more than one node has."""
-    dealt = sig.repartition("sig").sortWithinPartitions("sig", "node")
-    return written(dealt.mapInArrow(repeated, "sig long, node long"), name)
+def meetings(sig: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct pairs (a, b) that meet in small groups, and the rows (sig, node) of large ones."""
+    dealt = sig.select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node")
+    out = written(dealt.mapInArrow(met, "sig long, a long, b long"), name)
+    return out.where("sig is null").select("a", "b").distinct(), out.where("sig is not null").select("sig", F.col("a").alias("node"))
 
 
 def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,52 +224,59 @@ def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["node", "features"])
 
 
-def features_of(slim: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, features) of the wanted nodes, made again from the text of one document each."""
-    firsts = written(sized_join(known, wanted, "node", "left_semi").select(F.col("doc_id").alias("first")).distinct(), "jaccard-firsts")
+def features_of(slim: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, features) of the wanted nodes, made again from the text of one document each; rows may repeat."""
+    firsts = written(sized_join(nodes.select("node", "doc_id"), wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")).select("first").distinct(), "jaccard-firsts")
     texts = sized_join(slim, firsts, slim["doc_id"].eqNullSafe(firsts["first"]), "left_semi")
-    made = texts.select("text").mapInArrow(emit_features, "node long, features array<long>")
-    return written(sized_join(made, wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-features")
+    return sized_join(texts.select("text").mapInArrow(emit_features, "node long, features array<long>"), wanted, "node", "left_semi")
+
+
+def compared(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked, by their whole sets."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-tested")
+    features = written(features_of(slim, nodes, wanted), "jaccard-features")
+    for x in "ab":
+        pairs = pairs.join(features.select(F.col("node").alias(x), F.col("features").alias(f"f{x}")), x)
+    return written(pairs.where(linked(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"))).select("a", "b"), "jaccard-links")
 
 
-def verified(pairs: DataFrame, slim: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked: sizes and parities sort most others out before texts are read."""
+def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same nodes as all links among the pairs do.
+
+    Sizes and parities sort most pairs out before texts are read; then each node is compared with its first partner, and
+    what is left between different components pair by pair.
+    """
+    known = written(sized_join(nodes.select(F.col("node"), F.col("n_shingles").alias("n"), "bits"), written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-met-nodes"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-known")
     for x in "ab":
         pairs = pairs.join(known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
     apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
-    near = written(pairs.where(7 * apart <= F.col("na") + F.col("nb")).select("a", "b"), "jaccard-near")
-    wanted = written(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "jaccard-tested")
-    features = features_of(slim, known, wanted)
+    near = pairs.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * apart <= F.col("na") + F.col("nb")))
+    near = written(near.select("a", "b"), "jaccard-near")
+    first = compared(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), slim, nodes)
+    comp = written(connected_components(first), "jaccard-first-comp")
     for x in "ab":
-        near = near.join(features.select(F.col("node").alias(x), F.col("features").alias(f"f{x}")), x)
-    return near.where(linked(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"))).select("a", "b")
-
-
-def candidate_groups(slim: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """groups(sig, node, n), in one of which any two linked nodes meet, and known(node, n, bits, doc_id) of their nodes."""
-    met = meetings(slim.select("text").mapInArrow(emit_signatures, "sig long, node long"), "jaccard-met")
-    often = written(met.groupBy("sig").count().where(F.col("count") > HOT).select("sig"), "jaccard-often")
-    wanted = written(met.select("node").distinct(), "jaccard-wanted")
-    known = written(sized_join(nodes, wanted, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "jaccard-known")
-    groups = met
-    if not often.isEmpty():
-        hot = written(sized_join(met, often, "sig", "left_semi").select("node").distinct(), "jaccard-hot")
-        every = written(features_of(slim, known, hot).mapInArrow(emit_all, "sig long, node long, spare long"), "jaccard-every")
-        count = every.groupBy("sig").agg(F.count("*").alias("freq"))
+        near = sized_join(near, comp.toDF(x, f"c{x}"), x, "left")
+    rest = written(near.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "jaccard-rest")
+    return first if rest.isEmpty() else first.union(compared(rest, slim, nodes))
+
+
+def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, comp) of the nodes that are linked with another."""
+    pairs, large = meetings(slim.select("text").mapInArrow(emit_signatures, "sig long, node long"), "jaccard-met")
+    hot = written(large.select("node").distinct(), "jaccard-hot")
+    if not hot.isEmpty():
+        every = features_of(slim, nodes, hot).mapInArrow(emit_all, "sig long, node long, spare long")
+        rare = every.withColumn("freq", F.expr("count(*) over (partition by sig)")).where("freq > 1")
         # A node's signatures: bounded by its own set, not by any group.
-        rank = F.expr("row_number() over (partition by node, spare order by freq desc, sig)")
-        rare = every.join(count.where("freq > 1"), "sig").withColumn("place", rank).where("place > spare").select("sig", "node")
-        groups = sized_join(met, often, "sig", "left_anti").union(rare).distinct()
-    return written(sized_join(groups, known.select("node", "n"), "node", "inner"), "jaccard-groups"), known
-
-
-def linked_components(groups: DataFrame, slim: DataFrame, known: DataFrame) -> DataFrame | None:
-    """(node, comp) of the nodes that are linked with another; None if there are none."""
-    edges, comp, rows = None, None, groups.count()
+        rare = rare.withColumn("place", F.expr("row_number() over (partition by node, spare order by freq desc, sig)")).where("place > spare")
+        more, large = meetings(rare, "jaccard-met-again")
+        pairs = pairs.union(more).distinct()
+    edges = verified(pairs, slim, nodes)
+    groups = written(sized_join(large, nodes.groupBy("node").agg(F.first("n_shingles").alias("n")), "node", "inner", rows=1 << 60), "jaccard-groups")
+    comp, rows = written(connected_components(edges), "jaccard-comp"), groups.count()
     gain = rows
-    for turn in range(ROUNDS + 1):
-        here = groups.withColumn("comp", F.col("node")) if comp is None else sized_join(groups, comp.withColumnRenamed("comp", "c"), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
-        here = written(here, "jaccard-here")
+    for turn in range(ROUNDS + 1 if rows else 0):
+        here = written(sized_join(groups, comp.toDF("node", "c"), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c"), "jaccard-here")
         parts = here.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         split = written(parts.where("comps > 1"), "jaccard-split")
         left = split.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")).first()["pairs"] or 0
@@ -260,10 +291,9 @@ def linked_components(groups: DataFrame, slim: DataFrame, known: DataFrame) -> D
         else:
             lead = open_rows.groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2")), F.xxhash64("node", F.lit(turn))).alias("lead")).select("sig", "lead.*")
             pairs = open_rows.join(lead, "sig").where(fits)
-        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        found = written(verified(pairs, slim, known), "jaccard-links")
+        found = written(verified(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), slim, nodes), "jaccard-found")
         gain = found.count()
-        edges = found if edges is None else edges.union(found)
+        edges = edges.union(found)
         comp = written(connected_components(edges), "jaccard-comp")
         if last:
             break
@@ -274,11 +304,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id) for each document; see the module."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     nodes = written(slim.mapInArrow(digests, "doc_id long, n_shingles long, node long, bits array<long>"), "jaccard-nodes")
-    groups, known = candidate_groups(slim, nodes)
-    comp = linked_components(groups, slim, known)
+    comp = linked_components(slim, nodes)
     named = nodes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    if comp is not None:
-        named = sized_join(named, comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("node"))
+    named = sized_join(named, comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("node"))
     least = written(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1").select("node", "least"), "jaccard-least")
     return sized_join(named, least, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
