@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from fenland.functions.tables import written
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
