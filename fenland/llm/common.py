@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: A side of a join is broadcast only when its measured rows do not exceed this.
-BROADCAST_ROWS = 4_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/fenland-{spark.sparkContext.applicationId}"
+from fenland.functions.tables import new_folder, shared_dir, written
 
+__all__ = ["BROADCAST_ROWS", "host_of", "new_folder", "shared_dir", "sized_join", "table", "written"]
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A side of a join is broadcast only when its measured rows do not exceed this.
+BROADCAST_ROWS = 4_000_000
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import sized_join, written
-from .graph import connected_components
+from fenland.operators.graph import connected_components
 from .kernel import U, blocks, heads, mix, shingles, words
 
 SMALL = 64
