@@ -12,13 +12,13 @@ __all__ = ["BROADCAST_ROWS", "host_of", "new_folder", "shared_dir", "sized_join"
 BROADCAST_ROWS = 4_000_000
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
-    """left join right; right is broadcast if it has at most BROADCAST_ROWS rows (counted here unless given).
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """left join right; right is broadcast if it has at most limit rows (counted here unless given): fewer for wide rows.
 
     Beyond that Spark shuffles both sides. right should be a written table, as counting reads it.
     """
     n = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
+    return left.join(F.broadcast(right) if n <= limit else right, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,6 +37,8 @@ HOT = 48
 ROUNDS, PAIRS_A_ROW = 6, 4
 #: The bits of two sets' parities that differ are at most as many as the elements that do.
 PARITY = 512
+#: Sizes and parities are broadcast for at most so many nodes (about 100 bytes each).
+WIDE_ROWS = 400_000
 
 
 def linked(same, a, b):
@@ -232,12 +234,16 @@ def features_of(slim: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFra
 
 
 def compared(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked, by their whole sets."""
+    """The pairs (a, b) of nodes that are linked, by their whole sets. b's set travels to a's, so a set that many are compared
+    with is not repeated for each of them."""
+    pairs = written(pairs, "jaccard-compared")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-tested")
-    features = written(features_of(slim, nodes, wanted), "jaccard-features")
-    for x in "ab":
-        pairs = pairs.join(features.select(F.col("node").alias(x), F.col("features").alias(f"f{x}")), x)
-    return written(pairs.where(linked(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"))).select("a", "b"), "jaccard-links")
+    features = features_of(slim, nodes, wanted)
+    firsts = written(pairs.select(F.col("a").alias("node")).distinct(), "jaccard-first-of-pairs")
+    left = sized_join(features, firsts, "node", "left_semi").select(F.col("node").alias("a"), F.col("features").alias("fa"))
+    right = sized_join(features, pairs, features["node"] == pairs["b"], "inner").select("a", "b", F.col("features").alias("fb"))
+    both = right.join(left, "a")
+    return written(both.where(linked(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"))).select("a", "b"), "jaccard-links")
 
 
 def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,7 +254,7 @@ def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     known = written(sized_join(nodes.select(F.col("node"), F.col("n_shingles").alias("n"), "bits"), written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-met-nodes"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-known")
     for x in "ab":
-        pairs = pairs.join(known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
+        pairs = sized_join(pairs, known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x, "inner", limit=WIDE_ROWS)
     apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
     near = pairs.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * apart <= F.col("na") + F.col("nb")))
     near = written(near.select("a", "b"), "jaccard-near")
