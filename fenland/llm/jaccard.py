@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import sized_join, written
 from fenland.operators.graph import connected_components
@@ -35,8 +35,9 @@ HOT = 48
 #: Leader rounds before the pairs left are tested one by one, and pairs a row of a group that end the rounds early, as does a
 #: round that finds a link for fewer than one row in a thousand.
 ROUNDS, PAIRS_A_ROW = 6, 4
-#: The bits of two sets' parities that differ are at most as many as the elements that do.
-PARITY = 512
+#: The bits of two sets' parities that differ are at most as many as the elements that do. Sets of LONG and more elements,
+#: which fill the short parity, have one of LONG_PARITY bits too.
+PARITY, LONG, LONG_PARITY = 512, 700, 8192
 #: Sizes and parities are broadcast for at most so many nodes (about 100 bytes each).
 WIDE_ROWS = 400_000
 
@@ -57,20 +58,24 @@ def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return row, h, size, digest
 
 
-def parity(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """PARITY bits of each set as longs: whether an odd number of its elements falls on the bit."""
-    cell = row * PARITY + (mix(h + U(77)) % U(PARITY)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * PARITY) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, PARITY), axis=1, bitorder="little").view(np.int64)
+def parity(row: np.ndarray, h: np.ndarray, n: int, width: int) -> pa.ListArray:
+    """width bits of each set as longs: whether an odd number of its elements falls on the bit."""
+    cell = row * width + (mix(h + U(77)) % U(width)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * width) & 1).astype(np.uint8)
+    bits = np.packbits(odd.reshape(n, width), axis=1, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, width // 64, dtype=np.int32)), pa.array(bits.ravel()))
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch, "text"):
             row, h, size, digest = sets(b.column("text"))
-            bits = parity(row, h, len(size))
-            ends = np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.ravel()))], ["doc_id", "n_shingles", "node", "bits"])
+            large = size >= LONG
+            place = np.cumsum(large) - 1
+            in_large = large[row]
+            wide = parity(place[row[in_large]], h[in_large], int(large.sum()), LONG_PARITY)
+            wide = wide.take(pa.array(place, mask=~large))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest.view(np.int64)), parity(row, h, len(size), PARITY), wide], ["doc_id", "n_shingles", "node", "bits", "wide"])
 
 
 def schemes(size: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -246,6 +251,11 @@ def compared(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(both.where(linked(F.size(F.array_intersect("fa", "fb")), F.size("fa"), F.size("fb"))).select("a", "b"), "jaccard-links")
 
 
+def apart(p: str, q: str) -> Column:
+    """How many bits of two parities differ."""
+    return F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
+
+
 def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) that join the same nodes as all links among the pairs do.
 
@@ -255,9 +265,15 @@ def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     known = written(sized_join(nodes.select(F.col("node"), F.col("n_shingles").alias("n"), "bits"), written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-met-nodes"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-known")
     for x in "ab":
         pairs = sized_join(pairs, known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x, "inner", limit=WIDE_ROWS)
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
-    near = pairs.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * apart <= F.col("na") + F.col("nb")))
-    near = written(near.select("a", "b"), "jaccard-near")
+    near = pairs.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * apart("bitsa", "bitsb") <= F.col("na") + F.col("nb")))
+    near = written(near.select("a", "b", "na", "nb"), "jaccard-near")
+    long = near.where(F.least("na", "nb") >= LONG)
+    ends = written(long.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-long-nodes")
+    wide = written(sized_join(nodes.where(F.col("n_shingles") >= LONG).select("node", "wide"), ends, "node", "left_semi").dropDuplicates(["node"]), "jaccard-wide")
+    for x in "ab":
+        long = sized_join(long, wide.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")), x, "inner", limit=WIDE_ROWS // 10)
+    long = long.where(7 * apart("wa", "wb") <= F.col("na") + F.col("nb")).select("a", "b")
+    near = written(near.where(F.least("na", "nb") < LONG).select("a", "b").union(long), "jaccard-nearer")
     first = compared(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), slim, nodes)
     comp = written(connected_components(first), "jaccard-first-comp")
     for x in "ab":
@@ -309,7 +325,7 @@ def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; see the module."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    nodes = written(slim.mapInArrow(digests, "doc_id long, n_shingles long, node long, bits array<long>"), "jaccard-nodes")
+    nodes = written(slim.mapInArrow(digests, "doc_id long, n_shingles long, node long, bits array<long>, wide array<long>"), "jaccard-nodes")
     comp = linked_components(slim, nodes)
     named = nodes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     named = sized_join(named, comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("node"))
