@@ -9,7 +9,7 @@ from fenland.functions.tables import new_folder, shared_dir, written
 __all__ = ["BROADCAST_ROWS", "host_of", "new_folder", "shared_dir", "sized_join", "table", "written"]
 
 #: A side of a join is broadcast only when its measured rows do not exceed this.
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

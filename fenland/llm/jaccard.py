@@ -39,7 +39,7 @@ ROUNDS, PAIRS_A_ROW = 6, 4
 #: which fill the short parity, have one of LONG_PARITY bits too.
 PARITY, LONG, LONG_PARITY = 512, 700, 8192
 #: Sizes and parities are broadcast for at most so many nodes (about 100 bytes each).
-WIDE_ROWS = 400_000
+WIDE_ROWS = 150_000
 
 
 def linked(same, a, b):

@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text handled at once.
-BLOCK = 2_000_000
+BLOCK = 800_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
