@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 EOS = 2
-#: Chunks that a worker remembers, and the longest one it does.
-CACHE, CHUNK = 400_000, 48
+#: Chunks that a worker remembers: those of two blocks of texts at least, those of one so far; and the longest one it does.
+CACHE, ONCE, CHUNK = 900_000, 400_000, 48
 
 
 def default_path() -> str:
@@ -25,6 +25,18 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class ChainedIds(dict):
+    """The chunks of a block, with those known from before looked up when they are asked for."""
+
+    def __init__(self, known: dict[bytes, bytes], coded: dict[bytes, bytes]) -> None:
+        super().__init__(coded)
+        self.known = known
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self[chunk] = self.known[chunk]
+        return found
+
+
 class Encoder:
     def __init__(self, path: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,9 +44,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.known: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
 
     def of_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
     def ids(self, column: pa.Array, eos: int | None = EOS) -> list[bytes]:
@@ -42,13 +55,15 @@ class Encoder:
         texts = [x.split() for x in pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list(set(chain.from_iterable(texts)).difference(self.known))
-        coded = dict(zip(new, self.of_chunks(new), strict=True))
-        here = self.known | coded if any(len(c) > CHUNK for c in new) else self.known
-        if here is self.known:
-            self.known.update(coded)
-        else:
-            self.known.update((k, v) for k, v in coded.items() if len(k) <= CHUNK)
+        if len(self.once) > ONCE:
+            self.once.clear()
+        new = set(chain.from_iterable(texts)).difference(self.known)
+        again = new & self.once.keys()
+        self.known.update((c, self.once.pop(c)) for c in again)
+        missing = list(new - again)
+        coded = dict(zip(missing, self.of_chunks(missing), strict=True))
+        here = ChainedIds(self.known, coded)
+        self.once.update((k, v) for k, v in coded.items() if len(k) <= CHUNK)
         end = b"" if eos is None else np.asarray([eos], "<u4").tobytes()
         return [b"".join(map(here.__getitem__, t)) + end for t in texts]
 
