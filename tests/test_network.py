@@ -38,7 +38,7 @@ def test_y_network_has_two_orders(spark):
     z = skel.withColumn("z", skel["r"] * 0.0)
     chains, links, segments = network.segment_graph(skel, z, frame(spark, [(20, 10)]))
     orders = sorted(x.ord for x in network.strahler_order(links, segments, 4).select("final", "ord").distinct().collect())
-    assert orders == [1, 1, 4]  # the trunk to the outlet is residual
+    assert orders == [1, 1, 2]  # two segments of order 1 meet in one of order 2
 
 
 def test_geodesic_distance_crosses_tiles(spark):
