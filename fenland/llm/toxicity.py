@@ -63,7 +63,10 @@ class Field:
     curve: tuple[float, ...] = (0.0, 1.0, 0.0)
 
     def unary(self, f: np.ndarray) -> np.ndarray:
-        return self.weights[f].sum(1) + self.bias
+        out = np.full(len(f), self.bias)
+        for j in range(f.shape[1]):
+            out += self.weights[f[:, j]]
+        return out
 
     def marginals(self, unary: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's marginal of being toxic and the expected transitions; all sequences go forward and back together."""
@@ -106,11 +109,30 @@ class Field:
         return m / np.maximum(m + (1 - ahead) * (1 - back), 1e-300), pairs
 
 
-def toxic_features(doc: np.ndarray, f: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which feature numbers stand in toxic documents far more often than in clean ones."""
-    seen = np.unique((np.repeat(doc.astype(np.int64), f.shape[1]) << BITS) | f.ravel())
-    df = [np.bincount(seen[toxic[seen >> BITS] == y] & ((1 << BITS) - 1), minlength=1 << BITS) for y in (0, 1)]
-    n = [(toxic == y).sum() for y in (0, 1)]
+def prepared(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, ...]]]:
+    """Row and features of each word, where lines start, and the first words of each text; block by block, which bounds memory."""
+    rows, found, starts, begins = [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(0, np.int64)], []
+    n = 0
+    for b in blocks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+        w = words(b.column("text"), SEPARATORS)
+        at = np.searchsorted(w["row"], np.arange(b.num_rows + 1)).tolist()
+        rows.append(w["row"] + len(begins))
+        begins += [tuple(w["hash"][x : min(x + 12, y)].tolist()) for x, y in zip(at[:-1], at[1:], strict=True)]
+        found.append(features(w))
+        starts.append(lines_of(w) + n)
+        n += len(w["row"])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(starts), begins
+
+
+def toxic_features(doc: np.ndarray, f: np.ndarray, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Which feature numbers stand in toxic documents far more often than in clean ones, by the documents in use. doc is sorted."""
+    df, n = np.zeros((2, 1 << BITS), np.int64), [(toxic == y).sum() for y in (0, 1)]
+    edges = np.searchsorted(doc, np.arange(0, len(toxic) + 200, 200))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        here = a + np.flatnonzero(use[doc[a:b]])
+        seen = np.unique((np.repeat(doc[here].astype(np.int64), f.shape[1]) << BITS) | f[here].ravel())
+        for y in (0, 1):
+            df[y] += np.bincount(seen[toxic[seen >> BITS] == y] & ((1 << BITS) - 1), minlength=1 << BITS)
     odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
     error = np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5))
     for z in (3.0, 2.0, 1.0):  # fewer documents ask for less
@@ -126,21 +148,17 @@ def fit(texts: list[str], labels: list[int]) -> Field:
     if len(set(labels)) < 2:
         field.curve = (6.0 if set(labels) == {1} else 0.0, 1.0, 0.0)
         return field
-    w = words(pa.array(texts, pa.large_string()), SEPARATORS)
-    counts = np.bincount(w["row"], minlength=len(texts))
-    at = np.searchsorted(w["row"], np.arange(len(texts)))
-    begins = [tuple(w["hash"][a : a + min(c, 12)].tolist()) for a, c in zip(at.tolist(), counts.tolist(), strict=True)]
+    row, f, start, begins = prepared(pa.array(texts, pa.large_string()))
     single = np.zeros(len(texts), bool)
     single[list({b: i for i, b in enumerate(begins)}.values())] = True
-    y, f, start = np.asarray(labels), features(w), lines_of(w)
-    use = single[w["row"]]
-    found = toxic_features(w["row"][use], f[use], y)
-    truth = (found[f].any(1) & (y[w["row"]] == 1)).astype(float)
-    line = np.cumsum(np.isin(np.arange(len(truth)), start)) - 1
+    y = np.asarray(labels)
+    found = toxic_features(row, f, y, single)
+    truth = (np.any([found[f[:, j]] for j in range(f.shape[1])], 0) & (y[row] == 1)).astype(float)
+    line = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(truth)]))
     has = np.bincount(line, weights=truth, minlength=len(start)) > 0
     draw = np.random.default_rng(5)
-    good = np.flatnonzero(has & single[w["row"][start]])
-    other = np.flatnonzero(~has & single[w["row"][start]])
+    good = np.flatnonzero(has & single[row[start]])
+    other = np.flatnonzero(~has & single[row[start]])
     good = np.sort(draw.permutation(good)[:LINES_TOXIC])
     other = np.sort(draw.permutation(other)[: LINES_CLEAN * len(good) + 200])
     chosen = np.zeros(len(start), bool)
@@ -154,14 +172,15 @@ def fit(texts: list[str], labels: list[int]) -> Field:
     pair = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (ty[pair - 1].astype(int), ty[pair].astype(int)), 1)
-    used, code = np.unique(tf, return_inverse=True)
-    code = code.reshape(tf.shape)
+    flag = np.zeros(1 << BITS, bool)
+    flag[tf] = True
+    used, code = np.flatnonzero(flag), (np.cumsum(flag, dtype=np.int32) - 1)[tf]
     weight, square = np.zeros(len(used)), np.full(len(used) + 5, 1e-8)
     for _ in range(STEPS):
         field.weights = weight
-        m, pairs = field.marginals(weight[code].sum(1) + field.bias, begin)
+        m, pairs = field.marginals(field.unary(code), begin)
         gap = m - ty
-        g = np.r_[np.bincount(code.ravel(), weights=np.repeat(gap, code.shape[1]), minlength=len(used)) + L2 * weight * len(ty), gap.sum(), (pairs - seen).ravel()]
+        g = np.r_[sum(np.bincount(c, weights=gap, minlength=len(used)) for c in code.T) + L2 * weight * len(ty), gap.sum(), (pairs - seen).ravel()]
         square += g * g
         step = RATE * g / np.sqrt(square)
         weight = weight - step[: len(used)]
@@ -171,7 +190,7 @@ def fit(texts: list[str], labels: list[int]) -> Field:
     field.weights[used] = weight
     # The logistic curve from the largest marginal to the document's label, by Newton's method.
     m, _ = field.marginals(field.unary(f), start)
-    z = evidence(m, w["row"], len(texts))
+    z = evidence(m, row, len(texts))
     a = np.zeros(z.shape[1])
     for _ in range(40):
         p = sigmoid(z @ a)
