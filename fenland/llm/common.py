@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fenland.functions.tables import new_folder, shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "host_of", "new_folder", "shared_dir", "sized_join", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "arrow_rows", "host_of", "new_folder", "shared_dir", "sized_join", "table", "written"]
 
 #: A side of a join is broadcast only when its measured rows do not exceed this.
 BROADCAST_ROWS = 1_000_000
@@ -28,3 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def host_of(source: Column) -> Column:
     """Rows without a host share the host ''."""
     return F.coalesce(source.cast("string"), F.lit(""))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs that start inside; the session's own value comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sized_join, written
+from .common import arrow_rows, sized_join, written
 from fenland.operators.graph import connected_components
 from .kernel import U, blocks, heads, mix, shingles, words
 
@@ -40,6 +40,8 @@ ROUNDS, PAIRS_A_ROW = 6, 4
 PARITY, LONG, LONG_PARITY = 512, 700, 8192
 #: Sizes and parities are broadcast for at most so many nodes (about 100 bytes each).
 WIDE_ROWS = 150_000
+#: Rows that are handed to Python at once, which bounds the memory of a worker and of its executor.
+BATCH = 2000
 
 
 def linked(same, a, b):
@@ -161,13 +163,10 @@ def emit_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 1000):
-            b = batch.slice(a, 1000)
-            lists = b.column("features")
-            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            h = lists.flatten().to_numpy(zero_copy_only=False).view(U)
-            of, sig, spare = signatures(np.repeat(np.arange(len(size)), size), h, size, True)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column("node").take(pa.array(of)), pa.array(spare)], ["sig", "node", "spare"])
+        for b in blocks(batch, "text"):
+            row, h, size, digest = sets(b.column("text"))
+            of, sig, spare = signatures(row, h, size, True)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(digest[of].view(np.int64)), pa.array(spare)], ["sig", "node", "spare"])
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +230,11 @@ def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["node", "features"])
 
 
-def features_of(slim: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, features) of the wanted nodes, made again from the text of one document each; rows may repeat."""
+def made_again(slim: DataFrame, nodes: DataFrame, wanted: DataFrame, make, kind: str) -> DataFrame:
+    """What make yields (kind, with node) for the wanted nodes, from the text of one document each; rows may repeat."""
     firsts = written(sized_join(nodes.select("node", "doc_id"), wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")).select("first").distinct(), "jaccard-firsts")
     texts = sized_join(slim, firsts, slim["doc_id"].eqNullSafe(firsts["first"]), "left_semi")
-    return sized_join(texts.select("text").mapInArrow(emit_features, "node long, features array<long>"), wanted, "node", "left_semi")
+    return sized_join(texts.select("text").mapInArrow(make, kind), wanted, "node", "left_semi")
 
 
 def compared(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -243,7 +242,7 @@ def compared(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     with is not repeated for each of them."""
     pairs = written(pairs, "jaccard-compared")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-tested")
-    features = features_of(slim, nodes, wanted)
+    features = made_again(slim, nodes, wanted, emit_features, "node long, features array<long>")
     firsts = written(pairs.select(F.col("a").alias("node")).distinct(), "jaccard-first-of-pairs")
     left = sized_join(features, firsts, "node", "left_semi").select(F.col("node").alias("a"), F.col("features").alias("fa"))
     right = sized_join(features, pairs, features["node"] == pairs["b"], "inner").select("a", "b", F.col("features").alias("fb"))
@@ -287,7 +286,7 @@ def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs, large = meetings(slim.select("text").mapInArrow(emit_signatures, "sig long, node long"), "jaccard-met")
     hot = written(large.select("node").distinct(), "jaccard-hot")
     if not hot.isEmpty():
-        every = features_of(slim, nodes, hot).mapInArrow(emit_all, "sig long, node long, spare long")
+        every = made_again(slim, nodes, hot, emit_all, "sig long, node long, spare long")
         rare = every.withColumn("freq", F.expr("count(*) over (partition by sig)")).where("freq > 1")
         # A node's signatures: bounded by its own set, not by any group.
         rare = rare.withColumn("place", F.expr("row_number() over (partition by node, spare order by freq desc, sig)")).where("place > spare")
@@ -325,8 +324,9 @@ def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; see the module."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    nodes = written(slim.mapInArrow(digests, "doc_id long, n_shingles long, node long, bits array<long>, wide array<long>"), "jaccard-nodes")
-    comp = linked_components(slim, nodes)
+    with arrow_rows(docs.sparkSession, BATCH):  # every Python step below is written before this ends
+        nodes = written(slim.mapInArrow(digests, "doc_id long, n_shingles long, node long, bits array<long>, wide array<long>"), "jaccard-nodes")
+        comp = linked_components(slim, nodes)
     named = nodes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     named = sized_join(named, comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("node"))
     least = written(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1").select("node", "least"), "jaccard-least")
