@@ -66,7 +66,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """The documents that the rules keep, with their columns as they are."""
-    return with_quality(docs, source, text).where("_fl_kept").select(*docs.columns)
+    # A filter is not pushed below a projection that is not deterministic; pushed, it would have all arrays made again for
+    # each of their elements.
+    known = with_quality(docs, source, text).withColumn("_fl_row", F.monotonically_increasing_id())
+    return known.where(F.col("_fl_kept") & (F.col("_fl_row") >= 0)).select(*docs.columns)
 
 
 SQL = (
