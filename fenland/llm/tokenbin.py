@@ -24,6 +24,11 @@ from .tokens import EOS, encoder
 LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 2048, 20231, 6
 
 
+def packer() -> pa.Codec:
+    """Ids travel packed, each sequence by itself, until their shard is written."""
+    return pa.Codec("zstd", 3)
+
+
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     """A keyed permutation of 0 .. n-1: a balanced Feistel network on the next even number of bits, walked until below n."""
     half = U(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
@@ -41,13 +46,13 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences(batches: Iterator[pa.RecordBatch], path: str | None, length: int) -> Iterator[pa.RecordBatch]:
-    """part, ordinal, n_tokens, ids (unsigned 16-bit): the partition's token stream in pieces; the last one is padded."""
-    part, ordinal, rest = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint16)
+    """part, ordinal, n_tokens, packed ids (unsigned 16-bit): the partition's token stream in pieces; the last one is padded."""
+    part, ordinal, rest, codec = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint16), packer()
 
     def rows(ids: np.ndarray, first: int, n: list[int]) -> pa.RecordBatch:
-        data = [ids[i * length : (i + 1) * length].astype("<u2").tobytes() for i in range(len(n))]
+        data = [codec.compress(ids[i * length : (i + 1) * length].astype("<u2").tobytes(), asbytes=True) for i in range(len(n))]
         k = len(n)
-        return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int64()), pa.array(range(first, first + k), pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["part", "ordinal", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int64()), pa.array(range(first, first + k), pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["part", "ordinal", "n_tokens", "packed"])
 
     encode = encoder(path)
     for batch in batches:
@@ -68,27 +73,27 @@ def with_slots(batches: Iterator[pa.RecordBatch], starts: dict[int, int], n: int
     for b in batches:
         first = np.array([starts[p] for p in b.column("part").to_pylist()], np.int64)
         slot = feistel(first + b.column("ordinal").to_numpy(), n, key)
-        yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column("n_tokens"), b.column("ids")], ["shard", "slot", "n_tokens", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column("n_tokens"), b.column("packed")], ["shard", "slot", "n_tokens", "packed"])
 
 
-def write_shards(batches: Iterator[pa.RecordBatch], folder: str, per_shard: int) -> Iterator[pa.RecordBatch]:
+def write_shards(batches: Iterator[pa.RecordBatch], folder: str, per_shard: int, length: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by slot -> a file for each shard; shard, first slot, sequences, bytes."""
     system, base = opened(folder)
-    now, file, n = None, None, 0
+    now, file, n, codec = None, None, 0, packer()
 
     def closed() -> pa.RecordBatch:
         file.close()
         return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (now, now * per_shard, n, file.size)], ["shard", "first_slot", "n_sequences", "bytes"])
 
     for b in batches:
-        for shard, slot, ids in zip(b.column("shard").to_pylist(), b.column("slot").to_pylist(), b.column("ids").to_pylist(), strict=True):
+        for shard, slot, packed in zip(b.column("shard").to_pylist(), b.column("slot").to_pylist(), b.column("packed").to_pylist(), strict=True):
             if shard != now:
                 if file:
                     yield closed()
                 now, n, file = shard, 0, Replaced(system, base, f"shard-{shard:08d}.bin")
             if slot != shard * per_shard + n:
                 raise ValueError(f"slot {slot} does not follow in shard {shard}")
-            file.write(ids)
+            file.write(codec.decompress(packed, decompressed_size=2 * length, asbytes=True))
             n += 1
     if file:
         yield closed()
@@ -121,16 +126,16 @@ def materialise(docs: DataFrame, folder: str, text: str = "text", length: int =
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(text).cast("string").alias("text"))
-    table = written(slim.mapInArrow(partial(sequences, path=path, length=length), "part long, ordinal long, n_tokens long, ids binary"), "sequences")
+    table = written(slim.mapInArrow(partial(sequences, path=path, length=length), "part long, ordinal long, n_tokens long, packed binary"), "sequences")
     starts, n = {}, 0
     for part, count in sorted(table.groupBy("part").count().collect()):
         starts[part], n = n, n + count
     if not n:
         return spark.createDataFrame([], "shard long, first_slot long, n_sequences long, bytes long")
     shards = -(-n // per_shard)
-    slots = table.mapInArrow(partial(with_slots, starts=starts, n=n, key=key, per_shard=per_shard), "shard long, slot long, n_tokens long, ids binary")
+    slots = table.mapInArrow(partial(with_slots, starts=starts, n=n, key=key, per_shard=per_shard), "shard long, slot long, n_tokens long, packed binary")
     dealt = slots.repartitionByRange(shards, "slot").sortWithinPartitions("slot") if shards == 1 else slots.repartition(shards, "shard").sortWithinPartitions("slot")
-    return written(dealt.mapInArrow(partial(write_shards, folder=folder, per_shard=per_shard), "shard long, first_slot long, n_sequences long, bytes long"), "shards")
+    return written(dealt.mapInArrow(partial(write_shards, folder=folder, per_shard=per_shard, length=length), "shard long, first_slot long, n_sequences long, bytes long"), "shards")
 
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str, length: int = LENGTH, from_slot: int = 0) -> DataFrame:
