@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing (operator 7). DataFrame functions only.
 
-Words are lower-cased and stripped of what is neither letter nor digit. Fixed masks choose the words of a 12-word span that
-enter a seed; the others may be substituted. Seeds of benchmark items and of documents are joined on their hashes. A hit
+Words are lower-cased and stripped of what is neither letter nor digit. Fixed masks choose the words of a short span that
+enter a seed; the others may be substituted. Wherever the words differ that the comparison below forgives, a mask still
+fits between them, for items of any length sought; tests enumerate this. Seeds of benchmark items and of documents are joined on their hashes. A hit
 gives a diagonal (document position minus item position), along which the aligned words are compared: a document is
 contaminated by an item if a window of WINDOW aligned words, or the whole item if it is shorter, has MATCHES or more equal
 words (in proportion for shorter items).
@@ -15,10 +16,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import sized_join, written
 
-SPAN = 12
-#: Word positions of the span that enter a seed.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 6, 7, 9), (0, 2, 5, 7, 8, 11))
-#: Items shorter than the span are sought by their whole word sequence.
+#: Word positions that enter a seed. The two hit every pattern of equal words that is accepted in windows of LEAST_WORDS to
+#: WINDOW words; masks of five words would need three for 13 words alone.
+MASKS = ((0, 1, 2, 4), (0, 3, 4, 5))
+#: Equal words asked of a window; items shorter than it are compared whole, in proportion.
 WINDOW, MATCHES = 13, 10
 #: Items with fewer words are too short to tell a leak from chance and are not sought.
 LEAST_WORDS = 6

@@ -219,6 +219,32 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs):
     assert {x.doc_id for x in decontam.contaminated(near, bench).collect()} == {1}
 
 
+def test_masks_hit_every_pattern_that_is_accepted():
+    for n in range(decontam.LEAST_WORDS, decontam.WINDOW + 1):
+        least = -(-n * decontam.MATCHES // decontam.WINDOW)
+        for equal in map(set, itertools.combinations(range(n), least)):
+            assert any({at + i for i in mask} <= equal for mask in decontam.MASKS for at in range(n - mask[-1])), (n, equal)
+
+
+def test_leaks_with_substituted_words_are_found(spark):
+    items, rows = [], []
+    for n in (6, 7, 8, 9, 12, 13, 20, 40):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        # Every fourth word of long items, one word of shorter ones, at each place.
+        for at in range(4 if n >= 13 else n):
+            gone = range(at, n, 4) if n >= 13 else (at,)
+            if n == 13 and len(gone) > 3:
+                continue
+            rows.append((100 * n + at, "Before. " + " ".join("other" if i in gone else w for i, w in enumerate(item)) + " After.", n))
+        # One word less than is accepted is equal.
+        few = -(-min(n, 13) * 10 // 13) - 1
+        rows.append((100 * n + 99, "Before. " + " ".join(w if i < few else "other" for i, w in enumerate(item)) + " After.", None))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), bench).collect()}
+    assert got == {(r[0], r[2]) for r in rows if r[2]}
+
+
 def test_toxicity_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
