@@ -109,28 +109,26 @@ class Field:
         return m / np.maximum(m + (1 - ahead) * (1 - back), 1e-300), pairs
 
 
-def prepared(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, ...]]]:
-    """Row and features of each word, where lines start, and the first words of each text; block by block, which bounds memory."""
-    rows, found, starts, begins = [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(0, np.int64)], []
-    n = 0
+def prepared(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and features of each word, and where lines start; block by block, which bounds memory."""
+    rows, found, starts = [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(0, np.int64)]
+    n = done = 0
     for b in blocks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
         w = words(b.column("text"), SEPARATORS)
-        at = np.searchsorted(w["row"], np.arange(b.num_rows + 1)).tolist()
-        rows.append(w["row"] + len(begins))
-        begins += [tuple(w["hash"][x : min(x + 12, y)].tolist()) for x, y in zip(at[:-1], at[1:], strict=True)]
+        rows.append(w["row"] + done)
+        done += b.num_rows
         found.append(features(w))
         starts.append(lines_of(w) + n)
         n += len(w["row"])
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(starts), begins
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(starts)
 
 
-def toxic_features(doc: np.ndarray, f: np.ndarray, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Which feature numbers stand in toxic documents far more often than in clean ones, by the documents in use. doc is sorted."""
+def toxic_features(doc: np.ndarray, f: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which feature numbers stand in toxic documents far more often than in clean ones. doc is sorted."""
     df, n = np.zeros((2, 1 << BITS), np.int64), [(toxic == y).sum() for y in (0, 1)]
     edges = np.searchsorted(doc, np.arange(0, len(toxic) + 200, 200))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        here = a + np.flatnonzero(use[doc[a:b]])
-        seen = np.unique((np.repeat(doc[here].astype(np.int64), f.shape[1]) << BITS) | f[here].ravel())
+        seen = np.unique((np.repeat(doc[a:b].astype(np.int64), f.shape[1]) << BITS) | f[a:b].ravel())
         for y in (0, 1):
             df[y] += np.bincount(seen[toxic[seen >> BITS] == y] & ((1 << BITS) - 1), minlength=1 << BITS)
     odds = np.log((df[1] + 0.5) / (n[1] + 1)) - np.log((df[0] + 0.5) / (n[0] + 1))
@@ -143,22 +141,20 @@ def toxic_features(doc: np.ndarray, f: np.ndarray, toxic: np.ndarray, use: np.nd
 
 
 def fit(texts: list[str], labels: list[int]) -> Field:
-    """The field of labelled texts. Copies are left out, as all their words would look alike toxic or clean."""
+    """The field of labelled texts without copies, as all words of copies would look alike toxic or clean."""
     field = Field(np.zeros(1 << BITS), -4.0, np.zeros((2, 2)))
     if len(set(labels)) < 2:
         field.curve = (6.0 if set(labels) == {1} else 0.0, 1.0, 0.0)
         return field
-    row, f, start, begins = prepared(pa.array(texts, pa.large_string()))
-    single = np.zeros(len(texts), bool)
-    single[list({b: i for i, b in enumerate(begins)}.values())] = True
+    row, f, start = prepared(pa.array(texts, pa.large_string()))
     y = np.asarray(labels)
-    found = toxic_features(row, f, y, single)
+    found = toxic_features(row, f, y)
     truth = (np.any([found[f[:, j]] for j in range(f.shape[1])], 0) & (y[row] == 1)).astype(float)
     line = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(truth)]))
     has = np.bincount(line, weights=truth, minlength=len(start)) > 0
     draw = np.random.default_rng(5)
-    good = np.flatnonzero(has & single[row[start]])
-    other = np.flatnonzero(~has & single[row[start]])
+    good = np.flatnonzero(has)
+    other = np.flatnonzero(~has)
     good = np.sort(draw.permutation(good)[:LINES_TOXIC])
     other = np.sort(draw.permutation(other)[: LINES_CLEAN * len(good) + 200])
     chosen = np.zeros(len(start), bool)
@@ -246,20 +242,30 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
+def words_key(text):
+    """A 64-bit key of a text's whole sequence of words; texts without words, null ones too, share one."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(F.btrim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) for each row; spans are code point offsets of offending words.
 
     labels(doc_id, label) of 0 and 1; null ids and labels are not learned from, of repeated ones the largest counts. Without
-    labels of both classes all documents get one score. Null and empty texts get the score of a text without words.
+    labels of both classes all documents get one score. Of labelled documents of one class with the same words all through,
+    one is learned from; the sample is drawn from what is left. Null and empty texts get the score of a text without words.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    known = known.where(~held_out(F.col("id")))
+    known = written(known.where(~held_out(F.col("id"))), "toxic-labels")
+    keyed = slim.where("doc_id is not null").select("doc_id", words_key(F.col("text")).alias("key"))
+    keyed = sized_join(keyed, known, keyed["doc_id"] == known["id"], "inner").groupBy("id", "y").agg(F.min("key").alias("key"))
+    distinct = written(keyed.groupBy("key", "y").agg(F.min(F.struct(F.xxhash64("id", F.lit(17)).alias("draw"), "id")).alias("of")).select("key", "y", "of.draw", "of.id"), "toxic-distinct")
     # The bound of the sample is a parameter; the ids are drawn by a hash, whatever the size.
-    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(most) for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    drawn = [distinct.where(F.col("y") == y).orderBy("draw", "id").limit(most) for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     sample = written(drawn[0].union(drawn[1]), "toxic-sample")
-    rows = sized_join(slim, sample, slim["doc_id"] == sample["id"], "inner").select("id", "text", "y").dropDuplicates(["id"]).orderBy("id").toArrow()
+    rows = sized_join(slim, sample, slim["doc_id"] == sample["id"], "inner").where(words_key(F.col("text")) == F.col("key")).select("id", "text", "y").dropDuplicates(["id"]).orderBy("id").toArrow()
     field = fit(["" if t is None else t for t in rows.column("text").to_pylist()], rows.column("y").to_pylist())
     sent = spark.sparkContext.broadcast(field)
     out = slim.mapInArrow(partial(score_texts, model=sent), "doc_id long, score double, spans array<struct<start:long,end:long>>")

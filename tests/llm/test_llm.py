@@ -254,6 +254,28 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= x.score <= 1 for i, x in got.items())
 
 
+def test_toxicity_learns_from_all_documents_of_a_common_opening(spark, monkeypatch):
+    header = "this is the common header of every page of the site and more"
+    rows, labels = [], []
+    for i in range(120):
+        bad = i % 2
+        rows.append((i, f"{header} item{i} {'vilefoo' if bad else 'nicebar'} ends{i}"))
+        labels.append((i, bad))
+    # Copies of one toxic and of one clean document, which differ in case and signs only.
+    for i in range(120, 200):
+        bad = i % 2
+        rows.append((i, f"{header.upper()}, Copied {'vilefoo' if bad else 'nicebar'}!" + "." * (i % 3)))
+        labels.append((i, bad))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, known).collect()
+    assert all(x.predicted == x.doc_id % 2 for x in got if x.held_out)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.extend(zip(texts, labels, strict=True)) or toxicity.Field(np.zeros(1 << toxicity.BITS), 0.0, np.zeros((2, 2))))
+    toxicity.toxicity(docs, known)
+    copies = sorted(y for t, y in seen if "Copied" in t)
+    assert copies == [0, 1] and len(seen) - 2 == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(120))
+
+
 def test_models_are_distributions(spark, docs):
     labels = spark.read.parquet(f"{D}/labels.parquet")
     got = lmscore.query(docs, labels).collect()
