@@ -4,10 +4,12 @@ Both models share one vocabulary, one list of bigrams, the order and the smoothi
 documents labelled as target, the background model on all documents. A token's loss is -log p under each model; a document's
 score is the mean over its tokens of target loss minus background loss: the lower, the closer to the target.
 
-Words are counted over all texts. The vocabulary has the words of at least WORD_SHARE of all tokens, the bigram list the
-pairs of at least PAIR_SHARE of them (twice at least): so they have at most 1 / WORD_SHARE and 1 / PAIR_SHARE entries at any
-size of the corpus, which bounds what is broadcast, while what is counted and shuffled grows with the corpus. What the
-list leaves out backs off to the word's own probability by absolute discounting, so each model is a proper distribution.
+Words and pairs are counted over all texts. Every word and pair seen LEAST times or more is in the written table of the
+models, which grows with the corpus; any other word is the word 'other', and what no pair is listed for backs off to the
+word's own probability by absolute discounting, so each model is a proper distribution. The table's most frequent rows, at
+most 2 / WORD_SHARE + 1 / PAIR_SHARE of them, are broadcast, as most tokens need only these; what a document has besides is
+counted by document and key and joined to the rest of the table, which Spark shuffles. Where a row is looked up does not
+change the scores.
 """
 
 from __future__ import annotations
@@ -17,15 +19,25 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import sized_join, written
-from .kernel import U, blocks, words
+from .kernel import BLOCK, U, blocks, mix, words
 
 WORD_SHARE, PAIR_SHARE, LEAST, DISCOUNT = 1e-5, 1e-6, 2, 0.75
 #: Counts that a task holds before it sends them on.
 HELD = 1_500_000
+#: What stands before the first word of a text.
+START = 0x5DEECE66D
+
+
+def context_key(word: np.ndarray) -> np.ndarray:
+    return mix(word + U(0x2545F4914F6CDD1D))
+
+
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before + U(0x9E3779B97F4A7C15)) * U(3) + word)
 
 
 class Counter:
@@ -68,31 +80,57 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from held.flushed(0)
 
 
-def coded(w: dict[str, np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words and of the ones before them; len(vocabulary) is any other word, one more is the start of a text."""
-    at = np.searchsorted(vocabulary, w["hash"])
-    at[at == len(vocabulary)] = 0
-    code = np.where(vocabulary[at] == w["hash"], at, len(vocabulary)) if len(vocabulary) else np.zeros(len(w["hash"]), np.int64)
-    before = np.full(len(code), len(vocabulary) + 1, np.int64)
-    inner = np.flatnonzero(w["row"][1:] == w["row"][:-1]) + 1
+def coded(h: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """What words are known by: their places in short, the sorted hashes of frequent words, which shuffle small; others by hash."""
+    if not len(short):
+        return h | U(1 << 63)
+    at = np.minimum(np.searchsorted(short, h), len(short) - 1)
+    return np.where(short[at] == h, at.astype(U), h | U(1 << 63))
+
+
+def befores(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The code of the word before each word, START for the first of a text."""
+    before = np.full(len(code), START, U)
+    inner = np.flatnonzero(row[1:] == row[:-1]) + 1
     before[inner] = code[inner - 1]
-    return code, before
+    return before
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
-    known, held = vocabulary.value, Counter()
+def coded_words(batches: Iterator[pa.RecordBatch], short: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in blocks(batch, "text"):
+        key = coded(batch.column("key").to_numpy().view(U), short.value).view(np.int64)
+        yield batch.set_column(0, "key", pa.array(key))
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch], short: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block with their counts; Spark adds them up."""
+    for batch in batches:
+        for b in blocks(batch, "text", 8 * BLOCK):
             w = words(b.column("text"))
             if len(w["hash"]):
-                code, before = coded(w, known)
-                held.add(before * (len(known) + 2) + code, b.column("target").to_numpy(zero_copy_only=False)[w["row"]])
-            yield from held.flushed(HELD)
-    yield from held.flushed(0)
+                word = coded(w["hash"], short.value)
+                before = befores(w["row"], word)
+                key, first, at = np.unique(pair_key(before, word), return_index=True, return_inverse=True)
+                target = np.bincount(at, weights=b.column("target").to_numpy(zero_copy_only=False)[w["row"]], minlength=len(key)).astype(np.int64)
+                columns = (before[first].view(np.int64), word[first].view(np.int64), np.bincount(at, minlength=len(key)), target)
+                for i in range(0, len(key), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["before", "word", "n", "n_target"])
+
+
+def keyed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        before, word = (batch.column(c).to_numpy().view(U) for c in ("before", "word"))
+        yield batch.set_column(0, "key", pa.array(pair_key(before, word).view(np.int64))).select(["key", "n", "target", "background"])
+
+
+def keyed_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = context_key(batch.column("before").to_numpy().view(U)).view(np.int64)
+        yield batch.set_column(0, "key", pa.array(key)).select(["key", "n", "target", "background"])
 
 
 class Model:
-    """Log probabilities of one of the two models for codes of pairs."""
+    """Log probabilities of one of the two models for codes of pairs, on arrays: what the written table is compared with."""
 
     def __init__(self, pairs: np.ndarray, count: np.ndarray, word: np.ndarray, context: np.ndarray) -> None:
         size = len(word) + 1  # codes of contexts: the words, the other words, the start
@@ -105,24 +143,30 @@ class Model:
         self.pair = np.log(part + rest[pairs // size] * np.exp(self.word[pairs % size]))
 
 
-def score_texts(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, pairs: Broadcast, models: Broadcast) -> Iterator[pa.RecordBatch]:
-    known, listed = vocabulary.value, pairs.value
+def score_texts(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Broadcast, other: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """Each text's sums over the broadcast rows, and the keys with their counts that are not among them."""
+    listed, values = table.value
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
         for b in blocks(batch, "text"):
             w = words(b.column("text"))
-            n = np.bincount(w["row"], minlength=b.num_rows)
-            code, before = coded(w, known)
-            key = before * (len(known) + 2) + code
+            word = coded(w["hash"], short.value)
+            before = befores(w["row"], word)
+            of = np.tile(w["row"], 3)
+            key = np.concatenate([word, context_key(before), pair_key(before, word)])
             at = np.searchsorted(listed, key)
             at[at == len(listed)] = 0
             hit = listed[at] == key if len(listed) else np.zeros(len(key), bool)
-            losses = []
-            for m in models.value:
-                p = m.rest[before] + m.word[code]
-                p[hit] = m.pair[at[hit]]
-                losses.append(-np.bincount(w["row"], weights=p, minlength=b.num_rows) / np.maximum(n, 1))
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(losses[0], mask=none), pa.array(losses[1], mask=none), pa.array(losses[0] - losses[1], mask=none)], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+            n = np.bincount(w["row"], minlength=b.num_rows)
+            sums = [n * o + np.bincount(of[hit], weights=v[at[hit]], minlength=b.num_rows) for v, o in zip(values, other, strict=True)]
+            of, key = of[~hit], key[~hit]
+            order = np.lexsort((key, of))
+            of, key = of[order], key[order]
+            new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
+            ends = pa.array(np.searchsorted(of[new], np.arange(b.num_rows + 1)).astype(np.int32))
+            more = pa.StructArray.from_arrays([pa.array(key[new].view(np.int64)), pa.array(np.diff(np.r_[new, len(key)]))], ["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(b.num_rows)), b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x) for x in sums), pa.ListArray.from_arrays(ends, more)], ["row", "doc_id", "n_tokens", "target", "background", "more"])
+            row += b.num_rows
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,29 +183,44 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str =
     sums = [F.sum("n").alias("n"), F.sum("n_target").alias("n_target")]
 
     one = written(marked.mapInArrow(count_words, kind).groupBy("key").agg(*sums), "lm-words")
-    total, target = one.agg(F.sum("n"), F.sum("n_target")).first()
-    total, target = total or 0, target or 0
+    kept = one.where(F.col("n") >= LEAST)
+    total, target = (x or 0 for x in one.agg(F.sum("n"), F.sum("n_target")).first())
+    size, n, n_target = (x or 0 for x in kept.agg(F.count("*"), F.sum("n"), F.sum("n_target")).first())
+    wholes = {"target": np.log(target + size + 1), "background": np.log(total + size + 1)}
+    other = np.log(target - n_target + 1) - wholes["target"], np.log(total - n + 1) - wholes["background"]
     # At most 1 / WORD_SHARE rows.
-    top = one.where(F.col("n") >= max(LEAST, WORD_SHARE * total)).toArrow()
-    key, n, n_target = (top.column(c).to_numpy() for c in ("key", "n", "n_target"))
-    order = np.argsort(key.view(U))
-    known = spark.sparkContext.broadcast(key.view(U)[order])
-    word = [np.r_[c[order], whole - c.sum()].astype(float) for c, whole in ((n_target, target), (n, total))]
-
-    two = written(marked.mapInArrow(partial(count_pairs, vocabulary=known), kind).groupBy("key").agg(*sums), "lm-pairs")
-    size = len(key) + 2
-    # At most 1 / WORD_SHARE + 2 rows of contexts and 1 / PAIR_SHARE of pairs.
-    by = two.groupBy((F.col("key") / size).cast("long").alias("key")).agg(*sums).toArrow()
-    top = two.where(F.col("n") >= max(LEAST, PAIR_SHARE * total)).toArrow()
-    pairs = top.column("key").to_numpy()
-    order = np.argsort(pairs)
-    listed, models = pairs[order], []
-    for name, w in (("n_target", word[0]), ("n", word[1])):
-        context = np.zeros(size)
-        context[by.column("key").to_numpy()] = by.column(name).to_numpy()
-        models.append(Model(listed, top.column(name).to_numpy()[order], w, context))
-    sent = [spark.sparkContext.broadcast(x) for x in (listed, models)]
-    return slim.mapInArrow(partial(score_texts, vocabulary=known, pairs=sent[0], models=sent[1]), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    often = kept.where(F.col("n") >= WORD_SHARE * total).select("key").toArrow().column("key").to_numpy()
+    short = spark.sparkContext.broadcast(np.sort(often.view(U)))
+    two = written(marked.mapInArrow(partial(count_pairs, short=short), "before long, word long, n long, n_target long").groupBy("before", "word").agg(*sums), "lm-pairs")
+    often = F.col("n") >= LEAST
+    part = {"target": "n_target", "background": "n"}
+    left = [(1 - F.coalesce(F.sum(F.when(often, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)))) / F.nullif(F.sum(c), F.lit(0)), F.lit(0.0))).alias(k) for k, c in part.items()]
+    contexts = two.groupBy("before").agg(F.sum("n").alias("n"), *(F.sum(c).alias(f"of_{k}") for k, c in part.items()), *left)
+    contexts = written(contexts.withColumns({k: F.log(F.least(F.greatest(F.col(k), F.lit(1e-9)), F.lit(1.0))) for k in part}), "lm-contexts")
+    vocabulary = written(kept.mapInArrow(partial(coded_words, short=short), kind).select("key", "n", *((F.log(F.col(c) + 1.0) - float(wholes[k])).alias(k) for k, c in part.items())), "lm-vocabulary")
+    pairs = two.where(often).select("before", "word", "n", "n_target")
+    pairs = sized_join(pairs, contexts.drop("n").withColumnsRenamed({k: f"rest_{k}" for k in part}), "before", "inner")
+    pairs = sized_join(pairs, vocabulary.select(F.col("key").alias("word"), *(F.col(k).alias(f"word_{k}") for k in part)), "word", "inner")
+    share = {k: F.coalesce(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.nullif(F.col(f"of_{k}"), F.lit(0)), F.lit(0.0)) for k, c in part.items()}
+    # What a listed pair adds to the logarithms of its context's rest and of its word.
+    pairs = pairs.select("before", "word", "n", *(F.log1p(share[k] / F.exp(F.col(f"rest_{k}") + F.col(f"word_{k}"))).alias(k) for k in part))
+    pairs = pairs.mapInArrow(keyed_pairs, "key long, n long, target double, background double").withColumn("share", F.lit(PAIR_SHARE))
+    single = contexts.select("before", "n", *part).mapInArrow(keyed_contexts, "key long, n long, target double, background double")
+    single = single.where("target <> 0 or background <> 0").unionByName(vocabulary.select("key", "n", *((F.col(k) - float(o)).alias(k) for k, o in zip(part, other, strict=True))))
+    table = written(single.withColumn("share", F.lit(WORD_SHARE)).unionByName(pairs), "lm-table")
+
+    frequent = F.col("n") >= F.col("share") * total
+    top = table.where(frequent).select("key", *part).toArrow()
+    key = top.column("key").to_numpy().view(U)
+    order = np.argsort(key)
+    sent = spark.sparkContext.broadcast((key[order], tuple(top.column(k).to_numpy()[order] for k in part)))
+    scored = slim.mapInArrow(partial(score_texts, short=short, table=sent, other=tuple(float(o) for o in other)), "row long, doc_id long, n_tokens long, target double, background double, more array<struct<key:long,c:long>>")
+    scored = written(scored, "lm-scored")
+    more = sized_join(scored.select("row", F.inline("more")), written(table.where(~frequent).select("key", *part), "lm-rest"), "key", "inner")
+    more = written(more.groupBy("row").agg(*(F.sum(F.col(k) * F.col("c")).alias(f"more_{k}") for k in part)), "lm-more")
+    out = sized_join(scored.drop("more"), more, "row", "left")
+    loss = {k: F.when(F.col("n_tokens") > 0, -(F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0))) / F.col("n_tokens")) for k in part}
+    return out.select("doc_id", "n_tokens", *(v.alias(f"loss_{k}") for k, v in loss.items())).withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

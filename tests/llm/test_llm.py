@@ -4,6 +4,7 @@ import hashlib
 import base64
 import itertools
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -290,6 +291,39 @@ def test_models_are_distributions(spark, docs):
         assert abs(sum(p) - 1) < 1e-9
 
 
+def test_models_keep_all_pairs_seen_twice(spark, monkeypatch):
+    rows = [(i, " ".join(f"v{(i * 7 + j * j) % 23}" for j in range(40))) for i in range(30)] + [(30, "rare pair alone"), (31, "rare pair"), (32, "v1 once v2"), (33, ""), (33, None)]
+    docs, targets = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in (1, 2, 3, 30, 31, 32)], "doc_id long")
+    # The two models by plain counts; 'other' stands for words seen once, a context of one has no pairs.
+    scores = {}
+    texts = [(i, (t or "").split()) for i, t in rows]
+    both = [[w for i, w in texts if i in (1, 2, 3, 30, 31, 32)], [w for _, w in texts]]
+    seen = [(Counter(x for t in c for x in t), Counter(p for t in c for p in zip(["^", *t], t))) for c in both]
+    listed = {p for p, n in seen[1][1].items() if n >= 2}
+    vocabulary = {x for x, n in seen[1][0].items() if n >= 2}
+    for (n, m), k in zip(seen, ("loss_target", "loss_background"), strict=True):
+        of = Counter()
+        for p, c in m.items():
+            of[p[0]] += c
+        whole, other = sum(n.values()) + len(vocabulary) + 1, sum(c for x, c in n.items() if x not in vocabulary)
+        for i, t in texts:
+            total = 0.0
+            for p in zip(["^", *t], t):
+                part = {q: max(m[q] - lmscore.DISCOUNT, 0) / of[q[0]] if of[q[0]] else 0 for q in listed if q[0] == p[0]}
+                one = ((n[p[1]] if p[1] in vocabulary else other) + 1) / whole
+                total -= np.log(part.get(p, 0) + (1 - sum(part.values())) * one)
+            scores[i, k] = total / len(t) if t else None
+    # Shares that leave all rows, some, or none to the join.
+    for share in (2.0, 0.01, 0.0):
+        monkeypatch.setattr(lmscore, "WORD_SHARE", share)
+        monkeypatch.setattr(lmscore, "PAIR_SHARE", share)
+        got = lmscore.cross_entropy_difference(docs, targets).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            for k in ("loss_target", "loss_background"):
+                assert (x[k] is None and scores[x.doc_id, k] is None) or abs(x[k] - scores[x.doc_id, k]) < 1e-9, (share, x, k)
+
+
 def test_odd_rows(spark, odd):
     bench, labels = spark.read.parquet(f"{D}/benchmark.parquet"), odd.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic", "1 as quality")
     n = odd.count()
