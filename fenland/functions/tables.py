@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that each open scratch has to drop, the innermost last.
+SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("fenland_scratch", default=())
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary folder."""
@@ -22,8 +28,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
+def dropped(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are dropped at its end, but for those kept, which live as long as the scratch around it."""
+    own: list[str] = []
+    token = SCRATCH.set((*SCRATCH.get(), own))
+    try:
+        yield
+    finally:
+        SCRATCH.reset(token)
+        for folder in own:
+            dropped(spark, folder)
+
+
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder; kept: it outlives the scratch in which it is written."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    if of := SCRATCH.get()[: -1 if kept else None]:
+        of[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

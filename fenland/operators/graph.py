@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fenland.functions.tables import written
+from fenland.functions.tables import scratch, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,16 +13,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round is two aggregations and joins on node keys and is written to the shared folder; stars end after one or
     two. Nulls and loops are dropped.
     """
-    e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("b"), F.col("a")).toDF("a", "b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.where("m < a").select("a", "m").toDF("a", "b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = written(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            return e.groupBy("a").agg(F.min("b").alias("comp")).union(e.select("b", "b").distinct()).toDF("node", "comp").groupBy("node").agg(F.min("comp").alias("comp"))
-        last = now
-    raise RuntimeError(f"components are not settled after {rounds} rounds")
+    with scratch(edges.sparkSession):
+        e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        last = None
+        for _ in range(rounds):
+            both = e.union(e.select(F.col("b"), F.col("a")).toDF("a", "b"))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.where("m < a").select("a", "m").toDF("a", "b")).where("a <> b").distinct()
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            e = written(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == last:
+                out = e.groupBy("a").agg(F.min("b").alias("comp")).union(e.select("b", "b").distinct()).toDF("node", "comp").groupBy("node").agg(F.min("comp").alias("comp"))
+                return written(out, "components", kept=True)
+            last = now
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
