@@ -7,9 +7,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fenland.functions.tables import new_folder, shared_dir, written
+from fenland.functions.tables import new_folder, scratch, shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "arrow_rows", "host_of", "new_folder", "shared_dir", "sized_join", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "arrow_rows", "host_of", "new_folder", "scratch", "shared_dir", "sized_join", "table", "text_key", "written"]
 
 #: A side of a join is broadcast only when its measured rows do not exceed this.
 BROADCAST_ROWS = 1_000_000
@@ -33,6 +33,12 @@ def host_of(source: Column) -> Column:
     return F.coalesce(source.cast("string"), F.lit(""))
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text, as key1 and key2; a null text has those of an empty one."""
+    t = F.coalesce(text, F.lit(""))
+    return F.xxhash64(F.lit(1), t).alias("key1"), F.xxhash64(F.lit(2), t).alias("key2")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for the jobs that start inside; the session's own value comes back after it."""

@@ -10,10 +10,15 @@ sets meet in a scheme. A scheme cuts the hashed feature domain into partitions a
   any linked set, so the first m - t + 1 in partition order are enough (pigeonhole).
 
 Void subsets would be one hot key; a set emits them only if its non-void subsets do not already prove a meeting.
-Sets are keyed by a 64-bit digest, so equal sets are one node. Groups of more than HOT sets are not paired: their sets
-emit all their subsets and each drops its t - 1 most frequent ones, which again leaves a common one for every linked pair.
-Each group is then tested as a star around a leader, until few pairs of different components are left, and those are
-tested one by one: no link between different texts is lost and no group is expanded into all its pairs.
+Sets are keyed by a 64-bit digest, so equal sets are one node. The sets of a signature are paired while they are read if
+they are at most HOT. The sets of larger groups (hot sets) enumerate subsets of the finest partition, that of single
+features: two linked sets share enough features that, in any common order, an l-subset of the first features of both is
+the same. The order puts features of few hot sets first, so that what many share seldom makes a subset. With l = 1, 2, ...
+groups of a subset that are still large are tested as stars around leaders; the sets of those that keep different
+components go on to l + 1, where only subsets that begin with an open one are made. Every member of a subset carries its
+size and the largest size of a set that it can still be linked with; pairs beyond these are never made, and a group is
+closed when all others are in one component. So no link between different texts is lost, no group is expanded into all
+its pairs, and a group is split further as long as it is large.
 
 Nulls and empty texts have an empty set and are linked with nothing; null ids keep their row; repeated rows are copies.
 """
@@ -21,20 +26,28 @@ Nulls and empty texts have an empty set and are linked with nothing; null ids ke
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import arrow_rows, sized_join, written
+from .common import arrow_rows, scratch, sized_join, text_key, written
 from fenland.operators.graph import connected_components
 from .kernel import U, blocks, heads, mix, shingles, words
 
 SMALL = 64
 HOT = 48
-#: Leader rounds before the pairs left are tested one by one, and pairs a row of a group that end the rounds early, as does a
-#: round that finds a link for fewer than one row in a thousand.
-ROUNDS, PAIRS_A_ROW = 6, 4
+#: Leader rounds before the sets of groups that stay open go on to larger subsets.
+ROUNDS = 4
+#: Features in more than HOT hot sets whose counts are broadcast (16 bytes each), and open subsets broadcast at once; beyond,
+#: only more frequent features are told apart, and open subsets are taken in several passes.
+FREQUENT, OPEN = 1_000_000, 1_000_000
+#: Signature rows that a task sorts at once to take the excess of hot groups out.
+SORTED = 1_000_000
+#: Groups are closed by classes of sizes, each CLASS times the one before.
+CLASS = 1.02
 #: The bits of two sets' parities that differ are at most as many as the elements that do. Sets of LONG and more elements,
 #: which fill the short parity, have one of LONG_PARITY bits too.
 PARITY, LONG, LONG_PARITY = 512, 700, 8192
@@ -42,6 +55,8 @@ PARITY, LONG, LONG_PARITY = 512, 700, 8192
 WIDE_ROWS = 150_000
 #: Rows that are handed to Python at once, which bounds the memory of a worker and of its executor.
 BATCH = 2000
+#: What a row is known by: its id and 128 bits of its text.
+KEY = ("doc_id", "key1", "key2")
 
 
 def linked(same, a, b):
@@ -77,7 +92,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             in_large = large[row]
             wide = parity(place[row[in_large]], h[in_large], int(large.sum()), LONG_PARITY)
             wide = wide.take(pa.array(place, mask=~large))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest.view(np.int64)), parity(row, h, len(size), PARITY), wide], ["doc_id", "n_shingles", "node", "bits", "wide"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), pa.array(size, pa.int64()), pa.array(digest.view(np.int64)), parity(row, h, len(size), PARITY), wide], [*KEY, "n_shingles", "node", "bits", "wide"])
 
 
 def schemes(size: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -96,9 +111,9 @@ def schemes(size: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         yield own, low, most
 
 
-def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, all_of_them: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set (position), signature and number of droppable signatures (t - 1, with all_of_them; else 0)."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set (position) and signature."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for own, low, most in schemes(size):
         k = np.full(len(size), -1, np.int64)
         k[own] = most
@@ -133,93 +148,196 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, all_of_them: bo
             sig = mix(sig + salt + np.arange(n1, dtype=U)[None, :, None] * U(0x9E3779B97F4A7C15) + np.arange(3, dtype=U)[None, None, :])
             risky = none.any(2).sum(1) >= n1 - k[sets_here] // 2
             emit = ~none | risky[:, None, None]
-            out.append((np.broadcast_to(sets_here[:, None, None], sig.shape)[emit], sig[emit], np.zeros(int(emit.sum()), np.int64)))
+            out.append((np.broadcast_to(sets_here[:, None, None], sig.shape)[emit], sig[emit]))
             continue
         of = cells // width
         sig = mix(sums + salt + (cells % width).astype(U) * U(0x9E3779B97F4A7C15))
         m = np.bincount(of, minlength=len(size))
         spare = m - k  # t: signatures that any linked set shares
         rank = np.arange(len(of)) - np.searchsorted(of, of)
-        emit = np.ones(len(of), bool) if all_of_them else rank <= np.where(spare[of] > 0, k[of], m[of])
-        out.append((of[emit], sig[emit], np.maximum(spare[of] - 1, 0)[emit] if all_of_them else np.zeros(int(emit.sum()), np.int64)))
+        emit = rank <= np.where(spare[of] > 0, k[of], m[of])
+        out.append((of[emit], sig[emit]))
         for s in np.unique(of[spare[of] <= 0]):
             missing = np.setdiff1d(np.arange(n1), cells[of == s] % width).astype(U)
-            out.append((np.full(len(missing), s), mix(salt + missing * U(0x9E3779B97F4A7C15)), np.zeros(len(missing), np.int64)))
+            out.append((np.full(len(missing), s), mix(salt + missing * U(0x9E3779B97F4A7C15))))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, U)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+class Dealer:
+    """Rows (sig, node, ...) of a task, sorted and freed of repeated ones. Of a sig with more than HOT nodes here the first
+    HOT + 1, which make its group known as hot, go to the group; the others are dealt at random, marked by another deal."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.parts, self.size = names, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size > SORTED:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        self.parts, self.size = [], 0
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        sig, node = columns[:2]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        columns = [c[new] for c in columns]
+        sig, node = columns[:2]
+        at = heads(sig)
+        rank = np.arange(len(sig)) - np.repeat(at, np.diff(np.r_[at, len(sig)]))
+        away = np.where(rank > HOT, mix(node.view(U) + U(3)).view(np.int64), sig)
+        for i in range(0, len(sig), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (away, *columns)], ["deal", *self.names])
+
+
 def emit_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """deal, sig: the signature, or for a node of a hot group that is dealt at random another deal than sig; node."""
+    rows = Dealer(["sig", "node"])
     for batch in batches:
         for b in blocks(batch, "text"):
             row, h, size, digest = sets(b.column("text"))
             copies = np.ones(len(size), bool)
             copies[np.unique(digest, return_index=True)[1]] = False
             size[copies] = 0  # the same node as one before it in this block
-            of, sig, _ = signatures(row, h, size, False)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(digest[of].view(np.int64))], ["sig", "node"])
-
-
-def emit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in blocks(batch, "text"):
-            row, h, size, digest = sets(b.column("text"))
-            of, sig, spare = signatures(row, h, size, True)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(digest[of].view(np.int64)), pa.array(spare)], ["sig", "node", "spare"])
+            of, sig = signatures(row, h, size)
+            yield from rows.add(sig.view(np.int64), digest[of].view(np.int64))
+    yield from rows.rest()
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (sig, node): the pairs (a, b) of different nodes of each sig that has 2 to HOT of them, with sig null;
-    (sig, a) for each node of a larger one, with b null. Rows held: those of a batch and HOT + 1."""
-    sig, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    (sig, a, n, reach) for each node of a larger one, with b null. Where rows have n and reach, only nodes that are within each
+    other's reach are paired. Rows held: those of a batch and HOT + 1."""
+    names = ["sig", "a", "b", "n", "reach"]
+    columns: list[np.ndarray] = []
     hot = None  # the sig whose nodes are being sent one by one
 
-    def sent(s: np.ndarray, n: np.ndarray, long: bool) -> Iterator[pa.RecordBatch]:
+    def large(rows: list[np.ndarray]) -> pa.RecordBatch:
+        k = len(rows[0])
+        more = [pa.array(c) for c in rows[2:]] or [pa.nulls(k, pa.int32())] * 2
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(k, pa.int64()), *more], names)
+
+    def sent(rows: list[np.ndarray], long: bool) -> Iterator[pa.RecordBatch]:
         """long: the last run goes on and is large."""
         nonlocal hot
+        s, n = rows[:2]
         at = heads(s)
         size = np.diff(np.r_[at, len(s)])
         big = (size > HOT) | (s[at] == hot) if hot is not None else size > HOT
         big[-1] |= long
-        rows = np.repeat(big, size)
-        if rows.any():
-            yield pa.RecordBatch.from_arrays([pa.array(s[rows]), pa.array(n[rows]), pa.nulls(int(rows.sum()), pa.int64())], ["sig", "a", "b"])
+        of_big = np.repeat(big, size)
+        if of_big.any():
+            yield large([c[of_big] for c in rows])
         hot = s[-1] if big[-1] else None
         pairs = [np.zeros((0, 2), np.int64)]
         for k in np.unique(size[~big]):
             if k > 1:
-                block = n[at[~big & (size == k)][:, None] + np.arange(k)]
+                block = at[~big & (size == k)][:, None] + np.arange(k)
                 i, j = np.triu_indices(k, 1)
-                pairs.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], 1))
+                x, y = block[:, i].ravel(), block[:, j].ravel()
+                if len(rows) > 2:
+                    ok = (rows[2][x] <= rows[3][y]) & (rows[2][y] <= rows[3][x])
+                    x, y = x[ok], y[ok]
+                pairs.append(np.stack([n[x], n[y]], 1))
         found = np.concatenate(pairs)
         if len(found):
             found = found[np.lexsort((found[:, 1], found[:, 0]))]
             new = np.r_[True, (found[1:] != found[:-1]).any(1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(found[new, 0]), pa.array(found[new, 1])], ["sig", "a", "b"])
+            k = int(new.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(found[new, 0]), pa.array(found[new, 1]), *[pa.nulls(k, pa.int32())] * 2], names)
 
     for batch in batches:
-        if not batch.num_rows:
+        rows = [batch.column(c).to_numpy() for c in ("deal", "sig", "node", "n", "reach") if c in batch.schema.names]
+        away = rows[0] != rows[1]
+        if away.any():
+            yield large([c[away] for c in rows[1:]])
+        rows = [c[~away] for c in rows[1:]]
+        columns = [np.r_[x, y] for x, y in zip(columns, rows, strict=True)] if columns else rows
+        if not len(columns[0]):
             continue
-        sig, node = np.r_[sig, batch.column("sig").to_numpy()], np.r_[node, batch.column("node").to_numpy()]
+        sig, node = columns[:2]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
+        columns = [c[new] for c in columns]
+        sig = columns[0]
         # The last run waits if it is short; of a long one the last row does, as the next batch may bring its double.
         tail = len(sig) - heads(sig)[-1]
         keep = tail if tail <= HOT and sig[-1] != hot else 1
         if len(sig) > keep:
-            yield from sent(sig[:-keep], node[:-keep], keep < tail)
-            sig, node = sig[-keep:], node[-keep:]
-    if len(sig):
-        yield from sent(sig, node, False)
+            yield from sent([c[:-keep] for c in columns], keep < tail)
+            columns = [c[-keep:] for c in columns]
+    if columns and len(columns[0]):
+        yield from sent(columns, False)
+
 
+def meetings(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct pairs (a, b) that meet in small groups, and the rows (sig, node, n, reach) of large ones."""
+    dealt = rows.repartition("deal").sortWithinPartitions("deal", "sig", "node")
+    out = written(dealt.mapInArrow(met, "sig long, a long, b long, n int, reach int"), name)
+    return out.where("b is not null").select("a", "b").distinct(), out.where("b is null").select("sig", F.col("a").alias("node"), "n", "reach")
 
-def meetings(sig: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct pairs (a, b) that meet in small groups, and the rows (sig, node) of large ones."""
-    dealt = sig.select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node")
-    out = written(dealt.mapInArrow(met, "sig long, a long, b long"), name)
-    return out.where("sig is null").select("a", "b").distinct(), out.where("sig is not null").select("sig", F.col("a").alias("node"))
+
+def emit_each_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in blocks(batch, "text"):
+            row, h, size, digest = sets(b.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(digest[row].view(np.int64)), pa.array(h.view(np.int64))], ["node", "feature"])
+
+
+def subset_key(before: np.ndarray | np.uint64, feature: np.ndarray) -> np.ndarray:
+    """The key of a subset that goes on with a feature."""
+    return mix(mix(feature ^ U(0xA0761D6478BD642F)) + before * U(3) + U(1))
+
+
+def subsets(key: np.ndarray, n: int, opened: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the l-subsets of a set's ordered features, l = len(opened) + 1, whose beginnings are open, and how many
+    features there may be in common with a set that shares the subset as its first l common features."""
+    least = -(-3 * n // 4)  # the fewest features in common with any linked set
+    ends, keys = np.array([-1]), np.zeros(1, U)
+    for level in range(1, len(opened) + 2):
+        last = n - least - 1 + level  # the last place at which the l-th common feature may stand
+        many = np.maximum(last - ends, 0)
+        of = np.repeat(np.arange(len(ends)), many)
+        at = ends[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        keys, ends = subset_key(keys[of], key[at]), at
+        if level <= len(opened):
+            stay = np.isin(keys, opened[level - 1])
+            keys, ends = keys[stay], ends[stay]
+    return keys, n - ends - 1 + len(opened) + 1
+
+
+def emit_subsets(batches: Iterator[pa.RecordBatch], frequent: Broadcast, opened: Broadcast) -> Iterator[pa.RecordBatch]:
+    """deal, sig, node, n, reach for each subset of a set's features that may be the first ones in common with a linked set."""
+    listed, count = frequent.value
+    rows = Dealer(["sig", "node", "n", "reach"])
+    for batch in batches:
+        for b in blocks(batch, "text"):
+            row, h, size, digest = sets(b.column("text"))
+            often = np.zeros(len(h), np.int64)
+            if len(listed):
+                at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+                often = np.where(listed[at] == h, count[at], 0)
+            h = h[np.lexsort((h, often, row))]
+            start = np.cumsum(size) - size
+            if not opened.value:
+                place = np.arange(len(h)) - start[row]
+                n = size[row]
+                take = place <= n - -(-3 * n // 4)
+                of, key, most = row[take], subset_key(U(0), h[take]), (n - place)[take]
+            else:
+                found = [(i, *subsets(h[start[i] : start[i] + size[i]], int(size[i]), opened.value)) for i in np.flatnonzero(size).tolist()]
+                of = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+                key, most = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in ((1, U), (2, np.int64)))
+            n = size[of]
+            yield from rows.add(key.view(np.int64), digest[of].view(np.int64), n.astype(np.int32), ((7 * most - 3 * n) // 3).astype(np.int32))
+    yield from rows.rest()
 
 
 def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +348,15 @@ def emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["node", "features"])
 
 
+def texts_of(slim: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The text of one document at least of each wanted node; texts of other nodes may be among them."""
+    firsts = written(sized_join(nodes.select("node", "doc_id"), wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")).select("first").distinct(), "jaccard-firsts")
+    return sized_join(slim, firsts, slim["doc_id"].eqNullSafe(firsts["first"]), "left_semi").select("text")
+
+
 def made_again(slim: DataFrame, nodes: DataFrame, wanted: DataFrame, make, kind: str) -> DataFrame:
     """What make yields (kind, with node) for the wanted nodes, from the text of one document each; rows may repeat."""
-    firsts = written(sized_join(nodes.select("node", "doc_id"), wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")).select("first").distinct(), "jaccard-firsts")
-    texts = sized_join(slim, firsts, slim["doc_id"].eqNullSafe(firsts["first"]), "left_semi")
-    return sized_join(texts.select("text").mapInArrow(make, kind), wanted, "node", "left_semi")
+    return sized_join(texts_of(slim, nodes, wanted).mapInArrow(make, kind), wanted, "node", "left_semi")
 
 
 def compared(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -275,68 +397,142 @@ def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
     near = written(near.where(F.least("na", "nb") < LONG).select("a", "b").union(long), "jaccard-nearer")
     first = compared(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), slim, nodes)
     comp = written(connected_components(first), "jaccard-first-comp")
-    for x in "ab":
-        near = sized_join(near, comp.toDF(x, f"c{x}"), x, "left")
-    rest = written(near.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "jaccard-rest")
+    rest = written(apart_yet(near.select("a", "b"), comp), "jaccard-rest")
     return first if rest.isEmpty() else first.union(compared(rest, slim, nodes))
 
 
+def frequent_features(spark: SparkSession, texts: DataFrame, wanted: DataFrame) -> Broadcast:
+    """Features of more than HOT hot sets and their counts, sorted: at most FREQUENT, the most frequent."""
+    each = sized_join(texts.mapInArrow(emit_each_feature, "node long, feature long"), wanted, "node", "left_semi")
+    count = written(each.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "jaccard-frequent")
+    least = HOT
+    while count.where(F.col("n") > least).count() > FREQUENT:
+        least *= 2
+    found = count.where(F.col("n") > least).toArrow()
+    key = found.column("feature").to_numpy().view(U)
+    order = np.argsort(key)
+    return spark.sparkContext.broadcast((key[order], found.column("n").to_numpy()[order]))
+
+
+def open_rows(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Of the rows (sig, node, n, reach) of large groups those, with comp, that may be linked with one of another component.
+
+    Rows are summed up by group and class of sizes; a class meets 1 + log(4/3) / log(CLASS) classes at most.
+    """
+    here = sized_join(groups, comp.toDF("node", "c"), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c").withColumn("class", F.floor(F.log("n") / np.log(CLASS)).cast("int"))
+    here = written(here, "jaccard-here")
+    sums = written(here.groupBy("sig", "class").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach")), "jaccard-classes")
+    several = sums.groupBy("sig").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("sig")
+    sums = sums.join(several, "sig", "left_semi")
+    steps = int(np.log(4 / 3) / np.log(CLASS)) + 2
+    x = sums.select("sig", F.explode(F.sequence("class", F.col("class") + steps)).alias("class"), F.col("class").alias("class2"), *(F.col(c).alias(f"{c}2") for c in ("low", "high", "least", "most", "reach")))
+    both = x.join(sums, ["sig", "class"]).where((F.least("low", "low2") < F.greatest("high", "high2")) & (F.col("least") <= F.col("reach2")) & (F.col("least2") <= F.col("reach")))
+    # A row is open if a class with other components is in its reach and reaches it.
+    ends = both.select("sig", "class", F.col("least2").alias("from"), F.col("reach2").alias("to")).union(both.select("sig", "class2", "least", "reach"))
+    ends = written(ends.groupBy("sig", "class").agg(F.min("from").alias("from"), F.max("to").alias("to")), "jaccard-open")
+    return sized_join(here, ends, ["sig", "class"], "inner").where("reach >= from and n <= to").drop("from", "to")
+
+
 def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp) of the nodes that are linked with another."""
-    pairs, large = meetings(slim.select("text").mapInArrow(emit_signatures, "sig long, node long"), "jaccard-met")
-    hot = written(large.select("node").distinct(), "jaccard-hot")
-    if not hot.isEmpty():
-        every = made_again(slim, nodes, hot, emit_all, "sig long, node long, spare long")
-        rare = every.withColumn("freq", F.expr("count(*) over (partition by sig)")).where("freq > 1")
-        # A node's signatures: bounded by its own set, not by any group.
-        rare = rare.withColumn("place", F.expr("row_number() over (partition by node, spare order by freq desc, sig)")).where("place > spare")
-        more, large = meetings(rare, "jaccard-met-again")
-        pairs = pairs.union(more).distinct()
-    edges = verified(pairs, slim, nodes)
-    groups = written(sized_join(large, nodes.groupBy("node").agg(F.first("n_shingles").alias("n")), "node", "inner", rows=1 << 60), "jaccard-groups")
-    comp, rows = written(connected_components(edges), "jaccard-comp"), groups.count()
-    gain = rows
-    for turn in range(ROUNDS + 1 if rows else 0):
-        here = written(sized_join(groups, comp.toDF("node", "c"), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c"), "jaccard-here")
-        parts = here.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        split = written(parts.where("comps > 1"), "jaccard-split")
-        left = split.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")).first()["pairs"] or 0
-        if not left:
-            break
-        last = turn == ROUNDS or left <= PAIRS_A_ROW * rows or gain * 1000 < rows
-        open_rows = here.join(split.select("sig"), "sig", "left_semi")
-        fits = (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")) & (F.col("comp") != F.col("comp2"))
-        if last:
-            other = open_rows.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = open_rows.join(other, "sig").where(fits & (F.col("node") < F.col("node2")))
-        else:
-            lead = open_rows.groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2")), F.xxhash64("node", F.lit(turn))).alias("lead")).select("sig", "lead.*")
-            pairs = open_rows.join(lead, "sig").where(fits)
-        found = written(verified(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), slim, nodes), "jaccard-found")
-        gain = found.count()
-        edges = edges.union(found)
+    spark = slim.sparkSession
+    pairs, large = meetings(slim.select("text").mapInArrow(emit_signatures, "deal long, sig long, node long"), "jaccard-met")
+    wanted = written(large.select("node").distinct(), "jaccard-hot")
+    if wanted.isEmpty():
+        return connected_components(verified(pairs, slim, nodes))
+    frequent = frequent_features(spark, texts_of(slim, nodes, wanted), wanted)
+    opened: list[list[np.ndarray]] = [[]]  # for each pass the keys of open subsets, by their size
+    edges = comp = None
+    kind = "deal long, sig long, node long, n int, reach int"
+    while True:
+        groups, level = [], len(opened[0])
+        for keys in opened:
+            made = made_again(slim, nodes, wanted, partial(emit_subsets, frequent=frequent, opened=spark.sparkContext.broadcast(keys)), kind)
+            more, large = meetings(made, f"jaccard-met-{level}")
+            if comp is not None:
+                more = apart_yet(more, comp)
+            pairs = more if pairs is None else pairs.union(more).distinct()
+            groups.append(large)
+        found = verified(pairs, slim, nodes)
+        edges, pairs = found if edges is None else edges.union(found), None
         comp = written(connected_components(edges), "jaccard-comp")
-        if last:
-            break
-    return comp
+        large = groups[0]
+        for more in groups[1:]:
+            large = large.union(more)
+        for turn in range(ROUNDS):
+            rows = written(open_rows(large, comp), "jaccard-open-rows")
+            if rows.isEmpty():
+                return comp
+            # A leader of each size: one that many can be linked with may be of a size that few have.
+            lead = rows.groupBy("sig", "class").agg(F.min_by(F.struct(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("reach").alias("reach2"), F.col("comp").alias("comp2")), F.xxhash64("node", F.lit(turn + ROUNDS * level))).alias("lead")).select("sig", "lead.*")
+            # A row meets the leaders of its reach, 2 * log(4/3) / log(CLASS) at most.
+            stars = sized_join(rows, written(lead, "jaccard-leaders"), "sig", "inner").where("n <= reach2 and n2 <= reach and comp <> comp2")
+            edges = edges.union(verified(stars.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), slim, nodes))
+            comp = written(connected_components(edges), "jaccard-comp")
+        rows = written(open_rows(large, comp), "jaccard-open-rows")
+        if rows.isEmpty():
+            return comp
+        wanted = written(rows.select("node").distinct(), "jaccard-hot")
+        keys = rows.select("sig").distinct()
+        passes = -(-keys.count() // OPEN)
+        by_pass = [keys.where(F.pmod(F.xxhash64("sig"), F.lit(passes)) == i).toArrow().column("sig").to_numpy().view(U) for i in range(passes)]
+        opened = [[*before, np.sort(k)] for before in opened for k in by_pass]
+
+
+def apart_yet(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    for x in "ab":
+        pairs = sized_join(pairs, comp.toDF(x, f"c{x}"), x, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def components_by_row(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, key1, key2, n_shingles, node for each document: node is equal for linked documents and null for empty sets."""
+    with scratch(docs.sparkSession), arrow_rows(docs.sparkSession, BATCH):  # every Python step below is written before this ends
+        slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *text_key(F.col(text).cast("string")))
+        nodes = written(slim.mapInArrow(digests, "doc_id long, key1 long, key2 long, n_shingles long, node long, bits array<long>, wide array<long>"), "jaccard-nodes")
+        comp = linked_components(slim.select("doc_id", "text"), nodes)
+        named = nodes.select(*KEY, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+        named = sized_join(named, comp, "node", "left").select(*KEY, "n_shingles", F.coalesce("comp", "node").alias("node"))
+        return written(named, "jaccard-rows", kept=True)
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; see the module."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    with arrow_rows(docs.sparkSession, BATCH):  # every Python step below is written before this ends
-        nodes = written(slim.mapInArrow(digests, "doc_id long, n_shingles long, node long, bits array<long>, wide array<long>"), "jaccard-nodes")
-        comp = linked_components(slim, nodes)
-    named = nodes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    named = sized_join(named, comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("node"))
+    named = components_by_row(docs, doc_id, text)
     least = written(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1").select("node", "least"), "jaccard-least")
     return sized_join(named, least, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that are linked, over others too, with a document of a smaller id.
+    """One document of each group of linked ones, that of the smallest id (of rows without ids or with the same, that of the
+    least text key), and all documents without a word; columns stay as they are.
 
-    Documents without an id stay unless they are copies of one that has one; all columns stay as they are.
+    Rows are told apart by id and text, so that another text under the same id, or without one, is judged for itself. Of rows
+    equal in both one stays, the least by a hash of all its columns.
     """
-    found = written(jaccard_components(docs, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_fl_gone")).distinct(), "jaccard-gone")
-    return sized_join(docs, found, docs[doc_id].cast("long") == found["_fl_gone"], "left_anti")
+    named = components_by_row(docs, doc_id, text).where("node is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
+    least = written(named.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("members")).where("members > 1").select("node", *(F.col(f"first.{c}").alias(f"first_{c}") for c in KEY)), "jaccard-least")
+    of = sized_join(named, least, "node", "inner")
+    first = F.lit(True)
+    for c in KEY:
+        first = first & F.col(c).eqNullSafe(F.col(f"first_{c}"))
+    of = written(of.groupBy(*KEY).agg(F.max(first).alias("first"), F.count("*").alias("rows")), "jaccard-decided")
+    marked = docs.withColumns({"_fl_doc_id": F.col(doc_id).cast("long")} | {f"_fl_{c.removeprefix('_fl_')}": v for c, v in zip(("key1", "key2"), text_key(F.col(text).cast("string")), strict=True)})
+
+    def joined(keys: DataFrame, how: str) -> DataFrame:
+        keys = written(keys.select(*(F.col(c).alias(f"_fr_{c}") for c in KEY)), "jaccard-keys")
+        on = F.lit(True)
+        for c in KEY:
+            on = on & F.col(f"_fl_{c}").eqNullSafe(F.col(f"_fr_{c}"))
+        return sized_join(marked, keys, on, how)
+
+    out = joined(of.where("not first or rows > 1"), "left_anti").select(*docs.columns)
+    several = of.where("first and rows > 1")
+    if several.isEmpty():
+        return out
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = joined(several, "left_semi")
+    rows = rows.groupBy(*(f"_fl_{c}" for c in KEY)).agg(F.min_by(F.struct(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True))), F.xxhash64(*docs.columns)).alias("row"))
+    return out.union(rows.select(*(F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True))))

@@ -77,7 +77,7 @@ def test_jaccard_signatures_meet_for_random_sets():
                     break
                 b = c
             n = np.array([len(a), len(b)])
-            of, sig, _ = jaccard.signatures(np.repeat([0, 1], n), np.r_[np.sort(a), np.sort(b)], n, False)
+            of, sig = jaccard.signatures(np.repeat([0, 1], n), np.r_[np.sort(a), np.sort(b)], n)
             assert np.array_equal(np.sort(a), np.sort(b)) or set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (len(a), len(b))
 
 
@@ -89,7 +89,7 @@ def test_meetings_stream_in_any_batches():
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         cuts = [0, *sorted(rng.integers(0, n + 1, 5).tolist()), n]
-        out = [r for b in jaccard.met(iter(pa.RecordBatch.from_arrays([pa.array(sig[x:y]), pa.array(node[x:y])], ["sig", "node"]) for x, y in zip(cuts, cuts[1:]))) for r in zip(*(c.to_pylist() for c in b.columns))]
+        out = [r for b in jaccard.met(iter(pa.RecordBatch.from_arrays([pa.array(sig[x:y]), pa.array(sig[x:y]), pa.array(node[x:y])], ["deal", "sig", "node"]) for x, y in zip(cuts, cuts[1:]))) for r in zip(*(c.to_pylist() for c in b.columns[:3]))]
         pairs, large = set(), set()
         for s in set(sig.tolist()):
             m = sorted(set(node[sig == s].tolist()))
@@ -111,6 +111,63 @@ def test_jaccard_with_a_hot_group(spark):
     assert got == {i: 0 if i < 1000 else i for i, _ in rows}
 
 
+def test_jaccard_subsets_of_features_lose_no_link(spark, monkeypatch):
+    """Sets that share a passage and are seldom linked: all links are found where groups stay large."""
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rng = np.random.default_rng(6)
+    common = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        k = int(rng.integers(2, 16))
+        own = [f"o{i}_{j}" for j in range(k)] if i % 3 else [f"s{int(rng.integers(3))}_{j}" for j in range(k)]
+        rows.append((i, " ".join(own + common[: int(rng.integers(40, 61))])))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
+def test_subsets_of_features_meet_for_random_sets():
+    """Any linked pair shares its first l common features as a subset, within the reach of both."""
+    rng = np.random.default_rng(7)
+    for size in (4, 9, 20, 60):
+        for _ in range(30):
+            a = rng.permutation(10_000)[:size].astype(np.uint64)
+            b = a[rng.random(size) < 0.9]
+            b = np.unique(np.r_[b, rng.integers(20_000, 30_000, int(rng.integers(0, size // 8 + 1))).astype(np.uint64)])
+            if not len(b) or not jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                continue
+            a, b, opened = np.sort(a), np.sort(b), []
+            for _level in range(min(3, len(np.intersect1d(a, b)))):
+                (ka, ra), (kb, rb) = jaccard.subsets(a, len(a), opened), jaccard.subsets(b, len(b), opened)
+                key = np.intersect1d(ka, kb)
+                reach = lambda keys, most, n: {k: (7 * m - 3 * n) // 3 for k, m in zip(keys.tolist(), most.tolist())}
+                x, y = reach(ka, ra, len(a)), reach(kb, rb, len(b))
+                assert any(len(a) <= y[k] and len(b) <= x[k] for k in key.tolist())
+                opened.append(np.sort(key))
+
+
+def test_jaccard_of_unlinked_sets_with_one_passage(spark):
+    """5,000 sets of which 80 % are one passage are not linked; a few that are it nearly are linked with all."""
+    passage = [f"p{i}" for i in range(160)]
+    rows = [(i, " ".join([f"u{i}_{j}" for j in range(20)] + passage + [f"v{i}_{j}" for j in range(20)])) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert jaccard.jaccard_components(docs).where("component_id <> doc_id").count() == 0
+    more = spark.createDataFrame([(10_000 + i, " ".join([f"x{i}_{j}" for j in range(8)] + passage)) for i in range(50)], "doc_id long, text string")
+    assert jaccard.jaccard_components(docs.union(more)).where("component_id <> 0").count() == 0
+
+
 def test_packing_covers_each_id_once(docs):
     got = packing.pack(docs).collect()
     tk = tokens.Encoder(None).tokenizer
