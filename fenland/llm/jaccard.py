@@ -16,9 +16,10 @@ features: two linked sets share enough features that, in any common order, an l-
 the same. The order puts features of few hot sets first, so that what many share seldom makes a subset. With l = 1, 2, ...
 groups of a subset that are still large are tested as stars around leaders; the sets of those that keep different
 components go on to l + 1, where only subsets that begin with an open one are made. Every member of a subset carries its
-size and the largest size of a set that it can still be linked with; pairs beyond these are never made, and a group is
-closed when all others are in one component. So no link between different texts is lost, no group is expanded into all
-its pairs, and a group is split further as long as it is large.
+size and the largest size of a set that it can still be linked with; pairs beyond these are never made. A group is closed
+when all that can be linked are in one component, or when the few rows outside its largest one have been compared with
+all others. So no link between different texts is lost, no group is expanded into all its pairs, and a group is split
+further as long as many of its rows are apart.
 
 Nulls and empty texts have an empty set and are linked with nothing; null ids keep their row; repeated rows are copies.
 """
@@ -41,6 +42,11 @@ SMALL = 64
 HOT = 48
 #: Leader rounds before the sets of groups that stay open go on to larger subsets.
 ROUNDS = 4
+#: After the first round a group is settled by comparing its rows outside the largest component with all others, if these are
+#: at most STARS.
+STARS = 256
+#: What is known of a row of a large group.
+END = ("node", "n", "reach", "comp")
 #: Features in more than HOT hot sets whose counts are broadcast (16 bytes each), and open subsets broadcast at once; beyond,
 #: only more frequent features are told apart, and open subsets are taken in several passes.
 FREQUENT, OPEN = 1_000_000, 1_000_000
@@ -459,19 +465,23 @@ def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
         large = groups[0]
         for more in groups[1:]:
             large = large.union(more)
-        for turn in range(ROUNDS):
+        for turn in range(ROUNDS + 1):
             rows = written(open_rows(large, comp), "jaccard-open-rows")
             if rows.isEmpty():
                 return comp
+            if turn == ROUNDS:
+                break
+            by_comp = rows.groupBy("sig", "comp").agg(F.count("*").alias("rows"))
+            mains = by_comp.groupBy("sig").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), (F.sum("rows") - F.max("rows")).alias("others"))
+            few = written(mains.where(F.col("others") <= (STARS if turn else 0)).select("sig", "main"), "jaccard-few")
             # A leader of each size: one that many can be linked with may be of a size that few have.
-            lead = rows.groupBy("sig", "class").agg(F.min_by(F.struct(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("reach").alias("reach2"), F.col("comp").alias("comp2")), F.xxhash64("node", F.lit(turn + ROUNDS * level))).alias("lead")).select("sig", "lead.*")
-            # A row meets the leaders of its reach, 2 * log(4/3) / log(CLASS) at most.
-            stars = sized_join(rows, written(lead, "jaccard-leaders"), "sig", "inner").where("n <= reach2 and n2 <= reach and comp <> comp2")
+            lead = sized_join(rows, few, "sig", "left_anti").groupBy("sig", (F.col("class") / 4).cast("int").alias("sizes")).agg(F.min_by(F.struct(*END), F.xxhash64("node", F.lit(turn + ROUNDS * level))).alias("lead")).select("sig", "lead.*")
+            rest = sized_join(rows, few, "sig", "inner").where("comp <> main").select("sig", *END)
+            ends = written(lead.union(rest).toDF("sig", *(f"{c}2" for c in END)), "jaccard-leaders")
+            stars = sized_join(rows, ends, "sig", "inner").where("n <= reach2 and n2 <= reach and comp <> comp2")
             edges = edges.union(verified(stars.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), slim, nodes))
             comp = written(connected_components(edges), "jaccard-comp")
-        rows = written(open_rows(large, comp), "jaccard-open-rows")
-        if rows.isEmpty():
-            return comp
+            large = sized_join(large, few, "sig", "left_anti")
         wanted = written(rows.select("node").distinct(), "jaccard-hot")
         keys = rows.select("sig").distinct()
         passes = -(-keys.count() // OPEN)
