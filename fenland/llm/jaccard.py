@@ -383,11 +383,11 @@ def apart(p: str, q: str) -> Column:
     return F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, v: acc + v)
 
 
-def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame, stars: bool = False) -> DataFrame:
     """Links (a, b) that join the same nodes as all links among the pairs do.
 
     Sizes and parities sort most pairs out before texts are read; then each node is compared with its first partner, and
-    what is left between different components pair by pair.
+    what is left between different components pair by pair. Pairs of stars are compared all at once.
     """
     known = written(sized_join(nodes.select(F.col("node"), F.col("n_shingles").alias("n"), "bits"), written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-met-nodes"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-known")
     for x in "ab":
@@ -401,6 +401,8 @@ def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame) -> DataFrame:
         long = sized_join(long, wide.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")), x, "inner", limit=WIDE_ROWS // 10)
     long = long.where(7 * apart("wa", "wb") <= F.col("na") + F.col("nb")).select("a", "b")
     near = written(near.where(F.least("na", "nb") < LONG).select("a", "b").union(long), "jaccard-nearer")
+    if stars:
+        return compared(near.select("a", "b"), slim, nodes)
     first = compared(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), slim, nodes)
     comp = written(connected_components(first), "jaccard-first-comp")
     rest = written(apart_yet(near.select("a", "b"), comp), "jaccard-rest")
@@ -479,8 +481,9 @@ def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
             rest = sized_join(rows, few, "sig", "inner").where("comp <> main").select("sig", *END)
             ends = written(lead.union(rest).toDF("sig", *(f"{c}2" for c in END)), "jaccard-leaders")
             stars = sized_join(rows, ends, "sig", "inner").where("n <= reach2 and n2 <= reach and comp <> comp2")
-            edges = edges.union(verified(stars.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), slim, nodes))
+            edges = edges.union(verified(stars.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), slim, nodes, stars=True))
             comp = written(connected_components(edges), "jaccard-comp")
+            edges = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
             large = sized_join(large, few, "sig", "left_anti")
         wanted = written(rows.select("node").distinct(), "jaccard-hot")
         keys = rows.select("sig").distinct()
