@@ -66,8 +66,9 @@ def above_level_mask(cells: DataFrame, level: float) -> DataFrame:
 
 
 def site_stats(cells: DataFrame) -> DataFrame:
-    """Extremes of z and means of z and slope; NULL is ignored, cells above HAT are not."""
-    return cells.groupBy("site_id").agg(F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.avg("z").alias("mean_depth"), F.avg("slope").alias("mean_slope"), F.count("z").alias("n_cells"))
+    """Extremes of x, y (if cells have them) and z, means of z and slope; NULL is ignored, cells above HAT are not."""
+    sides = [f(k).alias(f"{n}_{k}") for k in ("x", "y") if k in cells.columns for n, f in (("min", F.min), ("max", F.max))]
+    return cells.groupBy("site_id").agg(*sides, F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.avg("z").alias("mean_depth"), F.avg("slope").alias("mean_slope"), F.count("z").alias("n_cells"))
 
 
 def fit_plane(cells: DataFrame) -> DataFrame:

@@ -145,28 +145,81 @@ def paint_orders(chains: DataFrame, orders: DataFrame, grid: DataFrame) -> DataF
     return parts.groupBy(*KEYS).agg(F.max("ord").alias("ord"))
 
 
-def snap(points: DataFrame, anchors: DataFrame) -> DataFrame:
+def snap(points: DataFrame, anchors: DataFrame, square: int = 8) -> DataFrame:
     """points(site_id, id, r, c) -> the nearest anchor cell (r2, c2) of the site, first of equal ones.
 
-    points is a short hand-made table; anchors stay where they are and are reduced for each point.
+    Points look for anchors in their square of the grid and the eight around it. An anchor within a square's side is the
+    nearest; points without one look again with squares four times as wide, until a square holds the grid.
     """
-    a = anchors.select("site_id", F.col("r").alias("r2"), F.col("c").alias("c2"))
-    return a.join(points, "site_id").groupBy("site_id", "id", "r", "c").agg(F.min_by(F.struct("r2", "c2"), F.struct(euclid(F.col("r"), F.col("c"), F.col("r2"), F.col("c2")), "r2", "c2")).alias("p")).select("site_id", "id", "r", "c", "p.*")
+    a = written(anchors.select("site_id", F.col("r").alias("r2"), F.col("c").alias("c2")).distinct(), "anchors")
+    left = written(points.select("site_id", "id", "r", "c").join(a.select("site_id").distinct(), "site_id", "left_semi"), "points")
+    most = [x or 0 for x in left.agg(F.max(F.greatest(F.abs("r"), F.abs("c")))).first()] + [x or 0 for x in a.agg(F.max(F.greatest(F.abs("r2"), F.abs("c2")))).first()]
+    out = None
+    while True:
+        of = lambda r, c: (F.floor(r / square).alias("tr"), F.floor(c / square).alias("tc"))
+        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        near = left.select("*", *of(F.col("r"), F.col("c"))).select("*", around.alias("o")).withColumns({"tr": F.col("tr") + F.col("o.i"), "tc": F.col("tc") + F.col("o.j")}).drop("o")
+        far = euclid(F.col("r"), F.col("c"), F.col("r2"), F.col("c2"))
+        best = near.join(a.select("*", *of(F.col("r2"), F.col("c2"))), ["site_id", "tr", "tc"]).groupBy("site_id", "id", "r", "c").agg(F.min_by(F.struct("r2", "c2"), F.struct(far, "r2", "c2")).alias("p"), F.min(far).alias("far"))
+        last = square > 2 * max(most)
+        found = best if last else best.where(F.col("far") <= square)
+        found = written(found.select("site_id", "id", "r", "c", "p.*"), "snapped")
+        out = found if out is None else out.union(found)
+        if last:
+            return out
+        left = written(left.join(found.select("site_id", "id", "r", "c"), ["site_id", "id", "r", "c"], "left_anti"), "points")
+        if left.isEmpty():
+            return out
+        square *= 4
+
+
+def correction_paths(skel: DataFrame, corrections: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(site_id, id, new_order, r, c, length, straight): the cells of the shortest path along the skeleton between the snapped
+    ends of each of corrections(site_id, id, r1, c1, r2, c2, new_order); none where no path joins them.
+
+    All corrections are searched together: each has a copy of its site's skeleton under a number of its own, once from each end.
+    """
+    each = written(corrections.select("site_id", "id", "new_order", F.explode(F.array(*(F.struct(F.lit(e).alias("end"), F.col(f"r{e}").alias("r"), F.col(f"c{e}").alias("c")) for e in (1, 2)))).alias("p")).select("site_id", "id", "new_order", "p.*").withColumn("own", F.monotonically_increasing_id()), "corrections")
+    at = snap(each.select("site_id", F.col("own").alias("id"), "r", "c"), anchors).select(F.col("id").alias("own"), F.col("r2").alias("r"), F.col("c2").alias("c"))
+    at = written(at, "snapped-ends")
+    copies = skel.select(*KEYS).join(each.select("site_id", "own"), "site_id").select(F.col("own").alias("site_id"), "r", "c")
+    d = geodesic_distance(copies, at.select(F.col("own").alias("site_id"), "r", "c")).withColumnRenamed("site_id", "own")
+    d = d.join(each.select("own", "site_id", "id", "new_order", "end"), "own")
+    both = d.groupBy("site_id", "id", "new_order", "r", "c").agg(F.sum("d").alias("sum"), F.count("*").alias("n")).where("n = 2")
+    ends = at.join(each.select("own", "site_id", "id", "end"), "own").groupBy("site_id", "id").agg(*(F.max(F.when(F.col("end") == e, F.col(k))).alias(f"{k}{e}") for e in (1, 2) for k in "rc"))
+    straight = ends.select("site_id", "id", euclid(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2")).alias("straight"))
+    best = both.groupBy("site_id", "id").agg(F.min("sum").alias("length")).join(straight, ["site_id", "id"])
+    return written(both.join(best, ["site_id", "id"]).where("sum <= length + 1e-9").select("site_id", "id", "new_order", "r", "c", "length", "straight"), "correction-paths")
 
 
 def apply_corrections(orders_cells: DataFrame, skel: DataFrame, corrections: DataFrame, anchors: DataFrame) -> DataFrame:
     """order cells with the orders of corrections(site_id, id, r1, c1, r2, c2, new_order) on the shortest path between their
     snapped ends: the cells whose distances to both ends add up to the least sum. Later ids win."""
-    out = orders_cells.select(*KEYS, "ord")
-    ends = corrections.select("site_id", "id", F.col("r1").alias("r"), F.col("c1").alias("c")).withColumn("end", F.lit(1)).union(corrections.select("site_id", "id", F.col("r2").alias("r"), F.col("c2").alias("c")).withColumn("end", F.lit(2)))
-    for row in corrections.select("id").distinct().orderBy("id").collect():
-        d = []
-        for e in (1, 2):
-            at = snap(ends.where((F.col("id") == row.id) & (F.col("end") == e)).drop("end"), anchors)
-            d.append(geodesic_distance(skel, at.select("site_id", F.col("r2").alias("r"), F.col("c2").alias("c"))).withColumnRenamed("d", f"d{e}"))
-        both = d[0].join(d[1], KEYS).withColumn("sum", F.col("d1") + F.col("d2"))
-        best = both.groupBy("site_id").agg(F.min("sum").alias("best"))
-        path = both.join(best, "site_id").where("sum <= best + 1e-9").join(corrections.where(F.col("id") == row.id).select("site_id", "new_order"), "site_id").select(*KEYS, "new_order")
-        out = written(out.join(path, KEYS, "full").select(*KEYS, F.coalesce("new_order", "ord").alias("ord")), "corrected")
-    return out
+    path = correction_paths(skel, corrections, anchors).groupBy(*KEYS).agg(F.max_by("new_order", "id").alias("new_order"))
+    return orders_cells.select(*KEYS, "ord").join(path, KEYS, "full").select(*KEYS, F.coalesce("new_order", "ord").alias("ord"))
+
+
+def corrected_segments(skel: DataFrame, corrections: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(site_id, id, ord, sinuous_len, straight_len, sinuosity): the corrected paths measured again as segments of their new
+    order. A path without length has no sinuosity."""
+    paths = correction_paths(skel, corrections, anchors).select("site_id", "id", F.col("new_order").alias("ord"), F.col("length").alias("sinuous_len"), F.col("straight").alias("straight_len")).distinct()
+    return paths.withColumn("sinuosity", sinuosity(F.col("sinuous_len"), F.col("straight_len")))
+
 
+def branch_index(links: DataFrame, ncols: int, stride: int = 1 << 20) -> DataFrame:
+    """(site_id, seg, branch_idx): the row-major index of the first cell of the branch that a segment ends at: its nearest one,
+    the first of equally near ones. Segments without a branch have no row."""
+    at = links.groupBy("site_id", "seg").agg(F.min_by("node", F.struct("w", "node")).alias("node"))
+    return at.select("site_id", "seg", F.expr(f"(node div {stride}) * {ncols} + node % {stride}").alias("branch_idx"))
+
+
+def segment_angles(links: DataFrame, angles: DataFrame, skel: DataFrame, cells: DataFrame, breaches: DataFrame | None = None) -> DataFrame:
+    """(site_id, seg, angle_raw, angle): the least junction angle of the cells of the branch that the segment ends at (the one
+    of branch_index), NULL if none was measured there."""
+    nodes = branch_points(skel, cells)
+    if breaches is not None:
+        nodes = nodes.union(breaches.join(skel, KEYS, "left_semi").select(*KEYS)).distinct()
+    groups = label(nodes).withColumnRenamed("comp", "node")
+    least = groups.join(angles, KEYS).groupBy("site_id", "node").agg(F.min("angle_raw").alias("angle_raw"), F.min("angle").alias("angle"))
+    at = links.groupBy("site_id", "seg").agg(F.min_by("node", F.struct("w", "node")).alias("node"))
+    return at.join(least, ["site_id", "node"], "left").select("site_id", "seg", "angle_raw", "angle")

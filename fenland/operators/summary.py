@@ -44,5 +44,13 @@ def threshold_table(params: DataFrame) -> DataFrame:
     return params.select("site_id", F.expr("stack(3, 'cth', cth, 'lzth', lzth, 'hzth', hzth) as (threshold, value)"))
 
 
+def threshold_areas(thresholds: DataFrame, curves: DataFrame) -> DataFrame:
+    """(site_id, threshold, value, area): the cumulative area of the slope curve at cth and of the elevation curve at lzth and
+    hzth, at the edge nearest to the value, the lower of two."""
+    named = thresholds.withColumn("kind", F.when(F.col("threshold") == "cth", "slope").otherwise("z"))
+    near = named.join(curves, ["site_id", "kind"]).groupBy("site_id", "threshold", "value")
+    return near.agg(F.min_by("cum_area", F.struct(F.abs(F.col("edge") - F.col("value")), "bin")).alias("area"))
+
+
 def count_segments(segments: DataFrame) -> DataFrame:
     return segments.groupBy("site_id", "ord").agg(F.count("*").alias("n_segments"))

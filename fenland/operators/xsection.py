@@ -26,7 +26,11 @@ def xs_anchor(positions: DataFrame) -> DataFrame:
     p = positions.withColumn("most", F.max("pos").over(Window.partitionBy("site_id", "seg"))).withColumn("mean", F.bround(F.avg("pos").over(Window.partitionBy("site_id", "seg"))))
     reach = F.greatest(F.bround(F.col("most") * 0.2), F.lit(1))
     at = lambda pos: F.min(F.when(F.col("pos") == pos, F.struct("r", "c")))
-    a = p.groupBy("site_id", "seg", "most").agg(at(F.col("mean")).alias("m"), at(F.col("mean") - reach).alias("u"), at(F.col("mean") + reach).alias("v"), at(F.lit(0)).alias("s"), at(F.col("most")).alias("e"))
+    # Of several cells at the mean distance (loops have two) the middle one in row order.
+    rank = F.row_number().over(Window.partitionBy("site_id", "seg", "pos").orderBy("r", "c"))
+    size = F.count("*").over(Window.partitionBy("site_id", "seg", "pos"))
+    p = p.withColumn("middle", rank == F.floor(size / 2) + 1)
+    a = p.groupBy("site_id", "seg", "most").agg(F.min(F.when((F.col("pos") == F.col("mean")) & F.col("middle"), F.struct("r", "c"))).alias("m"), at(F.col("mean") - reach).alias("u"), at(F.col("mean") + reach).alias("v"), at(F.lit(0)).alias("s"), at(F.col("most")).alias("e"))
     short = F.col("most") <= SHORT
     m, u, v = F.when(short, F.col("s")).otherwise(F.col("m")), F.when(short, F.col("e")).otherwise(F.col("u")), F.col("v")
     a = a.select("site_id", "seg", short.alias("short"), m["r"].alias("rm"), m["c"].alias("cm"), u["r"].alias("ur"), u["c"].alias("uc"), v["r"].alias("vr"), v["c"].alias("vc"))

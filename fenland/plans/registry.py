@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re as re_
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -150,10 +151,10 @@ def p15_in_bounds(spark, d):
     return ge.in_bounds(raw_mask(spark, d).select("site_id", (F.col("r") - 5).alias("r"), (F.col("c") + 5).alias("c")), ROWS, COLS)
 
 
-@query("SELECT e.site_id, e.r, e.c, e.z, s.slope FROM cells e JOIN cells s USING (site_id, r, c) WHERE s.r < 45")
+@query("SELECT e.site_id, e.r, e.c, e.z, s.slope FROM cells e JOIN cells s USING (site_id, r, c)")
 def j1_align(spark, d):
     cells = orders_grid(spark, d)
-    return ce.align(cells.drop("slope"), cells.drop("z").where("r < 45"))
+    return ce.align(cells.drop("slope"), cells.drop("z"))
 
 
 @query(f"SELECT site_id, r, c, z, {P['hat']}::DOUBLE - z AS below_hat FROM cells")
@@ -167,9 +168,9 @@ def j3_r1_skeleton_edges(spark, d):
     return ne.skeleton_edges(raw_mask(spark, d))
 
 
-@query("SELECT p.site_id, p.r, p.c, arg_min(m.r, sqrt((p.r-m.r)*(p.r-m.r)+(p.c-m.c)*(p.c-m.c)) * 1000000 + m.r * 1000 + m.c) AS r2, arg_min(m.c, sqrt((p.r-m.r)*(p.r-m.r)+(p.c-m.c)*(p.c-m.c)) * 1000000 + m.r * 1000 + m.c) AS c2 FROM cells p JOIN mask m USING (site_id) WHERE p.r % 25 = 7 AND p.c % 20 = 3 GROUP BY ALL")
+@query("SELECT p.site_id, p.r, p.c, arg_min(m.r, sqrt((p.r-m.r)*(p.r-m.r)+(p.c-m.c)*(p.c-m.c)) * 1000000 + m.r * 1000 + m.c) AS r2, arg_min(m.c, sqrt((p.r-m.r)*(p.r-m.r)+(p.c-m.c)*(p.c-m.c)) * 1000000 + m.r * 1000 + m.c) AS c2 FROM cells p JOIN mask m USING (site_id) GROUP BY ALL")
 def j5_snap(spark, d):
-    points = orders_grid(spark, d).where("r % 25 = 7 and c % 20 = 3").select("site_id", (F.col("r") * 1000 + F.col("c")).alias("id"), "r", "c")
+    points = orders_grid(spark, d).select("site_id", (F.col("r") * 1000 + F.col("c")).alias("id"), "r", "c")
     return ne.snap(points, raw_mask(spark, d)).drop("id")
 
 
@@ -184,9 +185,10 @@ def j12_u5_complement(spark, d):
     return mo.complement(raw_mask(spark, d), orders_grid(spark, d))
 
 
-@query("SELECT site_id, min(z) AS min_z, max(z) AS max_z, round(avg(z), 6) AS mean_depth, round(avg(slope), 6) AS mean_slope, count(z) AS n_cells FROM cells GROUP BY site_id")
+@query(f"SELECT site_id, min(c * {P['gs']}::DOUBLE) AS min_x, max(c * {P['gs']}::DOUBLE) AS max_x, min({P['gs']}::DOUBLE * ({ROWS} - 1 - r)) AS min_y, max({P['gs']}::DOUBLE * ({ROWS} - 1 - r)) AS max_y, min(z) AS min_z, max(z) AS max_z, round(avg(z), 6) AS mean_depth, round(avg(slope), 6) AS mean_slope, count(z) AS n_cells FROM cells GROUP BY site_id")
 def a1_site_stats(spark, d):
-    return rounded(ce.site_stats(orders_grid(spark, d)))
+    cells = orders_grid(spark, d)
+    return rounded(ce.site_stats(ce.with_xy(cells, grids_of(cells))))
 
 
 def curve_sql(kind: str) -> str:
@@ -419,7 +421,7 @@ def w3_t1_lowest_cells(spark, d):
     return orders_grid(spark, d).drop("slope").join(raw_mask(spark, d), ce.KEYS, "left_semi").withColumn("n", w).where("n <= 3").drop("n")
 
 
-LINES_SQL = """, lines AS (SELECT site_id, r AS r1, c AS c1, (r * 7 + 13) % 50 AS r2, (c * 3 + 29) % 100 AS c2 FROM mask WHERE (r + c) % 11 = 0),
+LINES_SQL = """, lines AS (SELECT site_id, r AS r1, c AS c1, (r * 7 + 13) % 50 AS r2, (c * 3 + 29) % 100 AS c2 FROM mask),
 k AS (SELECT *, abs(r2 - r1) AS ar, abs(c2 - c1) AS ac, greatest(abs(r2 - r1), abs(c2 - c1)) AS maj, least(abs(r2 - r1), abs(c2 - c1)) AS mn FROM lines),
 p AS (SELECT *, unnest(range(maj + 1)) AS pos FROM k),
 q AS (SELECT *, CASE WHEN maj = 0 THEN 0 ELSE (2 * pos * mn + maj - 1) // (2 * maj) END AS step FROM p)
@@ -427,7 +429,7 @@ SELECT site_id, r1 * 1000 + c1 AS line_id, CAST(pos AS INTEGER) AS pos, r1 + sig
 
 
 def test_lines(spark: SparkSession, d: str) -> DataFrame:
-    m = raw_mask(spark, d).where("(r + c) % 11 = 0")
+    m = raw_mask(spark, d)
     return m.select("site_id", (F.col("r") * 1000 + F.col("c")).alias("line_id"), F.col("r").alias("r1"), F.col("c").alias("c1"), ((F.col("r") * 7 + 13) % 50).alias("r2"), ((F.col("c") * 3 + 29) % 100).alias("c2"))
 
 
@@ -449,13 +451,13 @@ def g8_r11_linear_index(spark, d):
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    """Each tenth row of a site as a profile, its creek elevations only."""
-    cells = orders_grid(spark, d).where("r % 10 = 5")
+    """Each row of a site as a profile, its creek elevations only."""
+    cells = orders_grid(spark, d)
     z = F.when(F.col("z") < 1.0, F.col("z"))
     return cells.select("site_id", F.col("r").alias("seg"), F.col("c").alias("pos"), "r", "c", z.alias("z"))
 
 
-PROFILE = ", prof AS (SELECT site_id, r AS seg, c AS pos, CASE WHEN z < 1.0 THEN z END AS z FROM cells WHERE r % 10 = 5)"
+PROFILE = ", prof AS (SELECT site_id, r AS seg, c AS pos, CASE WHEN z < 1.0 THEN z END AS z FROM cells)"
 FILLED = PROFILE + """, known AS (SELECT *, row_number() OVER (PARTITION BY site_id, seg ORDER BY pos) AS nth, count(*) OVER (PARTITION BY site_id, seg) AS n FROM prof WHERE z IS NOT NULL),
 pick AS (SELECT p.site_id, p.seg, p.pos, p.z, greatest(1, least(coalesce((SELECT max(nth) FROM known k WHERE k.site_id = p.site_id AND k.seg = p.seg AND k.pos <= p.pos), 1), (SELECT max(n) FROM known k WHERE k.site_id = p.site_id AND k.seg = p.seg) - 1)) AS i FROM prof p),
 filled AS (SELECT p.site_id, p.seg, p.pos, CASE WHEN p.z IS NOT NULL THEN p.z ELSE a.z + coalesce((b.z - a.z) / (b.pos - a.pos), 0) * (p.pos - a.pos) END AS z FROM pick p
@@ -487,14 +489,28 @@ def a12_threshold_table(spark, d):
     return su.threshold_table(params_of(orders_grid(spark, d)))
 
 
-SEGS = """, segs AS (SELECT site_id, r * 100 + c AS seg, 1 + c % 4 AS ord, z * 10 AS sinuous_len, CASE WHEN c % 7 > 0 THEN z * 9 END AS straight_len, slope AS width, z AS depth, CASE WHEN r % 3 > 0 THEN z END AS area FROM cells WHERE z IS NOT NULL AND r % 5 = 0),
+def named_apart(sql: str, suffix: str) -> str:
+    """The tables of a curve's SQL under names of their own."""
+    return re_.sub(r"\b(ends|edges|counted|curve|cum)\b", rf"\1_{suffix}", sql)
+
+
+@query(named_apart(curve_sql("z"), "z") + named_apart(curve_sql("slope"), "slope") + """, thresholds AS (SELECT * FROM (VALUES ('cth', 'slope', 8::DOUBLE), ('lzth', 'z', 0.42::DOUBLE), ('hzth', 'z', 0.52::DOUBLE)) t(threshold, kind, value))
+SELECT site_id, threshold, value, cum_area AS area FROM thresholds JOIN (SELECT * FROM cum_z UNION ALL SELECT * FROM cum_slope) USING (kind)
+QUALIFY row_number() OVER (PARTITION BY site_id, threshold ORDER BY abs(edge - value), bin) = 1""")
+def a12_threshold_areas(spark, d):
+    cells = orders_grid(spark, d)
+    curves = hy.histogram_area(cells, "z", P["gs"]).union(hy.histogram_area(cells, "slope", P["gs"]))
+    return su.threshold_areas(su.threshold_table(params_of(cells)), curves)
+
+
+SEGS = """, segs AS (SELECT site_id, r * 100 + c AS seg, 1 + c % 4 AS ord, z * 10 AS sinuous_len, CASE WHEN c % 7 > 0 THEN z * 9 END AS straight_len, slope AS width, z AS depth, CASE WHEN r % 3 > 0 THEN z END AS area FROM cells WHERE z IS NOT NULL),
 seg2 AS (SELECT *, sinuous_len / nullif(straight_len, 0) AS sinuosity FROM segs)"""
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of every fifth row as if they were measured segments."""
+    """Cells as if they were measured segments."""
     z = F.col("z")
-    s = orders_grid(spark, d).where("z is not null and r % 5 = 0").select("site_id", (F.col("r") * 100 + F.col("c")).alias("seg"), (1 + F.col("c") % 4).alias("ord"), (z * 10).alias("sinuous_len"), F.when(F.col("c") % 7 > 0, z * 9).alias("straight_len"), F.col("slope").alias("width"), z.alias("depth"), F.when(F.col("r") % 3 > 0, z).alias("area"))
+    s = orders_grid(spark, d).where("z is not null").select("site_id", (F.col("r") * 100 + F.col("c")).alias("seg"), (1 + F.col("c") % 4).alias("ord"), (z * 10).alias("sinuous_len"), F.when(F.col("c") % 7 > 0, z * 9).alias("straight_len"), F.col("slope").alias("width"), z.alias("depth"), F.when(F.col("r") % 3 > 0, z).alias("area"))
     return s.withColumn("sinuosity", ge.sinuosity(F.col("sinuous_len"), F.col("straight_len")))
 
 
@@ -600,6 +616,24 @@ def g7_j8_junction_angles(spark, d):
     return xs.junction_angles(mo.branch_points(net["skel"], cells), net["chains"], 4)
 
 
+@query()
+def r11_branch_index(spark, d):
+    return ne.branch_index(network_of(spark, d)[2]["links"], COLS)
+
+
+@query()
+def j8_a11_segment_angles(spark, d):
+    cells, _, net = network_of(spark, d)
+    return ne.segment_angles(net["links"], xs.junction_angles(mo.branch_points(net["skel"], cells), net["chains"], SETTINGS.hops), net["skel"], cells, net["breaches"])
+
+
+@query()
+def r10_corrected_segments(spark, d):
+    cells, _, net = network_of(spark, d)
+    fix = cells.select("site_id").distinct().select("site_id", F.lit(1).alias("id"), F.lit(2).alias("r1"), F.lit(50).alias("c1"), F.lit(40).alias("r2"), F.lit(50).alias("c2"), F.lit(4).alias("new_order"))
+    return ne.corrected_segments(net["skel"], fix, mo.branch_points(net["skel"], cells).union(mo.end_points(net["skel"])))
+
+
 @query()
 def workload_morphometry(spark, d):
     return morphometry(orders_grid(spark, d), SETTINGS)

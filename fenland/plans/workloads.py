@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fenland.functions.tables import written
 from fenland.operators import cells as ce, components, edt, network, overland, summary, thin, xsection
+from fenland.operators.morph import branch_points
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class Settings:
     small: int = 10
     large: int = 1_000_000
     ordermax: int = 4
+    hops: int = 4
 
 
 def detected(cells: DataFrame, s: Settings) -> DataFrame:
@@ -76,7 +78,10 @@ def morphometry(cells: DataFrame, s: Settings) -> DataFrame:
     named = net["orders"].select("site_id", "seg", "final")
     measures = sections(cells, mask, net, s).join(named, ["site_id", "seg"]).groupBy("site_id", "final").agg(*(F.avg(c).alias(c) for c in ("width", "depth", "area")))
     table = net["lengths"].join(measures.withColumnRenamed("final", "seg"), ["site_id", "seg"], "left")
-    return ce.order_swap(summary.order_summary(table), s.ordermax)
+    branches = branch_points(net["skel"], cells)
+    angles = network.segment_angles(net["links"], xsection.junction_angles(branches, net["chains"], s.hops), net["skel"], cells, net["breaches"])
+    angles = summary.angle_means(angles.join(net["orders"].select("site_id", "seg", "ord"), ["site_id", "seg"]))
+    return ce.order_swap(summary.order_summary(table).join(angles, ["site_id", "ord"], "left"), s.ordermax)
 
 
 def overland_paths(cells: DataFrame, mask: DataFrame, s: Settings) -> DataFrame:

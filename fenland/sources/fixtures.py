@@ -48,3 +48,16 @@ def phony_network(spark: SparkSession, sites: int, size: int = 128) -> DataFrame
     lines = spark.range(sites).select(F.col("id").alias("site_id"), F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(p, ("r1", "c1", "r2", "c2"), strict=True))) for p in parts))).alias("p")).select("site_id", "p.*")
     cells = rasterize_line(lines.withColumn("line_id", F.monotonically_increasing_id())).select("site_id", "r", "c").distinct()
     return dilate(cells, 1).where(f"r between 0 and {e} and c between 0 and {e}")
+
+
+def phony_surface(mask: DataFrame) -> DataFrame:
+    """cells(site_id, r, c, z) of the thinned mask: z is the distance along it to the outlet, the lowest row's first cell,
+    scaled to 0 .. 100 in each site; cells that no path joins with the outlet are left out."""
+    from fenland.operators.network import geodesic_distance
+    from fenland.operators.thin import skeletonize
+
+    skel = skeletonize(mask)
+    outlet = skel.groupBy("site_id").agg(F.max_by(F.struct("r", "c"), F.struct("r", -F.col("c"))).alias("p")).select("site_id", "p.r", "p.c")
+    d = geodesic_distance(skel, outlet)
+    most = d.groupBy("site_id").agg(F.max("d").alias("most"))
+    return d.join(most, "site_id").select("site_id", "r", "c", (F.col("d") * 100 / F.nullif(F.col("most"), F.lit(0.0))).alias("z"))

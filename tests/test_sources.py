@@ -1,4 +1,4 @@
-from fenland.sources import fixtures, grids
+from fenland.sources import fixtures, grids, stages
 
 
 def test_ascii_grid_with_many_splits(spark, tmp_path):
@@ -24,3 +24,12 @@ def test_site_params_are_parsed_not_run(spark, tmp_path):
 
 def test_phony_network(spark):
     assert fixtures.phony_network(spark, 2, 128).select("site_id").distinct().count() == 2
+
+
+def test_tables_round_trip(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 0, 1.5, None), (1, 0, 1, None, 2.0), (2, 3, 4, 0.0, 1.0)], "site_id long, r int, c int, z double, slope double")
+    grids.write_cells(cells, f"{tmp_path}/cells")
+    assert sorted(grids.read_cells(spark, f"{tmp_path}/cells").select(*cells.columns).collect(), key=repr) == sorted(cells.collect(), key=repr)
+    for turn in (cells, cells.where("site_id = 1")):
+        stages.write_stage(turn, str(tmp_path), "stage")
+        assert sorted(stages.read_stage(spark, str(tmp_path), "stage").collect(), key=repr) == sorted(turn.collect(), key=repr)
