@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from .lines import line_key, raw_lines, with_frequent_lines
 
-RATIO, LEAST = 0.1, 10
+#: A line goes if it stands on more than RATIO of its host's pages; LEAST pages are what tells a line from one that repeats by chance.
+RATIO, LEAST = 0.02, 3
 
 
 def drop_boilerplate_lines(docs: DataFrame, source: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """docs with text without the lines that stand on more than ratio of the host's pages and on least or more of them.
 
     Every row and column stays; _fl_kept has the lines that stay and _fl_n_lines their number before. A null text stays
-    null with null counts, an empty text stays empty; the other lines, blank ones too, keep their order and bytes. A page
-    is a distinct text of the host; null hosts are the host ''. Repeated rows are treated alike.
+    null with null counts, an empty text stays empty; the other lines, blank ones too, keep their order and bytes. Every
+    row is a page of its host; null hosts are the host ''. Repeated rows are treated alike.
     """
     known = with_frequent_lines(docs, source, text, ratio, least)
     lines = raw_lines(F.col(text))
@@ -30,8 +31,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 #: The lines CTE is shared with the quality rules.
 LINES_SQL = r"""
-pages AS (SELECT DISTINCT coalesce(source, '') AS host, coalesce(text, '') AS page, text FROM documents),
-totals AS (SELECT host, count(DISTINCT page) AS pages FROM pages GROUP BY host),
+pages AS (SELECT row_number() OVER () AS page, coalesce(source, '') AS host, text FROM documents),
+totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
 page_lines AS (SELECT DISTINCT host, page, regexp_replace(lower(trim(line, E' \t\n\x0b\f\r')), '[\x20\x09-\x0D]+', ' ', 'g') AS line
                FROM (SELECT host, page, unnest(string_split(text, E'\n')) AS line FROM pages)),
 frequent AS (SELECT host, line FROM page_lines JOIN totals USING (host) WHERE line <> ''

@@ -1,8 +1,7 @@
 """Line statistics by site, used by the quality rules (operator 2) and the line dedup (operator 6). DataFrame functions only.
 
 Lines are the pieces between \\n; a normalised line is lower-cased, its runs of blanks are one blank, its ends are trimmed.
-Lines without a word are never counted or removed. Byte-identical pages of a host count as one page, so that a page and
-its copies do not make their own lines look like boilerplate.
+Lines without a word are never counted or removed. Every document is a page of its host.
 """
 
 from __future__ import annotations
@@ -31,15 +30,16 @@ def line_key(line: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, source: str, text: str, share: float, least: int) -> DataFrame:
-    """(host, pages, lines): for each host its distinct pages and the keys of lines on more than share of them and on least or more.
+    """(host, pages, lines): for each host its pages and the keys of lines on more than share of them and on least or more.
 
-    A host has at most (distinct lines a page) / share such lines, however many pages it has; so the array is bounded. Counts
-    are pre-aggregated by (host, line, page content) before they are dealt, so a line on a third of all pages is no hot task.
+    Every document is a page, copies too; a line counts once a page. A host has at most (lines a page) / share such lines,
+    however many pages it has; so the array is bounded. Counts are added up before they are dealt, so a line on a third of
+    all pages is no hot task.
     """
-    page = docs.select(host_of(F.col(source)).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("page"), F.col(text).alias("text"))
-    total = page.groupBy("host").agg(F.countDistinct("page").alias("pages"))
-    keys = page.select("host", "page", F.explode(F.array_distinct(F.transform(raw_lines(F.col("text")), line_key))).alias("line")).where("line is not null")
-    count = keys.groupBy("host", "line").agg(F.countDistinct("page").alias("on"))
+    page = docs.select(host_of(F.col(source)).alias("host"), F.col(text).alias("text"))
+    total = page.groupBy("host").agg(F.count("*").alias("pages"))
+    keys = page.select("host", F.explode(F.array_distinct(F.transform(raw_lines(F.col("text")), line_key))).alias("line")).where("line is not null")
+    count = keys.groupBy("host", "line").agg(F.count("*").alias("on"))
     # A line on at least `least` pages is kept for the join with the totals only.
     over = count.where(F.col("on") >= least).join(total, "host").where(F.col("on") > share * F.col("pages"))
     return over.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list("line")).alias("lines"))

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .linededup import LINES_SQL
 from .lines import BLANKS, TRIM, line_key, raw_lines, with_frequent_lines
 
-#: A line is removed from pages of a host that has it on more than SHARE of its distinct pages and on LEAST or more of them.
-SHARE, LEAST = 0.1, 10
+#: A line is removed from pages of a host that has it on more than SHARE of its pages and on LEAST or more of them.
+SHARE, LEAST = 0.02, 3
 #: A document is depleted if less than this share of its words is left without such lines.
 LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
