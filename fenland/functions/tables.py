@@ -10,6 +10,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that each open scratch has to drop, the innermost last.
 SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("fenland_scratch", default=())
 
@@ -46,10 +47,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             dropped(spark, folder)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside drop their shuffle files when they end, as nothing reads them once a table is written."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder; kept: it outlives the scratch in which it is written."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     if of := SCRATCH.get()[: -1 if kept else None]:
         of[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
