@@ -19,10 +19,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sized_join, written
+from .common import scratch, sized_join, text_key, written
 from .kernel import BLOCK, U, blocks, mix, words
 
 WORD_SHARE, PAIR_SHARE, LEAST, DISCOUNT = 1e-5, 1e-6, 2, 0.75
@@ -40,22 +40,29 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(before + U(0x9E3779B97F4A7C15)) * U(3) + word)
 
 
+#: The counts of a word: occurrences, those before another word of the text, and both in target documents.
+COUNTS = ("n", "n_before", "n_target", "n_before_target")
+
+
 class Counter:
-    """Counts of 64-bit keys in two columns; sends them on when it holds too many."""
+    """Sums of COUNTS for 64-bit keys; sends them on when it holds too many."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        found, at = np.unique(keys, return_inverse=True)
-        self.parts.append((found, np.bincount(at, minlength=len(found)), np.bincount(at, weights=target, minlength=len(found)).astype(np.int64)))
-        self.size += len(found)
+    def add(self, keys: np.ndarray, *counts: np.ndarray) -> None:
+        self.parts.append(self.summed(keys, counts))
+        self.size += len(self.parts[-1][0])
 
-    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = np.concatenate([p[0] for p in self.parts])
+    @staticmethod
+    def summed(keys: np.ndarray, counts) -> tuple[np.ndarray, ...]:
         found, at = np.unique(keys, return_inverse=True)
-        return found, *(np.bincount(at, weights=np.concatenate([p[i] for p in self.parts]), minlength=len(found)).astype(np.int64) for i in (1, 2))
+        return found, *(np.bincount(at, weights=c, minlength=len(found)).astype(np.int64) for c in counts)
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        keys, *counts = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        return self.summed(keys, counts)
 
     def flushed(self, least: int) -> Iterator[pa.RecordBatch]:
         if self.size <= least:
@@ -63,10 +70,10 @@ class Counter:
         self.parts = [self.sums()]
         self.size = len(self.parts[0][0])
         if least == 0 or self.size > least // 2:
-            key, n, target = self.parts[0]
+            key, *counts = self.parts[0]
             self.parts, self.size = [], 0
             for a in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (key.view(np.int64), n, target)], ["key", "n", "n_target"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (key.view(np.int64), *counts)], ["key", *COUNTS])
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +81,13 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch, "text"):
             w = words(b.column("text"))
-            if len(w["hash"]):
-                held.add(w["hash"], b.column("target").to_numpy(zero_copy_only=False)[w["row"]])
+            row = w["row"]
+            if len(row):
+                target = b.column("target").to_numpy(zero_copy_only=False)
+                inner = np.r_[row[1:] == row[:-1], False]
+                held.add(w["hash"], np.ones(len(row)), inner, target[row], target[row] * inner)
+                first = row[np.r_[True, ~inner[:-1]]]
+                held.add(np.array([START], U), np.zeros(1), np.array([len(first)]), np.zeros(1), np.array([target[first].sum()]))
             yield from held.flushed(HELD)
     yield from held.flushed(0)
 
@@ -98,7 +110,8 @@ def befores(row: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 def coded_words(batches: Iterator[pa.RecordBatch], short: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key = coded(batch.column("key").to_numpy().view(U), short.value).view(np.int64)
+        key = batch.column("key").to_numpy().view(U)
+        key = np.where(key == U(START), key, coded(key, short.value)).view(np.int64)
         yield batch.set_column(0, "key", pa.array(key))
 
 
@@ -143,86 +156,108 @@ class Model:
         self.pair = np.log(part + rest[pairs // size] * np.exp(self.word[pairs % size]))
 
 
+def looked_up(b: pa.RecordBatch, short: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each row; row, key and place in listed (-1: none) of all that the words of a block look up."""
+    w = words(b.column("text"))
+    word = coded(w["hash"], short)
+    before = befores(w["row"], word)
+    key = np.concatenate([word, context_key(before), pair_key(before, word)])
+    at = np.searchsorted(listed, key)
+    at[at == len(listed)] = 0
+    return np.bincount(w["row"], minlength=b.num_rows), np.tile(w["row"], 3), key, np.where(listed[at] == key, at, -1) if len(listed) else np.full(len(key), -1)
+
+
 def score_texts(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Broadcast, other: tuple[float, float]) -> Iterator[pa.RecordBatch]:
-    """Each text's sums over the broadcast rows, and the keys with their counts that are not among them."""
+    """Each text's words and its sums over the broadcast rows."""
     listed, values = table.value
-    row = TaskContext.get().partitionId() << 33
     for batch in batches:
         for b in blocks(batch, "text"):
-            w = words(b.column("text"))
-            word = coded(w["hash"], short.value)
-            before = befores(w["row"], word)
-            of = np.tile(w["row"], 3)
-            key = np.concatenate([word, context_key(before), pair_key(before, word)])
-            at = np.searchsorted(listed, key)
-            at[at == len(listed)] = 0
-            hit = listed[at] == key if len(listed) else np.zeros(len(key), bool)
-            n = np.bincount(w["row"], minlength=b.num_rows)
+            n, of, _, at = looked_up(b, short.value, listed)
+            hit = at >= 0
             sums = [n * o + np.bincount(of[hit], weights=v[at[hit]], minlength=b.num_rows) for v, o in zip(values, other, strict=True)]
-            of, key = of[~hit], key[~hit]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), *(pa.array(x) for x in sums)], ["doc_id", "text_key", "n_tokens", "target", "background"])
+
+
+def keys_to_join(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Broadcast) -> Iterator[pa.RecordBatch]:
+    """What each text looks up that is not among the broadcast rows, with its count in the text."""
+    for batch in batches:
+        for b in blocks(batch, "text"):
+            _, of, key, at = looked_up(b, short.value, table.value[0])
+            of, key = of[at < 0], key[at < 0]
             order = np.lexsort((key, of))
             of, key = of[order], key[order]
             new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
-            ends = pa.array(np.searchsorted(of[new], np.arange(b.num_rows + 1)).astype(np.int32))
-            more = pa.StructArray.from_arrays([pa.array(key[new].view(np.int64)), pa.array(np.diff(np.r_[new, len(key)]))], ["key", "c"])
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(b.num_rows)), b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x) for x in sums), pa.ListArray.from_arrays(ends, more)], ["row", "doc_id", "n_tokens", "target", "background", "more"])
-            row += b.num_rows
+            text = b.column("text_key").to_numpy()[of[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(text), pa.array(key[new].view(np.int64)), pa.array(np.diff(np.r_[new, len(key)]).astype(np.int32))], ["text_key", "key", "c"])
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) for each row; targets has the ids of the target documents.
 
     Texts without a word, null ones too, have null losses and score. Null ids are never targets. Repeated rows count and are
-    scored each. Without a target document the target model is uniform. Columns besides the two named are not read.
+    scored each. Without a target document the target model is uniform. Columns besides the two named are not read. What a
+    text has besides the broadcast rows is summed by a 64-bit key of the text; equal texts share the sum.
     """
     spark = docs.sparkSession
-    wanted = written(targets.select(F.col(targets.columns[0]).cast("long").alias("_fl_id")).where("_fl_id is not null").distinct().withColumn("_fl_target", F.lit(1)), "lm-targets")
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = sized_join(slim, wanted, slim["doc_id"] == wanted["_fl_id"], "left").select("text", F.coalesce("_fl_target", F.lit(0)).alias("target"))
-    kind = "key long, n long, n_target long"
-    sums = [F.sum("n").alias("n"), F.sum("n_target").alias("n_target")]
-
-    one = written(marked.mapInArrow(count_words, kind).groupBy("key").agg(*sums), "lm-words")
-    kept = one.where(F.col("n") >= LEAST)
-    total, target = (x or 0 for x in one.agg(F.sum("n"), F.sum("n_target")).first())
-    size, n, n_target = (x or 0 for x in kept.agg(F.count("*"), F.sum("n"), F.sum("n_target")).first())
-    wholes = {"target": np.log(target + size + 1), "background": np.log(total + size + 1)}
-    other = np.log(target - n_target + 1) - wholes["target"], np.log(total - n + 1) - wholes["background"]
-    # At most 1 / WORD_SHARE rows.
-    often = kept.where(F.col("n") >= WORD_SHARE * total).select("key").toArrow().column("key").to_numpy()
-    short = spark.sparkContext.broadcast(np.sort(often.view(U)))
-    two = written(marked.mapInArrow(partial(count_pairs, short=short), "before long, word long, n long, n_target long").groupBy("before", "word").agg(*sums), "lm-pairs")
-    often = F.col("n") >= LEAST
     part = {"target": "n_target", "background": "n"}
-    left = [(1 - F.coalesce(F.sum(F.when(often, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)))) / F.nullif(F.sum(c), F.lit(0)), F.lit(0.0))).alias(k) for k, c in part.items()]
-    contexts = two.groupBy("before").agg(F.sum("n").alias("n"), *(F.sum(c).alias(f"of_{k}") for k, c in part.items()), *left)
-    contexts = written(contexts.withColumns({k: F.log(F.least(F.greatest(F.col(k), F.lit(1e-9)), F.lit(1.0))) for k in part}), "lm-contexts")
-    vocabulary = written(kept.mapInArrow(partial(coded_words, short=short), kind).select("key", "n", *((F.log(F.col(c) + 1.0) - float(wholes[k])).alias(k) for k, c in part.items())), "lm-vocabulary")
-    pairs = two.where(often).select("before", "word", "n", "n_target")
-    pairs = sized_join(pairs, contexts.drop("n").withColumnsRenamed({k: f"rest_{k}" for k in part}), "before", "inner")
-    pairs = sized_join(pairs, vocabulary.select(F.col("key").alias("word"), *(F.col(k).alias(f"word_{k}") for k in part)), "word", "inner")
-    share = {k: F.coalesce(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.nullif(F.col(f"of_{k}"), F.lit(0)), F.lit(0.0)) for k, c in part.items()}
-    # What a listed pair adds to the logarithms of its context's rest and of its word.
-    pairs = pairs.select("before", "word", "n", *(F.log1p(share[k] / F.exp(F.col(f"rest_{k}") + F.col(f"word_{k}"))).alias(k) for k in part))
-    pairs = pairs.mapInArrow(keyed_pairs, "key long, n long, target double, background double").withColumn("share", F.lit(PAIR_SHARE))
-    single = contexts.select("before", "n", *part).mapInArrow(keyed_contexts, "key long, n long, target double, background double")
-    single = single.where("target <> 0 or background <> 0").unionByName(vocabulary.select("key", "n", *((F.col(k) - float(o)).alias(k) for k, o in zip(part, other, strict=True))))
-    table = written(single.withColumn("share", F.lit(WORD_SHARE)).unionByName(pairs), "lm-table")
-
-    frequent = F.col("n") >= F.col("share") * total
-    top = table.where(frequent).select("key", *part).toArrow()
-    key = top.column("key").to_numpy().view(U)
-    order = np.argsort(key)
-    sent = spark.sparkContext.broadcast((key[order], tuple(top.column(k).to_numpy()[order] for k in part)))
-    scored = slim.mapInArrow(partial(score_texts, short=short, table=sent, other=tuple(float(o) for o in other)), "row long, doc_id long, n_tokens long, target double, background double, more array<struct<key:long,c:long>>")
-    scored = written(scored, "lm-scored")
-    more = sized_join(scored.select("row", F.inline("more")), written(table.where(~frequent).select("key", *part), "lm-rest"), "key", "inner")
-    more = written(more.groupBy("row").agg(*(F.sum(F.col(k) * F.col("c")).alias(f"more_{k}") for k in part)), "lm-more")
-    out = sized_join(scored.drop("more"), more, "row", "left")
-    loss = {k: F.when(F.col("n_tokens") > 0, -(F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0))) / F.col("n_tokens")) for k in part}
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(F.col(text).cast("string"))[0].alias("text_key"))
+    with scratch(spark):
+        table, short, other, total = tables_of_models(slim.select("doc_id", "text"), targets, part)
+        frequent = F.col("n") >= F.col("share") * total
+        top = table.where(frequent).select("key", *part).toArrow()
+        key = top.column("key").to_numpy().view(U)
+        order = np.argsort(key)
+        sent = spark.sparkContext.broadcast((key[order], tuple(top.column(k).to_numpy()[order] for k in part)))
+        rest = table.where(~frequent).select("key", *part)
+        found = slim.select("text_key", "text").mapInArrow(partial(keys_to_join, short=short, table=sent), "text_key long, key long, c int")
+        more = sized_join(found, rest, "key", "inner").groupBy("text_key").agg(*(F.sum(F.col(k) * F.col("c")).alias(f"more_{k}") for k in part))
+        more = written(more, "lm-more", kept=True)
+        copies = written(slim.groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1"), "lm-copies", kept=True)
+    scored = slim.mapInArrow(partial(score_texts, short=short, table=sent, other=other), "doc_id long, text_key long, n_tokens long, target double, background double")
+    out = sized_join(sized_join(scored, more, "text_key", "left"), copies, "text_key", "left")
+    loss = {k: F.when(F.col("n_tokens") > 0, -(F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0)) / F.coalesce("copies", F.lit(1))) / F.col("n_tokens")) for k in part}
     return out.select("doc_id", "n_tokens", *(v.alias(f"loss_{k}") for k, v in loss.items())).withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
+def tables_of_models(slim: DataFrame, targets: DataFrame, part: dict[str, str]) -> tuple[DataFrame, Broadcast, tuple[float, ...], int]:
+    """The written table (key, n, target, background, share) of both models, the sorted hashes of frequent words, the logarithms
+    for other words, and the words of all texts. A context's count is that of its word before another one, so that pairs
+    seen once are counted but not kept."""
+    spark = slim.sparkSession
+    with scratch(spark):
+        wanted = written(targets.select(F.col(targets.columns[0]).cast("long").alias("_fl_id")).where("_fl_id is not null").distinct().withColumn("_fl_target", F.lit(1)), "lm-targets")
+        marked = sized_join(slim, wanted, slim["doc_id"] == wanted["_fl_id"], "left").select("text", F.coalesce("_fl_target", F.lit(0)).alias("target"))
+        kind = "key long, " + ", ".join(f"{c} long" for c in COUNTS)
+        one = written(marked.mapInArrow(count_words, kind).groupBy("key").agg(*(F.sum(c).alias(c) for c in COUNTS)), "lm-words")
+        kept = one.where(F.col("n") >= LEAST)
+        total, target = (x or 0 for x in one.agg(F.sum("n"), F.sum("n_target")).first())
+        size, n, n_target = (x or 0 for x in kept.agg(F.count("*"), F.sum("n"), F.sum("n_target")).first())
+        wholes = {"target": np.log(target + size + 1), "background": np.log(total + size + 1)}
+        other = float(np.log(target - n_target + 1) - wholes["target"]), float(np.log(total - n + 1) - wholes["background"])
+        # At most 1 / WORD_SHARE rows.
+        often = kept.where(F.col("n") >= WORD_SHARE * total).select("key").toArrow().column("key").to_numpy()
+        short = spark.sparkContext.broadcast(np.sort(often.view(U)))
+        two = marked.mapInArrow(partial(count_pairs, short=short), "before long, word long, n long, n_target long").groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+        two = written(two.where(F.col("n") >= LEAST), "lm-pairs")
+        named = one.mapInArrow(partial(coded_words, short=short), kind)
+        before = named.where(F.col("n_before") >= LEAST).select(F.col("key").alias("before"), F.col("n_before").alias("of_background"), F.col("n_before_target").alias("of_target"))
+        kept_part = [F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(k) for k, c in part.items()]
+        contexts = two.groupBy("before").agg(*kept_part).join(before, "before")
+        left = {k: F.log(F.least(F.greatest(1 - F.coalesce(F.col(k) / F.nullif(F.col(f"of_{k}"), F.lit(0)), F.lit(0.0)), F.lit(1e-9)), F.lit(1.0))) for k in part}
+        contexts = written(contexts.withColumns(left).withColumn("n", F.col("of_background")), "lm-contexts")
+        vocabulary = written(named.where(F.col("n") >= LEAST).select("key", "n", *((F.log(F.col(c) + 1.0) - float(wholes[k])).alias(k) for k, c in part.items())), "lm-vocabulary")
+        pairs = sized_join(two, contexts.drop("n").withColumnsRenamed({k: f"rest_{k}" for k in part}), "before", "inner")
+        pairs = sized_join(pairs, vocabulary.select(F.col("key").alias("word"), *(F.col(k).alias(f"word_{k}") for k in part)), "word", "inner")
+        share = {k: F.coalesce(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.nullif(F.col(f"of_{k}"), F.lit(0)), F.lit(0.0)) for k, c in part.items()}
+        # What a listed pair adds to the logarithms of its context's rest and of its word.
+        pairs = pairs.select("before", "word", "n", *(F.log1p(share[k] / F.exp(F.col(f"rest_{k}") + F.col(f"word_{k}"))).alias(k) for k in part))
+        pairs = pairs.mapInArrow(keyed_pairs, "key long, n long, target double, background double").withColumn("share", F.lit(PAIR_SHARE))
+        single = contexts.select("before", "n", *part).mapInArrow(keyed_contexts, "key long, n long, target double, background double")
+        single = single.where("target <> 0 or background <> 0").unionByName(vocabulary.select("key", "n", *((F.col(k) - o).alias(k) for k, o in zip(part, other, strict=True))))
+        table = written(single.withColumn("share", F.lit(WORD_SHARE)).unionByName(pairs), "lm-table", kept=True)
+    return table, short, other, total
+
+
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The target: documents labelled as of good quality."""
     return cross_entropy_difference(docs, labels.where("quality = 1").select("doc_id"))
