@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sized_join, written
+from .common import sized_join, text_key, written
 
 #: Word positions that enter a seed. The two hit every pattern of equal words that is accepted in windows of LEAST_WORDS to
 #: WINDOW words; masks of five words would need three for 13 words alone.
@@ -45,32 +45,44 @@ def seeds(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.select(*keys, F.explode(F.concat(*picked)).alias("s")).select(*keys, F.col("s.seed").alias("seed"), F.col("s.pos").alias(pos))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_equal, n_window): for each contaminated document and item text its best window.
+#: A document's row is known by its id and 128 bits of its text.
+KEY = ["doc_id", "key1", "key2"]
 
-    Items of equal words are one item, of the smallest id. Documents without an id are matched among themselves as one key
-    (null), so a leak in any of them reports null. Empty and null texts match nothing.
-    """
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(doc_id, key1, key2, item_id, n_equal, n_window), as contaminated has it for each text under each id."""
     items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("tokens")).where(F.size("tokens") >= LEAST_WORDS)
     items = written(items.groupBy("tokens").agg(F.min("item_id").alias("item_id")).withColumn("codes", F.transform("tokens", lambda w: F.xxhash64(w))).withColumn("item", F.monotonically_increasing_id()), "items")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
-    coded = slim.select("doc_id", F.transform("tokens", lambda w: F.xxhash64(w)).alias("codes"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text).cast("string")), tokens(F.col(text)).alias("tokens"))
+    coded = slim.select(*KEY, F.transform("tokens", lambda w: F.xxhash64(w)).alias("codes"))
     probe = written(seeds(items, ["item"], "ipos"), "item-seeds")
-    hits = sized_join(seeds(coded, ["doc_id"], "dpos"), probe, "seed", "inner")
+    hits = sized_join(seeds(coded, KEY, "dpos"), probe, "seed", "inner")
     # Pre-aggregated before it is dealt: a row for each document, item and diagonal.
-    diagonals = written(hits.groupBy("doc_id", "item", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.count("*").alias("hits")), "diagonals")
-    lists = written(diagonals.groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift")).alias("at")), "hit-documents")
-    near = sized_join(coded, lists, coded["doc_id"].eqNullSafe(lists["doc_id"]), "inner").select(coded["doc_id"], "codes", F.explode("at").alias("at"))
-    both = sized_join(near.select("doc_id", "codes", "at.item", "at.shift"), items.select("item", "item_id", F.col("codes").alias("icodes")), "item", "inner")
+    diagonals = written(hits.groupBy(*KEY, "item", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.count("*").alias("hits")), "diagonals")
+    same = coded["doc_id"].eqNullSafe(diagonals["doc_id"]) & (coded["key1"] == diagonals["key1"]) & (coded["key2"] == diagonals["key2"])
+    near = sized_join(coded, diagonals, same, "inner").select(*(coded[k] for k in KEY), "codes", "item", "shift")
+    both = sized_join(near, items.select("item", "item_id", F.col("codes").alias("icodes")), "item", "inner")
     equal = F.transform("icodes", lambda c, i: F.when((i + F.col("shift") >= 0) & F.coalesce(F.get("codes", i + F.col("shift")) == c, F.lit(False)), 1).otherwise(0))
-    both = both.select("doc_id", "item_id", equal.alias("equal"))
+    both = both.select(*KEY, "item_id", equal.alias("equal"))
     width = F.least(F.lit(WINDOW), F.size("equal"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda i: F.aggregate(F.slice("equal", i, width), F.lit(0), lambda a, x: a + x)))
     both = both.withColumn("n_window", width).withColumn("n_equal", best).where(F.col("n_equal") * WINDOW >= F.col("n_window") * MATCHES)
-    return both.groupBy("doc_id", "item_id").agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("n_window").cast("long").alias("n_window"))
+    return both.groupBy(*KEY, "item_id").agg(F.max("n_equal").cast("long").alias("n_equal"), F.max("n_window").cast("long").alias("n_window"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_equal, n_window): for each contaminated document and item text its best window.
+
+    Items of equal words are one item, of the smallest id. Texts are judged one by one; of several under one id, or without
+    one, the best window of each item is reported. Empty and null texts match nothing.
+    """
+    rows = contaminated_rows(docs, benchmark, doc_id, text, item_id, item_text)
+    return rows.groupBy("doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("n_window").alias("n_window"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that no item contaminates, with their columns as they are."""
-    leaked = written(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_fl_leak")).distinct(), "leaked")
-    return sized_join(docs, leaked, docs[doc_id].eqNullSafe(leaked["_fl_leak"]), "left_anti")
+    """The documents that no item contaminates, with their columns as they are. A row goes for its own text alone, whatever
+    other rows have its id."""
+    leaked = written(contaminated_rows(docs, benchmark, doc_id, text, "item_id", "text").select(F.col("key1").alias("_fl_leak1"), F.col("key2").alias("_fl_leak2")).distinct(), "leaked")
+    one, two = text_key(F.col(text).cast("string"))
+    return sized_join(docs, leaked, (one == F.col("_fl_leak1")) & (two == F.col("_fl_leak2")), "left_anti")

@@ -57,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op6_line_dedup": linededup.SQL}
+    return {"op2_quality_rules": quality.SQL, "op6_line_dedup": linededup.SQL, "op10_warc": warc.SQL}

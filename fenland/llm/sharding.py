@@ -24,8 +24,8 @@ def starts(counts: DataFrame, group: list[str], bucket: str) -> DataFrame:
 def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, size, text_crc32, host, shard, slot) for each row: shards differ by one row at most, each with the mixture of all.
 
-    Rows of a source are ranked in the order of a seeded hash of id and text; a row's place is (rank - 1/2) / rows of its
-    source; all rows are ordered by place, then source and rank, and cut into equal shards. Ranks are counted in buckets of
+    Rows of a source are ranked in the order of a seeded hash of id and text; a row's place is (rank - u) / rows of its
+    source with a seeded u in (0, 1] for each source, so that the rows of many small sources do not meet in one place; all rows are ordered by place, then source and rank, and cut into equal shards. Ranks are counted in buckets of
     the hash and of the place, so neither a hot source nor the whole table is one window. Null sources are the source '';
     null texts have size 1 and the CRC of nothing; repeated rows are ranked each, in either order. Other columns are left out.
     """
@@ -38,7 +38,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id:
     first = written(starts(rows.groupBy("host", "bucket").agg(F.count("*").alias("n")), ["host"], "bucket"), "shard-starts")
     own = Window.partitionBy("host", "bucket").orderBy("key", "doc_id", "text_crc32")
     ranked = sized_join(rows.withColumn("own", F.row_number().over(own)), first, ["host", "bucket"], "inner").withColumn("rank", F.col("start") + F.col("own"))
-    placed = ranked.withColumn("place", (F.col("rank") - 0.5) / F.col("of")).withColumn("span", F.floor(F.col("place") * (n // BUCKET + 1)))
+    placed = ranked.withColumn("place", (F.col("rank") - offset_of(seed)) / F.col("of")).withColumn("span", F.floor(F.col("place") * (n // BUCKET + 1)))
     placed = written(placed.select("doc_id", "size", "text_crc32", "host", "rank", "place", "span"), "shard-places")
     first = written(starts(placed.groupBy("span").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)), ["all"], "span").drop("all"), "shard-spans")
     order = Window.partitionBy("span").orderBy("place", "host", "rank")
@@ -46,6 +46,11 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id:
     return out.withColumn("shard", F.expr(f"(at * {shards}) div {max(n, 1)}").cast("int")).withColumn("slot", F.col("at") - F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")).select("doc_id", "size", "text_crc32", "host", "shard", "slot")
 
 
+def offset_of(seed: int) -> Column:
+    """A number in (0, 1] by the source."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("host")), 11) + 1) * F.lit(2.0**-53)
+
+
 def bucket_of(key31: Column, buckets: Column) -> Column:
     """Of buckets equal ranges of 31-bit keys."""
     return F.shiftright(key31 * buckets, 31)

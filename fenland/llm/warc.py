@@ -163,3 +163,14 @@ def read_warc(manifest: DataFrame, folder: str, keep_payload: bool = True) -> Da
 def query(pages: DataFrame) -> DataFrame:
     folder = new_folder(pages.sparkSession, "warc")
     return read_warc(write_warc(pages, folder), folder, keep_payload=False).drop("payload", "url")
+
+
+#: Base 32 by five bits at a time of the hexadecimal digest.
+SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT payload, sha1(payload) AS hex, max(page_id) AS last FROM p GROUP BY payload),
+bits AS (SELECT payload, i, (16 * (instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS INTEGER), 1)) - 1) + instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS INTEGER), 1)) - 1)
+                               // CAST(power(2, 3 - 5 * i % 4) AS BIGINT) % 32 AS v FROM h, range(32) t(i)),
+digest AS (SELECT payload, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v + 1 AS INTEGER), 1), '' ORDER BY i) AS digest FROM bits GROUP BY payload)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN h USING (payload) JOIN digest USING (payload)"""
