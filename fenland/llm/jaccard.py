@@ -290,11 +290,24 @@ def meetings(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return out.where("b is not null").select("a", "b").distinct(), out.where("b is null").select("sig", F.col("a").alias("node"), "n", "reach")
 
 
-def emit_each_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features with their number of sets, added up over as many texts as SORTED features hold."""
+    held, size = [], 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        for i in range(0, len(key), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 50_000].view(np.int64)), pa.array(n[i : i + 50_000])], ["feature", "n"])
+
     for batch in batches:
         for b in blocks(batch, "text"):
-            row, h, size, digest = sets(b.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(digest[row].view(np.int64)), pa.array(h.view(np.int64))], ["node", "feature"])
+            held.append(sets(b.column("text"))[1])
+            size += len(held[-1])
+            if size > SORTED:
+                yield from summed()
+                held, size = [], 0
+    if size:
+        yield from summed()
 
 
 def subset_key(before: np.ndarray | np.uint64, feature: np.ndarray) -> np.ndarray:
@@ -409,10 +422,10 @@ def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame, stars: bool =
     return first if rest.isEmpty() else first.union(compared(rest, slim, nodes))
 
 
-def frequent_features(spark: SparkSession, texts: DataFrame, wanted: DataFrame) -> Broadcast:
-    """Features of more than HOT hot sets and their counts, sorted: at most FREQUENT, the most frequent."""
-    each = sized_join(texts.mapInArrow(emit_each_feature, "node long, feature long"), wanted, "node", "left_semi")
-    count = written(each.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "jaccard-frequent")
+def frequent_features(spark: SparkSession, texts: DataFrame) -> Broadcast:
+    """Features of more than HOT of the texts and their counts, sorted: at most FREQUENT, the most frequent."""
+    each = texts.mapInArrow(count_features, "feature long, n long")
+    count = written(each.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") > HOT), "jaccard-frequent")
     least = HOT
     while count.where(F.col("n") > least).count() > FREQUENT:
         least *= 2
@@ -448,14 +461,15 @@ def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = written(large.select("node").distinct(), "jaccard-hot")
     if wanted.isEmpty():
         return connected_components(verified(pairs, slim, nodes))
-    frequent = frequent_features(spark, texts_of(slim, nodes, wanted), wanted)
+    frequent = frequent_features(spark, texts_of(slim, nodes, wanted))
     opened: list[list[np.ndarray]] = [[]]  # for each pass the keys of open subsets, by their size
     edges = comp = None
     kind = "deal long, sig long, node long, n int, reach int"
     while True:
         groups, level = [], len(opened[0])
         for keys in opened:
-            made = made_again(slim, nodes, wanted, partial(emit_subsets, frequent=frequent, opened=spark.sparkContext.broadcast(keys)), kind)
+            # Texts of other nodes may be among those of the wanted ones; their subsets do no harm.
+            made = texts_of(slim, nodes, wanted).mapInArrow(partial(emit_subsets, frequent=frequent, opened=spark.sparkContext.broadcast(keys)), kind)
             more, large = meetings(made, f"jaccard-met-{level}")
             if comp is not None:
                 more = apart_yet(more, comp)
