@@ -55,8 +55,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def words(column: pa.Array, separators: np.ndarray = SPACE) -> dict[str, np.ndarray]:
-    """Row, start, end and hash of each word of a string column, and its bytes and offsets; separators is a table of bytes."""
+def words(column: pa.Array, separators: np.ndarray = SPACE, hashed: np.ndarray = LOWER) -> dict[str, np.ndarray]:
+    """Row, start, end and hash of each word of a string column, and its bytes and offsets.
+
+    separators is a table of bytes, hashed the byte that stands for each one in the hash.
+    """
     data, off = raw(column)
     n = len(data)
     solid = ~separators[data]
@@ -76,7 +79,7 @@ def words(column: pa.Array, separators: np.ndarray = SPACE) -> dict[str, np.ndar
     power = powers(int(size.max()))
     head = np.zeros(len(size), np.int64)
     np.cumsum(size[:-1], out=head[1:])
-    term = (LOWER[data[at]].astype(U) + U(1)) * power[np.arange(len(at)) - np.repeat(head, size)]
+    term = (hashed[data[at]].astype(U) + U(1)) * power[np.arange(len(at)) - np.repeat(head, size)]
     return out | {"hash": mix(np.add.reduceat(term, head) + size.astype(U))}
 
 

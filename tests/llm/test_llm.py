@@ -219,10 +219,15 @@ def test_packing_covers_each_id_once(docs):
 
 def test_chunks_encode_like_whole_texts():
     rng = np.random.default_rng(3)
-    e, alphabet = tokens.Encoder(None), list("abc ABC éÉß \n\t 12'.,!İΣς漢　") + ["<|endoftext|>"]
-    for _ in range(500):
-        s = "".join(rng.choice(alphabet, int(rng.integers(0, 30))))
-        assert e.ids(pa.array([s]), None)[0] == np.array(e.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    e = tokens.Encoder(None, cache=300)
+    alphabet = [*"abc ABC éÉß \n\t 12'.,!İΣς漢　|H\u0331\u0307\u212a\x85\x1c\x00", " | ", "long" * 20, "<|endoftext|>", "<|ENDOFTEXT|>"]
+    for rows in rng.integers(0, 12, 400):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(alphabet, int(rng.integers(0, 30)))) for _ in range(int(rows))]
+        want = [np.array(e.tokenizer.encode(s or "", add_special_tokens=False).ids, "<u4").tobytes() for s in texts]
+        column = pa.array([None, *texts], pa.string())[1:]
+        assert e.ids(column, None) == want
+        assert e.ids(column) == [x + np.array([2], "<u4").tobytes() for x in want]
+        assert np.all(e.known[1:] > e.known[:-1])
 
 
 def test_first_fit_decreasing_equals_plain_search():
