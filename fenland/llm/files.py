@@ -27,6 +27,5 @@ class Replaced:
 
     def close(self) -> None:
         self.out.close()
-        if self.system.get_file_info(self.name).type != fs.FileType.NotFound:
-            self.system.delete_file(self.name)
+        # A file there is replaced by the move: attempts write the same bytes, and none leaves the name without a file.
         self.system.move(self.temporary, self.name)

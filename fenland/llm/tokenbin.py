@@ -1,8 +1,10 @@
 """Training-order materialisation of token ids (operator 8).
 
-Texts are token streams cut into sequences of one length. A keyed Feistel permutation with cycle-walking gives the i-th
-sequence its global slot; slots are dealt by shard and each shard is a file of fixed-stride records in slot order, so that
-slot s lies in shard s // per_shard at byte (s % per_shard) * stride, and reading on from any slot is sequential.
+Texts are dealt to groups by a hash of id and text and stand in their order there, so that the result is the same however
+the input is split. A group is a token stream cut into sequences of one length. A keyed Feistel permutation with
+cycle-walking gives the i-th sequence its global slot; each task writes a range of adjacent shards. A shard is a file of
+fixed-stride records in slot order, so that slot s lies in shard s // per_shard at byte (s % per_shard) * stride, and
+reading on from any slot is sequential. The manifest is stored beside the shards.
 """
 
 from __future__ import annotations
@@ -13,15 +15,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import new_folder, written
+from fenland.functions.tables import shuffles_dropped
+
+from .common import new_folder, scratch, text_key, written
 from .files import Replaced, opened
-from .kernel import U, blocks, mix
+from .kernel import U, blocks, heads, mix
 from .tokens import EOS, encoder
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 2048, 20231, 6
+#: Documents of a group on average; at most so many groups, beyond which they grow; at most so many tasks that write shards,
+#: beyond which each writes several adjacent ones.
+GROUP, GROUPS, TASKS = 4000, 100_000, 50_000
+MANIFEST = "shard long, first_slot long, n_sequences long, bytes long"
 
 
 def packer() -> pa.Codec:
@@ -46,33 +53,41 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences(batches: Iterator[pa.RecordBatch], path: str | None, length: int) -> Iterator[pa.RecordBatch]:
-    """part, ordinal, n_tokens, packed ids (unsigned 16-bit): the partition's token stream in pieces; the last one is padded."""
-    part, ordinal, rest, codec = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint16), packer()
+    """part, ordinal, n_tokens, packed ids (unsigned 16-bit): each part's token stream in pieces; its last one is padded."""
+    part, ordinal, rest, codec = None, 0, np.zeros(0, np.uint16), packer()
 
-    def rows(ids: np.ndarray, first: int, n: list[int]) -> pa.RecordBatch:
+    def rows(ids: np.ndarray, n: list[int]) -> pa.RecordBatch:
         data = [codec.compress(ids[i * length : (i + 1) * length].astype("<u2").tobytes(), asbytes=True) for i in range(len(n))]
         k = len(n)
-        return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int64()), pa.array(range(first, first + k), pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["part", "ordinal", "n_tokens", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int64()), pa.array(range(ordinal, ordinal + k), pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["part", "ordinal", "n_tokens", "packed"])
+
+    def padded() -> pa.RecordBatch:
+        return rows(np.concatenate([rest, np.full(length - len(rest), EOS, np.uint16)]), [len(rest)])
 
     encode = encoder(path)
     for batch in batches:
         for b in blocks(batch, "text"):
-            ids = np.frombuffer(b"".join(encode.ids(b.column("text"), EOS)), "<u4")
-            if len(ids) and ids.max() > 65535:
+            ids, offsets = encode.encoded(b.column("text"), EOS)
+            if ids.max() > 65535:
                 raise ValueError("ids above 65535 do not fit 16 bits")
-            rest = np.concatenate([rest, ids.astype(np.uint16)])
-            full = len(rest) // length
-            if full:
-                yield rows(rest, ordinal, [length] * full)
-                ordinal, rest = ordinal + full, rest[full * length :]
+            of = b.column("part").to_numpy()
+            first = heads(of)
+            for p, a, z in zip(of[first].tolist(), offsets[first].tolist(), [*offsets[first[1:]].tolist(), len(ids)], strict=True):
+                if p != part:
+                    if len(rest):
+                        yield padded()
+                    part, ordinal, rest = p, 0, np.zeros(0, np.uint16)
+                rest = np.concatenate([rest, ids[a:z].astype(np.uint16)])
+                if full := len(rest) // length:
+                    yield rows(rest, [length] * full)
+                    ordinal, rest = ordinal + full, rest[full * length :]
     if len(rest):
-        yield rows(np.concatenate([rest, np.full(length - len(rest), EOS, np.uint16)]), ordinal, [len(rest)])
+        yield padded()
 
 
-def with_slots(batches: Iterator[pa.RecordBatch], starts: dict[int, int], n: int, key: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+def with_slots(batches: Iterator[pa.RecordBatch], starts: np.ndarray, n: int, key: int, per_shard: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        first = np.array([starts[p] for p in b.column("part").to_pylist()], np.int64)
-        slot = feistel(first + b.column("ordinal").to_numpy(), n, key)
+        slot = feistel(starts[b.column("part").to_numpy()] + b.column("ordinal").to_numpy(), n, key)
         yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column("n_tokens"), b.column("packed")], ["shard", "slot", "n_tokens", "packed"])
 
 
@@ -118,36 +133,55 @@ def read_shards(batches: Iterator[pa.RecordBatch], folder: str, length: int, fro
                     yield pa.RecordBatch.from_arrays([pa.array(range(first + at, first + at + k), pa.int64()), pa.array([shard] * k, pa.int64()), pa.array(range(at * stride, (at + k) * stride, stride), pa.int64()), pa.array([data[i * stride : (i + 1) * stride] for i in range(k)], pa.binary())], ["slot", "shard", "byte_offset", "ids"])
 
 
-def materialise(docs: DataFrame, folder: str, text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None) -> DataFrame:
+def materialise(docs: DataFrame, folder: str, text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, path: str | None = None, doc_id: str = "doc_id") -> DataFrame:
     """Writes all texts as shards into folder; returns the manifest: shard, first_slot, n_sequences, bytes.
 
-    Every text is followed by id 2; null and empty texts are that id alone. Only the last sequence of a partition is padded.
-    An empty table writes no shard. The counts by partition are the only thing the driver gathers.
+    Every text is followed by id 2; null and empty texts are that id alone. Only the last sequence of a group is padded.
+    An empty table writes no shard. Null ids are an id like another; repeated rows are written each, those equal in id and
+    text in one group, one after another. Columns besides the two named are not read. The driver gathers the number of
+    sequences of each group, of which there are at most GROUPS at any size. Written again, a folder has the same shards.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(text).cast("string").alias("text"))
-    table = written(slim.mapInArrow(partial(sequences, path=path, length=length), "part long, ordinal long, n_tokens long, packed binary"), "sequences")
-    starts, n = {}, 0
-    for part, count in sorted(table.groupBy("part").count().collect()):
-        starts[part], n = n, n + count
-    if not n:
-        return spark.createDataFrame([], "shard long, first_slot long, n_sequences long, bytes long")
-    shards = -(-n // per_shard)
-    slots = table.mapInArrow(partial(with_slots, starts=starts, n=n, key=key, per_shard=per_shard), "shard long, slot long, n_tokens long, packed binary")
-    dealt = slots.repartitionByRange(shards, "slot").sortWithinPartitions("slot") if shards == 1 else slots.repartition(shards, "shard").sortWithinPartitions("slot")
-    return written(dealt.mapInArrow(partial(write_shards, folder=folder, per_shard=per_shard, length=length), "shard long, first_slot long, n_sequences long, bytes long"), "shards")
-
-
-def read(spark: SparkSession, manifest: DataFrame, folder: str, length: int = LENGTH, from_slot: int = 0) -> DataFrame:
+    content = F.col(text).cast("string")
+    slim = docs.select(F.col(doc_id).cast("string").alias("id"), content.alias("text"), *text_key(content))
+    groups = min(GROUPS, max(1, docs.count() // GROUP))
+    part = F.pmod(F.xxhash64(F.lit(key), "id", "key1"), F.lit(groups)).cast("int").alias("part")
+    ordered = slim.select(part, "id", "key1", "key2", "text").repartitionById(groups, "part").sortWithinPartitions("part", "id", "key1", "key2").select("part", "text")
+    with scratch(spark):
+        table = written(ordered.mapInArrow(partial(sequences, path=path, length=length), "part long, ordinal long, n_tokens long, packed binary"), "sequences")
+        starts = np.zeros(groups + 1, np.int64)
+        for of, count in table.groupBy("part").count().collect():
+            starts[of + 1] = count
+        starts = np.cumsum(starts)
+        n = int(starts[-1])
+        slots = table.mapInArrow(partial(with_slots, starts=starts, n=n, key=key, per_shard=per_shard), "shard long, slot long, n_tokens long, packed binary")
+        shards = max(1, -(-n // per_shard))
+        each = -(-shards // TASKS)
+        dealt = slots.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
+        with shuffles_dropped(spark):
+            dealt.mapInArrow(partial(write_shards, folder=folder, per_shard=per_shard, length=length), MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return manifest_of(spark, folder)
+
+
+def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest that stands beside the shards, in this session or a later one."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+
+
+def read(spark: SparkSession, folder: str, length: int = LENGTH, from_slot: int = 0) -> DataFrame:
     """slot, shard, byte_offset, ids of all slots from from_slot on, from the files."""
-    return manifest.repartition(max(1, manifest.count())).mapInArrow(partial(read_shards, folder=folder, length=length, from_slot=from_slot), "slot long, shard long, byte_offset long, ids binary")
+    manifest = manifest_of(spark, folder).where(F.col("first_slot") + F.col("n_sequences") > from_slot)
+    shards = manifest.count()
+    each = max(1, -(-shards // TASKS))
+    dealt = manifest.repartitionById(max(1, -(-shards // each)), F.floor(F.col("shard") / each).cast("int"))
+    return dealt.mapInArrow(partial(read_shards, folder=folder, length=length, from_slot=from_slot), "slot long, shard long, byte_offset long, ids binary")
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Writes the shards into the shared folder and returns each slot as read back, with the CRC-32 of its bytes."""
     folder = new_folder(docs.sparkSession, "token-shards")
-    manifest = materialise(docs, folder)
-    return read(docs.sparkSession, manifest, folder).select("slot", "shard", "byte_offset", F.crc32("ids").alias("ids_crc32"), (F.length("ids") / 2).cast("long").alias("length"))
+    materialise(docs, folder)
+    return read(docs.sparkSession, folder).select("slot", "shard", "byte_offset", F.crc32("ids").alias("ids_crc32"), (F.length("ids") / 2).cast("long").alias("length"))
 
 
 def checksum(ids: bytes) -> int:
