@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, linededup, lmscore, packing, quality, sharding, tokenbin, toxicity, warc
+from . import collocations, decontam, jaccard, linededup, lmscore, packing, quality, sharding, tokenbin, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_ngram_jaccard_join, op5_sharding, op6_line_dedup, op7_decontamination, op8_token_binary, op9_lm_scoring, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_ngram_jaccard_join, op5_sharding, op6_line_dedup, op7_decontamination, op8_token_binary, op9_lm_scoring, op10_warc, op11_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.SQL, "op6_line_dedup": linededup.SQL, "op10_warc": warc.SQL}
+    return {"op2_quality_rules": quality.SQL, "op6_line_dedup": linededup.SQL, "op10_warc": warc.SQL, "op11_collocations": collocations.SQL}
