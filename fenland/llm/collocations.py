@@ -1,16 +1,16 @@
 """Phrase collocation mining (operator 11): frequent phrases of 2 to 5 words and how far their words attract one another.
 
-Texts are cut at sentence marks into pieces, pieces at blanks into words; everything is counted per language. Three passes:
-
-1. Words are counted; those with SUPPORT occurrences are kept.
-2. Apriori within chunks of about CHUNK words: a chunk that has the share q of a language's words reports the phrases that
-   occur ceil(SUPPORT * q) times in it, each of which has only such parts. A phrase that no chunk reports is too rare; for any
-   other one the counts of the chunks that report it, and the most that the others may have, bound its count from above. The
-   candidates are the phrases whose bound reaches SUPPORT. The bound does not depend on the corpus's size, and a candidate's
-   parts are candidates.
-3. Candidates stand in double-array tries of at most about SHARD phrases, built in tasks and broadcast TRIES at once. numpy
-   advances the states of all positions of a block together, a level at a time, and counts the accepting states; the counts
-   of all tasks are added up. More candidates mean more tries and more passes, not larger ones.
+Texts are cut at sentence marks into pieces, pieces at blanks into words; everything is counted per language. Words are counted
+first. Then, for 2 to 5 words, one length after the other:
+
+* Candidates. A phrase is safe if both phrases of one word less in it are frequent. A chunk of about CHUNK words or a task, with
+  the share q of a language's words, reports the safe phrases that occur ceil(SUPPORT * q) times in it. The counts of the chunks
+  that report a phrase, and the most that the others may have, bound its count from above; candidates are those whose bound
+  reaches SUPPORT. Where chunks are so small a share that each reports all it has, the bound is the count.
+* Counts. Candidates stand in double-array tries of about SHARD phrases, built in tasks and broadcast TRIES at once. numpy
+  advances the states of all positions of a block together, a word at a time, and counts the accepting states; the counts of all
+  tasks are added up. More candidates mean more tries and more passes, not larger ones. The tries tell what is safe for the next
+  length.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .tokens import spread
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Words that a chunk has before it is searched; phrases of a trie; tries that are broadcast together (about 20 MB each).
-CHUNK, SHARD, TRIES = 1_000_000, 400_000, 4
+CHUNK, SHARD, TRIES = 2_500_000, 400_000, 4
 #: Distinct words that a task counts before it sends them on, and frequent words that are broadcast (8 bytes each).
 HELD, KNOWN = 400_000, 4_000_000
 #: Bytes that end a piece, and those that end a word.
@@ -86,65 +86,105 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flushed()
 
 
-def searched(key: np.ndarray, piece: np.ndarray, lang: np.ndarray, totals: np.ndarray, known: np.ndarray | None, support: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Apriori in a chunk. lang: places in totals, the words of each language. (lang, words, excess): first for each language of
-    the chunk the most that a phrase not reported may occur, without words; then the phrases reported, by length, and by how
-    much they pass that."""
+def walked(word: np.ndarray, piece: np.ndarray, base: np.ndarray, check: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and states after 2 .. level words, over all positions at once. word: places among the trie's words, or -1."""
+    at = np.flatnonzero(word >= 0)
+    state = word[at]
+    for j in range(1, level):
+        inside = at + j < len(word)
+        at, state = at[inside], state[inside]
+        t = base[state] + word[at + j]
+        # A word that is not known, or a step outside, leads to the last slot, which is no state.
+        t = np.where((word[at + j] >= 0) & (piece[at] == piece[at + j]) & (t >= 0) & (t < len(check)), t, len(check) - 1)
+        on = check[t] == state
+        at, state = at[on], t[on]
+        yield at, state
+
+
+def placed(key: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Places of keys in sorted letters, -1 for others."""
+    if not len(letters):
+        return np.full(len(key), -1)
+    at = np.minimum(np.searchsorted(letters, key), len(letters) - 1)
+    return np.where(letters[at] == key, at, -1)
+
+
+def shorter(key: np.ndarray, piece: np.ndarray, level: int, known: np.ndarray | None, tries: list) -> np.ndarray:
+    """For each position a number of the frequent phrase of level - 1 words there, or -1."""
+    if level == 2:
+        return placed(key, known) if known is not None else np.unique(key, return_inverse=True)[1]
+    state = np.full(len(key), -1)
+    for number, letters, base, check, often in tries:
+        *_, (at, t) = walked(placed(key, letters), piece, base, check, level - 1)
+        on = often[t]
+        state[at[on]] = t[on] + (number << 32)
+    return state
+
+
+def searched(key: np.ndarray, piece: np.ndarray, lang: np.ndarray, state: np.ndarray, level: int, both: bool, totals: np.ndarray, support: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The phrases of level words that a chunk reports. lang: places in totals, the words of each language; state as of shorter.
+    (lang, words, excess): first for each language of the chunk the most that a phrase not reported may occur, without words;
+    then the phrases reported, and by how much they pass that. both: states of all frequent phrases are known."""
     own = np.bincount(lang, minlength=len(totals))
-    least = -(-support * own // np.maximum(totals, 1))
+    slack = -(-support * own // np.maximum(totals, 1)) - 1
     here = np.flatnonzero(own)
-    yield here, np.zeros((len(here), 0), U), least[here] - 1
-    found, first, at, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    alive = n >= least[lang[first]]
-    if known is not None:
-        alive &= known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found if len(known) else False
-    state, count = np.where(alive[at], at, -1), len(found)
-    for length in range(2, LONGEST + 1):
-        pair = (state[:-1] >= 0) & (state[1:] >= 0)
-        if length == 2:
-            pair &= piece[:-1] == piece[1:]
-        at = np.flatnonzero(pair)
-        if not len(at):
-            return
-        _, first, of, n = np.unique(state[at] * count + state[at + 1], return_index=True, return_inverse=True, return_counts=True)
-        start = at[first]
-        slack = least[lang[start]] - 1
-        alive = n > slack
-        begin = start[alive]
-        yield lang[begin], key[begin[:, None] + np.arange(length)], n[alive] - slack[alive]
-        count = max(len(begin), 1)
-        state = np.full(len(key), -1)
-        state[at] = np.where(alive, np.cumsum(alive) - 1, -1)[of]
-
-
-def discover(batches: Iterator[pa.RecordBatch], known: Broadcast | None, languages: Broadcast, support: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    yield here, np.zeros((len(here), 0), U), slack[here]
+    if len(key) < level:
+        return
+    safe = (state[: len(key) - level + 1] >= 0) & (piece[: len(key) - level + 1] == piece[level - 1 :])
+    if both:
+        safe &= state[1 : len(key) - level + 2] >= 0
+    at = np.flatnonzero(safe)
+    if not len(at):
+        return
+    if both:
+        found, code = np.unique(np.r_[state[at], state[at + 1]], return_inverse=True)
+        code = code[: len(at)] * len(found) + code[len(at) :]
+    else:
+        code = mix(state[at].astype(U) + mix(key[at + level - 1])).view(np.int64)
+    _, first, n = np.unique(code, return_index=True, return_counts=True)
+    start = at[first]
+    more = n > slack[lang[start]]
+    begin = start[more]
+    for a in range(0, len(begin), 100_000):
+        part = begin[a : a + 100_000]
+        yield lang[part], key[part[:, None] + np.arange(level)], n[more][a : a + 100_000] - slack[lang[part]]
+
+
+def discover(batches: Iterator[pa.RecordBatch], level: int, known: Broadcast | None, tries: Broadcast | None, both: bool, languages: Broadcast, support: int, chunk: int) -> Iterator[pa.RecordBatch]:
     """(lh, w1 .. w5, excess) of searched, for each chunk of the task; the last one has up to two chunks."""
     names, totals = languages.value
     held: list[tuple[np.ndarray, ...]] = []
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        key, piece, lang = (np.concatenate(x) for x in zip(*held, strict=True))
-        for of, grams, excess in searched(key, piece, lang, totals, None if known is None else known.value, support):
+        key, piece, lang, state = (np.concatenate(x) for x in zip(*held, strict=True))
+        if level == 2 and known is None:
+            state = np.unique(key, return_inverse=True)[1]
+        for of, grams, excess in searched(key, piece, lang, state, level, both, totals, support):
             columns = [pa.array(names[of]), *(pa.array(np.ascontiguousarray(grams[:, j]).view(np.int64)) if j < grams.shape[1] else pa.nulls(len(of), pa.int64()) for j in range(LONGEST)), pa.array(excess.astype(np.int64))]
-            out = pa.RecordBatch.from_arrays(columns, ["lh", *WORDS, "excess"])
-            yield from (out.slice(a, 100_000) for a in range(0, len(out), 100_000))
+            yield pa.RecordBatch.from_arrays(columns, ["lh", *WORDS, "excess"])
 
-    base = 0
+    last, size = 0, 0
     for batch in batches:
         for b in blocks(batch, "text", 4 * BLOCK):
             w, key, piece = keyed(b)
             if not len(key):
                 continue
-            lh = b.column("lh").to_numpy()
+            state = shorter(key, piece, level, None if known is None else known.value, [] if tries is None else tries.value)
+            lang = np.searchsorted(names, b.column("lh").to_numpy())[w["row"]]
             # Pieces of one block never continue in the next one.
-            held.append((key, piece + base, np.searchsorted(names, lh)[w["row"]]))
-            base += int(piece[-1]) + 1
-            if sum(len(x[0]) for x in held) >= 2 * chunk:
+            piece = np.cumsum(np.r_[True, piece[1:] != piece[:-1]]) + last
+            last = int(piece[-1])
+            held.append((key, piece.astype(np.int32), lang.astype(np.int16), state))
+            size += len(key)
+            if size >= 2 * chunk:
                 rest: list[tuple[np.ndarray, ...]] = []
-                while len(held) > 1 and sum(len(x[0]) for x in held) > chunk:
+                while len(held) > 1 and size > chunk:
                     rest.append(held.pop())
+                    size -= len(rest[-1][0])
                 yield from flushed()
                 held = rest[::-1]
+                size = sum(len(x[0]) for x in held)
     if held:
         yield from flushed()
 
@@ -211,37 +251,28 @@ def build(table: pa.Table) -> pa.Table:
     lengths = sum(c.is_valid().to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     grams = np.stack([c.fill_null(0).to_numpy(zero_copy_only=False).view(U) for c in columns], 1)
     letters, base, check, slot = double_array(grams, lengths)
-    out = table.select(["lh", *WORDS, "trie"]).append_column("slot", pa.array(slot.astype(np.int64)))
+    out = table.select(["lh", *WORDS, "excess", "new", "trie"]).append_column("slot", pa.array(slot.astype(np.int64)))
     for name, x in (("letters", letters), ("base", base), ("check", check)):
         out = out.append_column(name, pa.array([x.tobytes(), *[None] * (len(slot) - 1)], pa.binary()))
     return out
 
 
-def accepted(key: np.ndarray, piece: np.ndarray, letters: np.ndarray, base: np.ndarray, check: np.ndarray) -> np.ndarray:
+def accepted(key: np.ndarray, piece: np.ndarray, letters: np.ndarray, base: np.ndarray, check: np.ndarray, level: int = LONGEST) -> np.ndarray:
     """How often each state is reached, over all positions at once."""
-    word = np.minimum(np.searchsorted(letters, key), len(letters) - 1)
-    word = np.where(letters[word] == key, word, -1)
-    at = np.flatnonzero(word >= 0)
-    state, counts = word[at], np.zeros(len(check), np.int64)
-    for j in range(1, LONGEST):
-        at, state = (x[at + j < len(key)] for x in (at, state))
-        t = base[state] + word[at + j]
-        # A word that is not known, or a step outside, leads to the last slot, which is no state.
-        t = np.where((word[at + j] >= 0) & (piece[at] == piece[at + j]) & (t >= 0) & (t < len(check)), t, len(check) - 1)
-        on = check[t] == state
-        at, state = at[on], t[on]
+    counts = np.zeros(len(check), np.int64)
+    for _, state in walked(placed(key, letters), piece, base, check, level):
         counts += np.bincount(state, minlength=len(check))
     return counts
 
 
-def count_states(batches: Iterator[pa.RecordBatch], tries: Broadcast) -> Iterator[pa.RecordBatch]:
-    counts = [np.zeros(len(check), np.int64) for *_, check in tries.value]
+def count_states(batches: Iterator[pa.RecordBatch], tries: Broadcast, level: int) -> Iterator[pa.RecordBatch]:
+    counts = [np.zeros(len(check), np.int64) for _, _, _, check, _ in tries.value]
     for batch in batches:
         for b in blocks(batch, "text", 4 * BLOCK):
             _, key, piece = keyed(b)
             if len(key):
-                for c, (_, *arrays) in zip(counts, tries.value, strict=True):
-                    c += accepted(key, piece, *arrays)
+                for c, (_, *arrays, _) in zip(counts, tries.value, strict=True):
+                    c += accepted(key, piece, *arrays, level)
     for c, (number, *_) in zip(counts, tries.value, strict=True):
         slot = np.flatnonzero(c)
         for a in range(0, len(slot), 100_000):
@@ -269,27 +300,50 @@ def phrase_counts(docs: DataFrame, lang: str, text: str, support: int) -> tuple[
     known = None
     if frequent.count() <= KNOWN:
         known = spark.sparkContext.broadcast(np.sort(frequent.select("h").toArrow()["h"].to_numpy().view(U)))
-    of = spark.sparkContext.broadcast((names, totals))
-    found = slim.select("lh", "text").mapInArrow(partial(discover, known=known, languages=of, support=support, chunk=CHUNK), ", ".join(f"{c} long" for c in ("lh", *WORDS, "excess")))
-    found = written(found.groupBy("lh", *WORDS).agg(F.sum("excess").alias("excess")), "discovered")
-    slack = found.where("w1 is null").select("lh", F.col("excess").alias("slack"))
-    candidates = written(found.where("w1 is not null").join(slack, "lh").where(F.col("excess") + F.col("slack") >= support).select("lh", *WORDS), "candidates")
-    tries = -(-candidates.count() // SHARD)
-    if not tries:
+    send, slim = spark.sparkContext.broadcast, slim.select("lh", "text")
+    of, phrases, groups = send((names, totals)), None, [None]
+    wide = ", ".join(f"{c} long" for c in ("lh", *WORDS))
+    for level in range(2, LONGEST + 1):
+        found, both = None, len(groups) == 1 and (level > 2 or known is not None)
+        for tries in groups:
+            part = slim.mapInArrow(partial(discover, level=level, known=known, tries=None if tries is None else send(tries), both=both or level == 2, languages=of, support=support, chunk=CHUNK), wide + ", excess long")
+            found = part if found is None else found.union(part)
+        found = written(found.groupBy("lh", *WORDS).agg(F.sum("excess").alias("excess")), "discovered")
+        # Each pass over the tries has had all chunks.
+        slack = found.where("w1 is null").select("lh", (F.col("excess") / len(groups)).cast("long").alias("slack"))
+        candidates = found.where("w1 is not null").join(slack, "lh").where(F.col("excess") + F.col("slack") >= support).select("lh", *WORDS, "excess", F.lit(True).alias("new"))
+        if phrases is not None:
+            candidates = candidates.union(phrases.select("lh", *WORDS, F.col("a").alias("excess"), F.lit(False).alias("new")))
+        candidates = written(candidates, "candidates")
+        n, fresh = candidates.agg(F.count("*"), F.count_if("new")).first()
+        if not fresh:
+            break
+        exact = not slack.agg(F.max("slack")).first()[0]
+        n_tries = -(-n // SHARD)
+        schema = wide + ", excess long, new boolean, trie long, slot long, letters binary, base binary, check binary"
+        built = written(candidates.withColumn("trie", F.pmod(F.xxhash64("w1", "w2"), F.lit(n_tries))).groupBy("trie").applyInArrow(build, schema), "tries")
+        groups, counts = [], None
+        for first in range(0, n_tries, TRIES):
+            mine = F.col("trie").between(first, first + TRIES - 1)
+            rows = built.where(F.col("base").isNotNull() & mine).select("trie", "letters", "base", "check").collect()
+            groups.append([(r["trie"], *(np.frombuffer(r[c], kind) for c, kind in (("letters", U), ("base", np.int32), ("check", np.int32))), np.zeros(len(r["base"]) // 4, bool)) for r in rows])
+            if exact:
+                part = built.where(F.col("new") & mine).select("trie", "slot", F.col("excess").alias("a"))
+            else:
+                sent = send(groups[-1])
+                part = slim.mapInArrow(partial(count_states, tries=sent, level=level), "trie long, slot long, n long").groupBy("trie", "slot").agg(F.sum("n").alias("a"))
+                part = written(part.join(built.where(F.col("new") & mine).select("trie", "slot"), ["trie", "slot"]).where(F.col("a") >= support), "counts")
+                sent.destroy()
+            slots = part.select("trie", "slot").toArrow()
+            number, slot = slots["trie"].to_numpy(), slots["slot"].to_numpy()
+            for i, *_, often in groups[-1]:
+                often[slot[number == i]] = True
+            counts = part if counts is None else counts.union(part)
+        now = built.select("lh", *WORDS, "trie", "slot").join(counts, ["trie", "slot"]).select("lh", *WORDS, "a")
+        phrases = written(now if phrases is None else phrases.union(now), "phrases")
+    if phrases is None:
         return languages, frequent, spark.createDataFrame([], "lh long, p array<long>, a long")
-    dealt = candidates.withColumn("trie", F.pmod(F.xxhash64("w1", "w2"), F.lit(tries)))
-    schema = ", ".join(f"{c} long" for c in ("lh", *WORDS, "trie", "slot")) + ", letters binary, base binary, check binary"
-    built = written(dealt.groupBy("trie").applyInArrow(build, schema), "tries")
-    counts = None
-    for first in range(0, tries, TRIES):
-        rows = built.where(F.col("base").isNotNull() & F.col("trie").between(first, first + TRIES - 1)).select("trie", "letters", "base", "check").collect()
-        arrays = [(r["trie"], *(np.frombuffer(r[c], kind) for c, kind in (("letters", U), ("base", np.int32), ("check", np.int32)))) for r in rows]
-        sent = spark.sparkContext.broadcast(arrays)
-        part = written(slim.select("lh", "text").mapInArrow(partial(count_states, tries=sent), "trie long, slot long, n long").groupBy("trie", "slot").agg(F.sum("n").alias("a")).where(F.col("a") >= support), "counts")
-        sent.destroy()
-        counts = part if counts is None else counts.union(part)
-    phrases = built.select("lh", *WORDS, "trie", "slot").join(counts, ["trie", "slot"]).select("lh", F.filter(F.array(*WORDS), lambda w: w.isNotNull()).alias("p"), "a")
-    return languages, frequent, written(phrases, "phrases")
+    return languages, frequent, phrases.select("lh", F.filter(F.array(*WORDS), lambda w: w.isNotNull()).alias("p"), "a")
 
 
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", support: int = SUPPORT, top: int = TOP) -> DataFrame:
