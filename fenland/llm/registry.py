@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontam, jaccard, linededup, lmscore, packing, pii, quality, sharding, tokenbin, toxicity, warc
+from . import alignment, collocations, decontam, jaccard, linededup, lmscore, packing, pii, quality, sharding, tokenbin, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,12 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_ngram_jaccard_join, op5_sharding, op6_line_dedup, op7_decontamination, op8_token_binary, op9_lm_scoring, op10_warc, op11_collocations, op12_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_ngram_jaccard_join, op5_sharding, op6_line_dedup, op7_decontamination, op8_token_binary, op9_lm_scoring, op10_warc, op11_collocations, op12_pii, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
