@@ -168,7 +168,7 @@ def j3_r1_skeleton_edges(spark, d):
     return ne.skeleton_edges(raw_mask(spark, d))
 
 
-@query("SELECT p.site_id, p.r, p.c, arg_min(m.r, sqrt((p.r-m.r)*(p.r-m.r)+(p.c-m.c)*(p.c-m.c)) * 1000000 + m.r * 1000 + m.c) AS r2, arg_min(m.c, sqrt((p.r-m.r)*(p.r-m.r)+(p.c-m.c)*(p.c-m.c)) * 1000000 + m.r * 1000 + m.c) AS c2 FROM cells p JOIN mask m USING (site_id) GROUP BY ALL")
+@query("SELECT p.site_id, p.r, p.c, arg_min(m.r, ((p.r-m.r)*(p.r-m.r)+(p.c-m.c)*(p.c-m.c)) * 1000000 + m.r * 1000 + m.c) AS r2, arg_min(m.c, ((p.r-m.r)*(p.r-m.r)+(p.c-m.c)*(p.c-m.c)) * 1000000 + m.r * 1000 + m.c) AS c2 FROM cells p JOIN mask m USING (site_id) GROUP BY ALL")
 def j5_snap(spark, d):
     points = orders_grid(spark, d).select("site_id", (F.col("r") * 1000 + F.col("c")).alias("id"), "r", "c")
     return ne.snap(points, raw_mask(spark, d)).drop("id")
