@@ -6,17 +6,19 @@ tokens: with all bytes of a token those that overlap, with its last byte those t
 two common ends those that share a group. The query's links are those that end together.
 
 Neither tokenizer joins a character to a blank after it, so a text's tokens are those of its chunks, which begin at single
-blanks between other characters. What a chunk gives is worked out once and remembered while a worker meets it again; tests
-compare it with whole texts.
+blanks between other characters. What a chunk gives is worked out once, for many chunks together, and remembered until a worker
+has CACHE chunks; tests compare it with whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from .kernel import blocks
 from .tokens import spread
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Chunks that a worker remembers; bytes of text handled at once; ids of B, for the code a * WIDTH + b of a pair.
-CACHE, BYTES, WIDTH = 400_000, 2_000_000, 1 << 20
+#: Chunks that a worker remembers before it forgets them all; bytes of text handled at once; ids of B, for the code a * WIDTH + b of a pair.
+CACHE, BYTES, WIDTH = 250_000, 1_000_000, 1 << 20
 #: Pairs whose counts are broadcast (20 bytes each); beyond, the links are joined to the counts. Pairs a task holds.
 PAIRS, HELD = 2_000_000, 1_000_000
 #: A chunk begins at a blank between two characters that are not white space.
@@ -97,12 +99,18 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decimal digits of 0 .. n - 1 one after another, and where each number's stand and how many."""
+    text = [b"%d" % i for i in range(n)]
+    size = np.array([len(x) for x in text], np.int64)
+    return np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size, size
+
+
 class Aligner:
-    """The two tokenizers, the bytes of their ids, and what chunks gave: groups as text, codes of linked pairs, n_a, n_b."""
+    """The two tokenizers, the bytes of their ids, and what chunks gave. known has the place of a chunk; of those, at hand are its
+    groups as text, whether both tokenizers give its bytes back, n_a, n_b, and the codes of its linked pairs in store."""
 
     def __init__(self, a_path: str | None, b_path: str | None, cache: int = CACHE) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -120,55 +128,97 @@ class Aligner:
         # A chunk's first blank must never follow another character inside a piece.
         self.cuts = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces)
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.cache, self.known = cache, {}
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes))
+        self.digits = decimals(max(len(self.a_bytes), len(self.b_bytes)))
+        self.cache = cache
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[bytes] = []
+        self.whole, self.store = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.n_a, self.n_b, self.first, self.size = (np.zeros(0, np.int64) for _ in range(4))
 
     def chunks(self, text: str) -> list[str]:
         return CUT.split(text) if self.cuts else [text]
 
-    def aligned(self, chunks: list[str]) -> Iterator[tuple[bool, bytes, np.ndarray, int, int]]:
-        """(whole, groups, codes, n_a, n_b) of each chunk, which stands after a blank. whole: both give the chunk's bytes."""
-        of_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
+    @staticmethod
+    def given_back(ids: np.ndarray, n: np.ndarray, flat: np.ndarray, sizes: np.ndarray, want: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether the n ids of each chunk have the bytes that want has for it."""
+        row = np.repeat(np.arange(len(n)), n)
+        own = np.bincount(row, weights=sizes[ids], minlength=len(n)).astype(np.int64)
+        same = own == lengths
+        first = np.cumsum(sizes) - sizes
+        of = ids[same[row]]
+        got = flat[spread(first[of], sizes[of])]
+        chunk = np.repeat(np.flatnonzero(same), lengths[same])
+        wrong = got != want[np.repeat(same, lengths)]
+        same[chunk[wrong]] = False
+        return same
+
+    def text_of(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups of all tokens as text, each with a ";" at its end, and where each group's text ends. a_group, b_group: the
+        group of each token, from 0 on without gaps."""
+        n = int(a_group[-1]) + 1 if len(a_group) else 0
+        of_a, of_b = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
+        # A group's tokens of A, then those of B; each with the mark that follows it.
+        ids, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        at_a = np.arange(len(a)) + (np.cumsum(of_b) - of_b)[a_group]
+        at_b = np.arange(len(b)) + np.cumsum(of_a)[b_group]
+        ids[at_a], ids[at_b] = a, b
+        ends = np.cumsum(of_a + of_b)
+        mark[ends - 1], mark[ends - of_b - 1] = ord(";"), ord("|")
+        data, first, size = self.digits
+        length = size[ids]
+        out = np.repeat(mark, length + 1)
+        stop = np.cumsum(length + 1)
+        out[spread(stop - 1 - length, length)] = data[spread(first[ids], length)]
+        return out, stop[ends - 1] if n else ends
+
+    def learn(self, chunks: list[str]) -> None:
+        """Aligns new chunks, each of which stands after a blank, all at once."""
+        texts = [" " + c for c in chunks]
+        of_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         of_b = self.b.encode(chunks, num_threads=1)
-        whole = []
-        for c, x, y in zip(chunks, of_a, of_b, strict=True):
-            want = b" " + c.encode()
-            whole.append(b"".join([self.a_bytes[i] for i in x]) == want and b"".join([self.b_bytes[i] for i in y]) == want)
-        of_a, of_b = ([ids if ok else [] for ids, ok in zip(of, whole, strict=True)] for of in (of_a, of_b))
-        n_a, n_b = (np.array([len(x) for x in of], np.int64) for of in (of_a, of_b))
-        a, b = (np.fromiter((i for x in of for i in x), np.int64, int(n.sum())) for of, n in ((of_a, n_a), (of_b, n_b)))
+        n_a, n_b = (np.fromiter(map(len, of), np.int64, len(of)) for of in (of_a, of_b))
+        a, b = (np.fromiter(chain.from_iterable(of), np.int64, int(n.sum())) for of, n in ((of_a, n_a), (of_b, n_b)))
+        coded = [t.encode() for t in texts]
+        lengths, want = np.fromiter(map(len, coded), np.int64, len(coded)), np.frombuffer(b"".join(coded), np.uint8)
+        whole = self.given_back(a, n_a, self.a_flat, self.a_size, want, lengths) & self.given_back(b, n_b, self.b_flat, self.b_size, want, lengths)
+        a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
+        n_a, n_b = n_a * whole, n_b * whole
         # All chunks stand one after another; each ends both a token of A and of B, so none is linked with another chunk's.
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ta, tb, _ = links(a_end, b_end, int(a_end[-1]) if len(a_end) else 0, "end")
-        codes = a[ta] * WIDTH + b[tb]
-        la, lb = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
-        at = np.searchsorted(ta, la)
-        sa, sb = [b"%d" % i for i in a.tolist()], [b"%d" % i for i in b.tolist()]
-        ends_a, ends_b = (ta + 1).tolist(), (tb + 1).tolist()
-        for i, ok in enumerate(whole):
-            p, q, groups = int(la[i]), int(lb[i]), []
-            for k in range(int(at[i]), int(at[i + 1])):
-                groups.append(b",".join(sa[p : ends_a[k]]) + b"|" + b",".join(sb[q : ends_b[k]]))
-                p, q = ends_a[k], ends_b[k]
-            yield ok, b";".join(groups), codes[at[i] : at[i + 1]].copy(), int(n_a[i]), int(n_b[i])
-
-    def texts(self, texts: list[str | None]) -> list[tuple[bytes, np.ndarray, int, int]]:
-        """(groups, codes, n_a, n_b) of each text; those without tokens have none."""
+        size = np.diff(np.searchsorted(ta, np.r_[0, np.cumsum(n_a)]))
+        data, stop = self.text_of(a, b, np.searchsorted(ta, np.arange(len(a))), np.searchsorted(tb, np.arange(len(b))))
+        last = np.r_[0, stop][np.cumsum(size)]
+        data, ends = data.tobytes(), last.tolist()
+        self.groups += [data[p : max(q - 1, p)] for p, q in zip([0, *ends[:-1]], ends, strict=True)]
+        base = len(self.known)
+        self.known.update((c, base + i) for i, c in enumerate(chunks))
+        self.first = np.r_[self.first, len(self.store) + np.cumsum(size) - size]
+        self.store = np.r_[self.store, a[ta] * WIDTH + b[tb]]
+        self.whole, self.n_a, self.n_b, self.size = np.r_[self.whole, whole], np.r_[self.n_a, n_a], np.r_[self.n_b, n_b], np.r_[self.size, size]
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(digest of the groups, codes one after another, links, n_a, n_b) of the texts; those without tokens have none."""
+        if len(self.known) > self.cache:
+            self.forget()
         cut = [self.chunks(t) if t else [] for t in texts]
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
         new = list({c for x in cut for c in x if c not in self.known})
         for first in range(0, len(new), 20_000):
-            part = new[first : first + 20_000]
-            self.known.update(zip(part, self.aligned(part), strict=True))
-        out = []
-        for x in cut:
-            got = [self.known[c] for c in x]
-            if not got or not all(g[0] for g in got):
-                out.append((b"", np.zeros(0, np.int64), 0, 0))
-            else:
-                out.append((b";".join([g[1] for g in got]), np.concatenate([g[2] for g in got]), sum(g[3] for g in got), sum(g[4] for g in got)))
-        if len(self.known) > self.cache:
-            # Those of the last blocks stay, as frequent chunks are met in each.
-            self.known = {c: self.known[c] for x in cut for c in x}
-        return out
+            self.learn(new[first : first + 20_000])
+        place = list(map(self.known.__getitem__, chain.from_iterable(cut)))
+        at, row = np.array(place, np.int64), np.repeat(np.arange(len(cut)), n)
+        good = (np.bincount(row[~self.whole[at]], minlength=len(cut)) == 0) & (n > 0)
+        total = lambda x: np.bincount(row, weights=x[at], minlength=len(cut)).astype(np.int64) * good
+        used = at[good[row]]
+        codes = self.store[spread(self.first[used], self.size[used])]
+        ends = np.cumsum(n).tolist()
+        digests = [hashlib.sha256(b";".join([self.groups[i] for i in place[q - k : q]])).hexdigest() if ok else "" for q, k, ok in zip(ends, n.tolist(), good.tolist(), strict=True)]
+        return digests, codes, total(self.size), total(self.n_a), total(self.n_b)
 
 
 @lru_cache(maxsize=1)
@@ -203,13 +253,9 @@ def align(batches: Iterator[pa.RecordBatch], a_path: str | None, b_path: str | N
     for batch in batches:
         id_type = batch.column("doc_id").type
         for b in blocks(batch, "text", BYTES):
-            got = tool.texts(b.column("text").to_pylist())
-            size = np.array([len(g[1]) for g in got], np.int64)
-            codes = np.concatenate([g[1] for g in got])
-            hashed = pa.array([hashlib.sha256(g[0]).hexdigest() if len(g[1]) else "" for g in got])
-            n_a, n_b = (pa.array([g[k] for g in got], pa.int64()) for k in (2, 3))
+            digests, codes, size, n_a, n_b = tool.texts(b.column("text").to_pylist())
             of = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(codes))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), n_a, n_b, pa.array(size), hashed, of, pa.nulls(len(b), kinds)], NAMES)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n_a), pa.array(n_b), pa.array(size), pa.array(digests, pa.string()), of, pa.nulls(len(b), kinds)], NAMES)
             held.append(np.unique(codes, return_counts=True))
             if sum(len(x[0]) for x in held) > HELD:
                 held = [sums()]

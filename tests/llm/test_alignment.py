@@ -77,8 +77,8 @@ def test_forgotten_chunks_give_the_same():
     assert large.cuts
     for i in range(0, len(some), 10):
         for x, y in zip(small.texts(some[i : i + 10]), large.texts(some[i : i + 10]), strict=True):
-            assert x[0] == y[0] and x[1].tolist() == y[1].tolist() and x[2:] == y[2:]
-    assert len(small.known) < 60
+            assert list(x) == list(y)
+    assert len(small.known) < len(large.known)
 
 
 @pytest.mark.parametrize("kind", ["overlap", "end", "group"])
