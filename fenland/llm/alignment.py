@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import scratch, written
+from .common import arrow_rows, scratch, written
 from .kernel import blocks
 from .tokens import spread
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Chunks that a worker remembers before it forgets them all; bytes of text handled at once; ids of B, for the code a * WIDTH + b of a pair.
-CACHE, BYTES, WIDTH = 250_000, 1_000_000, 1 << 20
+CACHE, BYTES, WIDTH = 150_000, 1_000_000, 1 << 20
+#: Rows of an Arrow batch, which may hold long texts and their links.
+ROWS = 1000
 #: Pairs whose counts are broadcast (20 bytes each); beyond, the links are joined to the counts. Pairs a task holds.
 PAIRS, HELD = 2_000_000, 1_000_000
 #: A chunk begins at a blank between two characters that are not white space.
@@ -264,6 +266,8 @@ def align(batches: Iterator[pa.RecordBatch], a_path: str | None, b_path: str | N
                     held = []
     if held:
         yield from counts(id_type)
+    # A worker lives on with other work.
+    tool.forget()
 
 
 def looked_up(batches: Iterator[pa.RecordBatch], pairs: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -286,7 +290,7 @@ def alignment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_pat
     rows of their own and count each; null ids stay null; other columns are left out.
     """
     spark = docs.sparkSession
-    with scratch(spark):
+    with scratch(spark), arrow_rows(spark, ROWS):
         slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
         kind = slim.schema["doc_id"].dataType.simpleString()
         done = written(slim.mapInArrow(partial(align, a_path=a_path, b_path=b_path), FIELDS.format(id=kind)), "aligned")
