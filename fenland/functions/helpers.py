@@ -75,16 +75,24 @@ def thin_block(block: np.ndarray, passes: int) -> np.ndarray:
 
 
 def thin_tile(frame: pd.DataFrame, tile: int, halo: int, passes: int) -> pd.DataFrame:
-    """Cells (r, c) of a tile and its halo -> the cells of the tile that passes sub-iterations leave."""
-    top, left = int(frame["tr"].iloc[0]) * tile - halo, int(frame["tc"].iloc[0]) * tile - halo
+    """Cells (r, c) of a tile and its halo -> the cells of the tile that passes sub-iterations leave, and a row without a cell if
+    the tile has changed."""
+    tr, tc = int(frame["tr"].iloc[0]), int(frame["tc"].iloc[0])
+    top, left = tr * tile - halo, tc * tile - halo
     block = np.zeros((tile + 2 * halo, tile + 2 * halo), bool)
     block[frame["r"] - top, frame["c"] - left] = True
-    y, x = np.nonzero(thin_block(block, passes)[halo : halo + tile, halo : halo + tile])
-    return pd.DataFrame({"site_id": frame["site_id"].iloc[0], "r": y + top + halo, "c": x + left + halo})
+    core = slice(halo, halo + tile)
+    before, after = block[core, core], thin_block(block, passes)[core, core]
+    y, x = np.nonzero(after)
+    r, c = [*(y + top + halo).tolist()], [*(x + left + halo).tolist()]
+    if before.sum() != len(y):
+        r, c = [None, *r], [None, *c]
+    return pd.DataFrame({"site_id": frame["site_id"].iloc[0], "r": pd.array(r, "Int64"), "c": pd.array(c, "Int64"), "tr": tr, "tc": tc})
 
 
 def relax_tile(frame: pd.DataFrame, tile: int, hops: bool) -> pd.DataFrame:
-    """Cells (r, c, d) of a tile and its one-cell frame -> the tile's cells with their least distances over paths inside both."""
+    """Cells (r, c, d) of a tile and its one-cell frame -> the tile's cells with their least distances over paths inside
+    both, and whether they have changed."""
     tr, tc = int(frame["tr"].iloc[0]), int(frame["tc"].iloc[0])
     top, left = tr * tile - 1, tc * tile - 1
     d, on = np.full((tile + 2, tile + 2), np.inf), np.zeros((tile + 2, tile + 2), bool)
@@ -92,6 +100,7 @@ def relax_tile(frame: pd.DataFrame, tile: int, hops: bool) -> pd.DataFrame:
     d[y, x], on[y, x] = frame["d"].fillna(np.inf), True
     steps = [(dy, dx, 1.0 if hops or not (dy and dx) else 2**0.5) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     inner = on[1:-1, 1:-1]
+    before = d[1:-1, 1:-1].copy()
     while True:
         best = d[1:-1, 1:-1].copy()
         for dy, dx, w in steps:
@@ -102,4 +111,38 @@ def relax_tile(frame: pd.DataFrame, tile: int, hops: bool) -> pd.DataFrame:
         d[1:-1, 1:-1] = best
     y, x = np.nonzero(inner)
     v = pd.Series(best[y, x])
-    return pd.DataFrame({"site_id": frame["site_id"].iloc[0], "r": y + top + 1, "c": x + left + 1, "d": v.where(np.isfinite(v), None).astype("float64")})
+    return pd.DataFrame({"site_id": frame["site_id"].iloc[0], "r": y + top + 1, "c": x + left + 1, "d": v.where(np.isfinite(v), None).astype("float64"), "changed": (best != before)[y, x]})
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of integer points (n x 2), around it; of points in a line the two ends."""
+    p = np.unique(points, axis=0)
+    if len(p) < 3:
+        return p
+
+    def side(of: list[list[int]]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for x, y in of:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
+                out.pop()
+            out.append([x, y])
+        return out[:-1]
+
+    return np.array(side(p.tolist()) + side(p[::-1].tolist()), np.int64)
+
+
+def widest(corners: np.ndarray) -> int:
+    """The largest squared distance of two corners of a hull, by calipers turned around it."""
+    n, k, most = len(corners), 1, 0
+    c = corners.tolist()
+    far = lambda i, j: (c[i][0] - c[j][0]) ** 2 + (c[i][1] - c[j][1]) ** 2
+    if n < 3:
+        return far(0, n - 1)
+    turn = lambda i, j, m: (c[j][0] - c[i][0]) * (c[m][1] - c[i][1]) - (c[j][1] - c[i][1]) * (c[m][0] - c[i][0])
+    for i in range(n):
+        j = (i + 1) % n
+        while turn(i, j, (k + 1) % n) > turn(i, j, k):
+            k = (k + 1) % n
+            most = max(most, far(i, k))
+        most = max(most, far(i, k), far(j, k), far(i, (k + 1) % n), far(j, (k + 1) % n))
+    return most

@@ -65,4 +65,13 @@ def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
         df.write.parquet(path)
     if of := SCRATCH.get()[: -1 if kept else None]:
         of[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fl_folder = path
+    return out
+
+
+def replaced(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
+    """df as of written, in place of old, a table of written that nothing else reads; loops so leave one table behind."""
+    out = written(df, name)
+    dropped(df.sparkSession, old._fl_folder)
+    return out

@@ -7,15 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fenland.functions.helpers import TILE, relax_tile
-from fenland.functions.tables import scratch, written
+from fenland.functions.tables import replaced, scratch, written
 
 from .cells import KEYS
 from .components import label
 from .geometry import euclid, rasterize_line, sinuosity
 from .graph import connected_components
 from .morph import NB8, border_mask, branch_points, bwmorph_diag, dilate, moved
+from .thin import beside, framed
 from .paths import STRIDE, contracted_graph, path_cells_of, shortest_paths
 
+#: Outlets of which the list is broadcast (40 bytes each).
+BROADCAST_OUTLETS = 500_000
+
+
 def step_length():
     """Length of the neighbour offset k: 1 or sqrt 2."""
     return F.when(F.col("k").isin(1, 3, 4, 6), F.lit(1.0)).otherwise(F.lit(2**0.5))
@@ -32,20 +37,26 @@ def geodesic_distance(mask: DataFrame, seeds: DataFrame, hops: bool = False, rou
     """(site_id, r, c, d): least length of a path of 8-neighbours inside the mask from the nearest seed; unreached cells are left out.
 
     Each tile settles its own cells, then tiles exchange a frame of one cell, until no distance changes: the rounds follow
-    the tiles that a path crosses, not its cells.
+    the tiles that a path crosses, not its cells. Only tiles that have changed, or beside one that has, go into the next round.
     """
+    tiles = ["site_id", "tr", "tc"]
+    own = [F.expr(f"r div {tile}").alias("tr"), F.expr(f"c div {tile}").alias("tc")]
     zero = seeds.select(*KEYS).distinct().withColumn("d", F.lit(0.0))
     now = written(mask.select(*(F.col(k).cast("long") for k in KEYS)).distinct().join(zero, KEYS, "left"), "geo")
-    last = None
-    around = F.array(*(F.lit(x) for x in (-1, 0, 1)))
+    active = None
     for _ in range(rounds):
-        framed = now.withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).withColumn("tr", F.expr(f"r div {tile} + i")).withColumn("tc", F.expr(f"c div {tile} + j"))
-        framed = framed.where(f"r between tr * {tile} - 1 and tr * {tile} + {tile} and c between tc * {tile} - 1 and tc * {tile} + {tile} and tr >= 0 and tc >= 0")
-        now = written(framed.select(*KEYS, "d", "tr", "tc").groupBy("site_id", "tr", "tc").applyInPandas(lambda f: relax_tile(f, tile, hops), "site_id long, r long, c long, d double"), "geo")
-        state = now.agg(F.count("d"), F.sum("d")).first()
-        if state == last:
-            return now.where("d is not null")
-        last = state
+        spread = framed(now.select(*KEYS, "d"), tile, 1)
+        if active is not None:
+            spread = spread.join(active, tiles, "left_semi")
+        after = spread.groupBy(*tiles).applyInPandas(lambda f: relax_tile(f, tile, hops), "site_id long, r long, c long, d double, changed boolean")
+        if active is not None:
+            after = after.union(now.select("*", *own).join(active, tiles, "left_anti").select(*KEYS, "d", F.lit(False)))
+        now = replaced(after, "geo", now)
+        changed = now.where("changed").select("site_id", *own)
+        n = changed.count()
+        if not n:
+            return now.where("d is not null").select(*KEYS, "d")
+        active = beside(changed, n)
     raise RuntimeError("distances have not settled")
 
 
@@ -54,8 +65,9 @@ def outlets(skel: DataFrame, cells: DataFrame, n: int, nrows: int, ncols: int) -
     order = Window.partitionBy("site_id").orderBy(F.col("z").asc_nulls_last(), "r", "c")
     low = skel.join(cells.select(*KEYS, "z"), KEYS, "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     border = border_mask(cells.where("z is not null"), nrows, ncols).select("site_id", F.col("r").alias("r2"), F.col("c").alias("c2"))
-    # n outlets a site, so broadcast by a bound of the parameters.
-    near = border.join(F.broadcast(low.select("site_id", F.col("r").alias("r1"), F.col("c").alias("c1"), "rank")), "site_id")
+    low = written(low, "lowest")
+    few = F.broadcast if low.count() <= BROADCAST_OUTLETS else lambda x: x
+    near = border.join(few(low.select("site_id", F.col("r").alias("r1"), F.col("c").alias("c1"), "rank")), "site_id")
     best = near.groupBy("site_id", "rank", "r1", "c1").agg(F.min_by(F.struct("r2", "c2"), F.struct(euclid(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2")), "r2", "c2")).alias("p")).select("site_id", "rank", "r1", "c1", "p.*")
     lines = rasterize_line(best, ties_down=False).select(*KEYS)
     return skel.select(*KEYS).union(lines).distinct(), best.select("site_id", F.col("r2").alias("r"), F.col("c2").alias("c")).distinct()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from fenland.functions.helpers import hull, widest
+
 from .cells import KEYS
-from .morph import perimeter_mask
 
 
 def tidal_prism(cells: DataFrame, hat: float, gs: float | None = None) -> DataFrame:
@@ -23,13 +25,22 @@ def mean_overland_path(distance: DataFrame, area: DataFrame) -> DataFrame:
     return distance.join(area.select(*KEYS), KEYS, "left_semi").groupBy("site_id").agg(F.avg("d").alias("mean_opl"), F.max("d").alias("max_opl"))
 
 
-def major_axis(area: DataFrame) -> DataFrame:
-    """The largest distance of two cells of the area: among the first and last perimeter cell of each row."""
-    row = perimeter_mask(area).groupBy("site_id", "r").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    ends = row.select("site_id", "r", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c"))
-    other = ends.toDF("site_id", "r2", "c2")
-    far = F.pow(F.col("r") - F.col("r2"), 2) + F.pow(F.col("c") - F.col("c2"), 2)
-    return ends.join(other, "site_id").where("r <= r2").groupBy("site_id").agg(F.sqrt(F.max(far)).alias("major_axis"))
+def major_axis(area: DataFrame, rows: int = 2048) -> DataFrame:
+    """The largest distance of two cells of the area. Its ends are corners of the convex hull: the first and last cells of each
+    row give hulls of so many rows each, and their corners that of the site, around which calipers turn."""
+    ends = area.groupBy("site_id", "r").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    points = ends.select("site_id", F.expr(f"r div {rows}").alias("part"), F.col("r").cast("long").alias("r"), F.explode(F.array_distinct(F.array(F.col("lo").cast("long"), F.col("hi").cast("long")))).alias("c"))
+    corners = points.groupBy("site_id", "part").applyInPandas(part_hull, "site_id long, r long, c long")
+    return corners.groupBy("site_id").applyInPandas(site_axis, "site_id long, major_axis double")
+
+
+def part_hull(frame: pd.DataFrame) -> pd.DataFrame:
+    p = hull(frame[["r", "c"]].to_numpy())
+    return pd.DataFrame({"site_id": frame["site_id"].iloc[0], "r": p[:, 0], "c": p[:, 1]})
+
+
+def site_axis(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"site_id": [frame["site_id"].iloc[0]], "major_axis": [widest(hull(frame[["r", "c"]].to_numpy())) ** 0.5]})
 
 
 def percent_of_axis(distance: DataFrame, axis: DataFrame) -> DataFrame:

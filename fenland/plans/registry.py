@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fenland.operators import cells as ce, components as co, edt as ed, geometry as ge, hypsometry as hy, morph as mo, network as ne, overland as ov, reconnect as re, summary as su, thin as th, xsection as xs
+from fenland.operators import cells as ce, components as co, edt as ed, geometry as ge, hypsometry as hy, loops as lo, morph as mo, network as ne, overland as ov, paths as pa, reconnect as re, summary as su, thin as th, xsection as xs
 from fenland.sources.fixtures import CELLS, COLS, PARAMS as P, ROWS, grids_of, orders_grid, params_of
-from fenland.functions.tables import written
+from fenland.functions.tables import new_folder, written
+from fenland.sources import grids as gr
 
 from .workloads import Settings, creek_mask, detected, morphometry, ordered_network, overland_paths, sections
 
@@ -639,6 +640,49 @@ def workload_morphometry(spark, d):
     return morphometry(orders_grid(spark, d), SETTINGS)
 
 
+def centre_line(cells: DataFrame) -> DataFrame:
+    """A correction for every site: the middle of its trunk gets order 4."""
+    return cells.select("site_id").distinct().select("site_id", F.lit(1).alias("id"), F.lit(2).alias("r1"), F.lit(50).alias("c1"), F.lit(40).alias("r2"), F.lit(50).alias("c2"), F.lit(4).alias("new_order"))
+
+
+@query()
+def r10_corrected_morphometry(spark, d):
+    cells = orders_grid(spark, d)
+    return morphometry(cells, SETTINGS, centre_line(cells))
+
+
+@query()
+def g4_xs_anchor_loop(spark, d):
+    """The anchors of loops for every chain of the network; rings are those that are closed by themselves."""
+    _, _, net = network_of(spark, d)
+    return lo.xs_anchor_loop(lo.path_cells(net["chains"], net["segments"].where("closed")))
+
+
+@query()
+def r2_chain_positions(spark, d):
+    """Hops and lengths along the skeleton's chains without knots, for each of its cells."""
+    _, _, net = network_of(spark, d)
+    return pa.contracted_graph(net["skel"], net["breaches"])[1]
+
+
+@query(SEGS + f" SELECT site_id, ord, {SUMS} GROUP BY ALL")
+def t4_s6_written_summary(spark, d):
+    """The order summary written in the order of sites and orders, and read back."""
+    table = rounded(su.order_summary(measured(spark, d)))
+    path = new_folder(spark, "summary")
+    gr.write_summary(table, path)
+    return gr.read_summary(spark, path, table.schema)
+
+
+@query("SELECT site_id, r, c, z FROM cells")
+def s1_s2_ascii_round_trip(spark, d):
+    """The elevation grids of all sites as text, read back by their headers."""
+    cells, path = orders_grid(spark, d), new_folder(spark, "grids")
+    gr.write_ascii_grid(cells, grids_of(cells), path)
+    back = gr.read_ascii_grid(spark, path, site=r"site=([^/]*)/[^/]*$").withColumns({"site_id": F.col("site_id").cast("long"), "r": F.col("r").cast("long"), "c": F.col("c").cast("long")})
+    return back.join(cells.select("site_id", "r", "c"), ["site_id", "r", "c"], "left_semi")
+
+
 @query()
 def workload_overland(spark, d):
     cells = orders_grid(spark, d)

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from fenland.functions.tables import written
-from fenland.operators import cells as ce, components, edt, network, overland, summary, thin, xsection
-from fenland.operators.morph import branch_points
+from fenland.functions.tables import scratch, written
+from fenland.operators import cells as ce, components, edt, loops, network, overland, summary, thin, xsection
+from fenland.operators.morph import branch_points, end_points
 
 
 @dataclass(frozen=True)
@@ -56,9 +56,24 @@ def ordered_network(cells: DataFrame, mask: DataFrame, s: Settings) -> dict[str,
 
 
 def sections(cells: DataFrame, mask: DataFrame, net: dict[str, DataFrame], s: Settings) -> DataFrame:
-    """Cross-section measures of each chain."""
-    positions = xsection.chain_positions(net["chains"], starts(net["chains"]))
-    return xsection.cross_section(xsection.xs_anchor(positions), mask, cells, s.nrows, s.ncols)
+    """Cross-section measures of each chain; connectors and rings have the anchors of loops."""
+    return xsection.cross_section(section_anchors(net), mask, cells, s.nrows, s.ncols)
+
+
+def section_anchors(net: dict[str, DataFrame]) -> DataFrame:
+    loop = net["orders"].where("kind in ('connector', 'ring')").select("site_id", "seg")
+    plain = net["chains"].join(loop, ["site_id", "seg"], "left_anti")
+    anchors = xsection.xs_anchor(xsection.chain_positions(plain, starts(plain)))
+    if loop.isEmpty():
+        return anchors
+    return anchors.union(loop_anchors(net))
+
+
+def loop_anchors(net: dict[str, DataFrame]) -> DataFrame:
+    """The anchors of the chains of connectors and rings."""
+    loop = net["orders"].where("kind in ('connector', 'ring')").select("site_id", "seg")
+    chains = net["chains"].join(loop, ["site_id", "seg"], "left_semi")
+    return loops.xs_anchor_loop(loops.path_cells(chains, net["segments"].where("closed")))
 
 
 def starts(chains: DataFrame) -> DataFrame:
@@ -71,13 +86,27 @@ def starts(chains: DataFrame) -> DataFrame:
     return first.select("site_id", "p.r", "p.c")
 
 
-def morphometry(cells: DataFrame, s: Settings) -> DataFrame:
-    """The summary of every site and order."""
+def anchors_of(net: dict[str, DataFrame], cells: DataFrame) -> DataFrame:
+    """The cells that corrections snap to: branch and end points."""
+    return branch_points(net["skel"], cells).union(end_points(net["skel"])).distinct()
+
+
+def morphometry(cells: DataFrame, s: Settings, corrections: DataFrame | None = None) -> DataFrame:
+    """The summary of every site and order; after corrections(site_id, id, r1, c1, r2, c2, new_order) if there are any. A
+    corrected path has no cross-sections of its own."""
+    with scratch(cells.sparkSession):
+        return written(summarised(cells, s, corrections), "morphometry", kept=True)
+
+
+def summarised(cells: DataFrame, s: Settings, corrections: DataFrame | None) -> DataFrame:
     mask = written(creek_mask(cells, s), "mask")
     net = ordered_network(cells, mask, s)
     named = net["orders"].select("site_id", "seg", "final")
     measures = sections(cells, mask, net, s).join(named, ["site_id", "seg"]).groupBy("site_id", "final").agg(*(F.avg(c).alias(c) for c in ("width", "depth", "area")))
-    table = net["lengths"].join(measures.withColumnRenamed("final", "seg"), ["site_id", "seg"], "left")
+    lengths = net["lengths"]
+    if corrections is not None:
+        lengths = written(network.corrected_lengths(net["chains"], net["segments"], net["orders"], net["skel"], corrections, anchors_of(net, cells)), "lengths")
+    table = lengths.join(measures.withColumnRenamed("final", "seg"), ["site_id", "seg"], "left")
     branches = branch_points(net["skel"], cells)
     angles = network.segment_angles(net["links"], xsection.junction_angles(branches, net["chains"], s.hops), net["skel"], cells, net["breaches"])
     angles = summary.angle_means(angles.join(net["orders"].select("site_id", "seg", "ord"), ["site_id", "seg"]))
@@ -86,8 +115,10 @@ def morphometry(cells: DataFrame, s: Settings) -> DataFrame:
 
 def overland_paths(cells: DataFrame, mask: DataFrame, s: Settings) -> DataFrame:
     """Distance to the creek, axis and prism of every site."""
-    hatted = ce.mask_above_hat(cells, s.hat)
-    distance = written(edt.edt(cells, mask), "distance")
-    area = ce.land_mask(hatted)
-    out = overland.mean_overland_path(distance, area).join(overland.major_axis(area), "site_id", "left")
-    return out.join(overland.marsh_means(hatted, mask, s.hat), "site_id").join(overland.tidal_prism(hatted, s.hat), "site_id")
+    with scratch(cells.sparkSession):
+        hatted = ce.mask_above_hat(cells, s.hat)
+        distance = written(edt.edt(cells, mask), "distance")
+        area = ce.land_mask(hatted)
+        out = overland.mean_overland_path(distance, area).join(overland.major_axis(area), "site_id", "left")
+        out = out.join(overland.marsh_means(hatted, mask, s.hat), "site_id").join(overland.tidal_prism(hatted, s.hat), "site_id")
+        return written(out, "overland", kept=True)

@@ -51,3 +51,16 @@ def test_thinning_settles_and_keeps_components():
     m[5:10, 2:28] = True
     thin = thin_block(m, 60)
     assert (thin_block(thin, 2) == thin).all() and 0 < thin.sum() < 40
+
+
+def test_widest_equals_all_pairs():
+    from fenland.functions.helpers import hull, widest
+
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 3, 5, 40, 300):
+        for box in (1, 2, 6, 50):
+            p = rng.integers(0, box, (n, 2))
+            want = max(int((a - b) @ (a - b)) for a in p for b in p)
+            assert widest(hull(p)) == want
+            parts = np.concatenate([hull(p[p[:, 0] // 7 == k]) for k in np.unique(p[:, 0] // 7)])
+            assert widest(hull(parts)) == want
