@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re as re_
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from fenland.operators import cells as ce, components as co, edt as ed, geometry as ge, hypsometry as hy, loops as lo, morph as mo, network as ne, overland as ov, paths as pa, reconnect as re, summary as su, thin as th, xsection as xs
 from fenland.sources.fixtures import CELLS, COLS, PARAMS as P, ROWS, grids_of, orders_grid, params_of
 from fenland.functions.tables import new_folder, written
-from fenland.sources import grids as gr
+from fenland.sources import grids as gr, stages as st
 
 from .workloads import Settings, creek_mask, detected, morphometry, ordered_network, overland_paths, sections
 
@@ -683,6 +684,18 @@ def s1_s2_ascii_round_trip(spark, d):
     return back.join(cells.select("site_id", "r", "c"), ["site_id", "r", "c"], "left_semi")
 
 
+@query("SELECT e.site_id, e.r, e.c, e.z, s.slope FROM cells e JOIN cells s USING (site_id, r, c)")
+def j1_s5_bucketed_align(spark, d):
+    """Elevation and slope as bucketed tables, joined cell by cell where they lie."""
+    cells, names = orders_grid(spark, d), [f"fenland_{k}_{uuid.uuid4().hex}" for k in ("z", "slope")]
+    try:
+        z, slope = (st.write_bucketed(cells.select(*ce.KEYS, k), n, 16) for k, n in zip(("z", "slope"), names, strict=True))
+        return written(st.joined(z, slope).select(*ce.KEYS, "z", "slope"), "bucketed-align")
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
 @query()
 def workload_overland(spark, d):
     cells = orders_grid(spark, d)

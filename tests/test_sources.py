@@ -33,3 +33,21 @@ def test_tables_round_trip(spark, tmp_path):
     for turn in (cells, cells.where("site_id = 1")):
         stages.write_stage(turn, str(tmp_path), "stage")
         assert sorted(stages.read_stage(spark, str(tmp_path), "stage").collect(), key=repr) == sorted(turn.collect(), key=repr)
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    from fenland.sources import stages
+
+    cells = spark.range(3000).selectExpr("id % 3 as site_id", "id div 60 * 20 as r", "id % 60 * 20 as c", "id * 1.0 as z")
+    names = ("bucketed_left", "bucketed_right")
+    try:
+        a, b = stages.write_bucketed(cells, names[0], 8), stages.write_bucketed(cells.where("r % 40 = 0").selectExpr("site_id", "r", "c", "z + 1 as y"), names[1], 8)
+        both = stages.joined(a, b)
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert both.count() == cells.where("r % 40 = 0").count() and both.where("y <> z + 1").count() == 0
+        assert "Exchange" not in stages.joined(a, b, "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in stages.joined(a, b, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
