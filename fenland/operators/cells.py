@@ -7,6 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 KEYS = ["site_id", "r", "c"]
 
 
+def with_values(df: DataFrame, **values) -> DataFrame:
+    """df with a column for each value, either one for all sites or a table (site_id, value), of which sites without a row have
+    null."""
+    for name, v in values.items():
+        df = df.join(v.withColumnRenamed("value", name), "site_id", "left") if isinstance(v, DataFrame) else df.withColumn(name, F.lit(v))
+    return df
+
+
 def with_xy(cells: DataFrame, grids: DataFrame) -> DataFrame:
     """Map coordinates x, y of each cell; grids is one row a site."""
     g = grids.select("site_id", "nrows", "xc", "yc", "gs")
@@ -111,6 +119,6 @@ def sentinel_fill(df: DataFrame, column: str, by: list[str], sentinel: float = 9
     return df.join(mean, by, "left").withColumn(column, F.when(F.col(column) == sentinel, F.col("_mean")).otherwise(F.col(column))).drop("_mean")
 
 
-def order_swap(df: DataFrame, ordermax: int, column: str = "ord") -> DataFrame:
+def order_swap(df: DataFrame, ordermax: int | DataFrame, column: str = "ord") -> DataFrame:
     """Reverse order: ordermax + 1 - order; 0 becomes null."""
-    return df.withColumn("rs_order", F.when(F.col(column) > 0, ordermax + 1 - F.col(column)))
+    return with_values(df, _most=ordermax).withColumn("rs_order", F.when(F.col(column) > 0, F.col("_most") + 1 - F.col(column))).drop("_most")

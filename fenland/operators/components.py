@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fenland.functions.helpers import TILE, tile_components
 from fenland.functions.tables import written
 
-from .cells import KEYS
+from .cells import KEYS, with_values
 from .graph import connected_components as graph_components
 from .morph import NB4, NB8, close, complement, moved
 
@@ -66,7 +68,7 @@ def component_props(labels: DataFrame) -> DataFrame:
 
 def remove_small_objects(mask: DataFrame, least: int, connectivity: int = 8) -> DataFrame:
     labels = label(mask, connectivity)
-    big = component_size(labels).where(F.col("n") >= least).select("site_id", "comp")
+    big = with_values(component_size(labels), _least=least).where("n >= _least").select("site_id", "comp")
     return labels.join(big, ["site_id", "comp"], "left_semi").select(*KEYS)
 
 
@@ -75,19 +77,19 @@ def area_filter(mask: DataFrame, grid: DataFrame, low: int, high: int, mode: str
     components above high."""
     if mode == "range":
         labels = label(mask, connectivity)
-        fit = component_size(labels).where(F.col("n").between(low, high)).select("site_id", "comp")
+        fit = with_values(component_size(labels), _low=low, _high=high).where("n between _low and _high").select("site_id", "comp")
         return labels.join(fit, ["site_id", "comp"], "left_semi").select(*KEYS)
     kept = written(remove_small_objects(mask, low), "kept")
     back = label(complement(kept, grid), 8)
     cells = grid.groupBy("site_id").agg(F.count("*").alias("cells"))
-    small = component_size(back).join(cells, "site_id").where(F.col("n") < F.col("cells") - high).select("site_id", "comp")
+    small = with_values(component_size(back).join(cells, "site_id"), _high=high).where("n < cells - _high").select("site_id", "comp")
     return kept.union(back.join(small, ["site_id", "comp"], "left_semi").select(*KEYS))
 
 
 def holes(mask: DataFrame, grid: DataFrame, nrows: int, ncols: int) -> DataFrame:
     """Background cells that are not 4-connected with the grid's edge."""
     back = label(complement(mask, grid), 4)
-    open_ = back.where(f"r = 0 or c = 0 or r = {nrows - 1} or c = {ncols - 1}").select("site_id", "comp").distinct()
+    open_ = with_values(back, _nrows=nrows, _ncols=ncols).where("r = 0 or c = 0 or r = _nrows - 1 or c = _ncols - 1").select("site_id", "comp").distinct()
     return back.join(open_, ["site_id", "comp"], "left_anti").select(*KEYS)
 
 
@@ -98,13 +100,24 @@ def fill_holes(mask: DataFrame, grid: DataFrame, nrows: int, ncols: int) -> Data
 def fill_small_holes(mask: DataFrame, grid: DataFrame, nrows: int, ncols: int, most: int) -> DataFrame:
     """Fills holes whose 8-connected component has fewer than most cells."""
     empty = label(holes(mask, grid, nrows, ncols), 8)
-    small = component_size(empty).where(F.col("n") < most).select("site_id", "comp")
+    small = with_values(component_size(empty), _most=most).where("n < _most").select("site_id", "comp")
     return mask.select(*KEYS).union(empty.join(small, ["site_id", "comp"], "left_semi").select(*KEYS))
 
 
+def close_by_site(mask: DataFrame, radius, grid: DataFrame) -> DataFrame:
+    """close with one radius, or with that of each site in a table (site_id, value); sites of equal radius go together."""
+    if not isinstance(radius, DataFrame):
+        return close(mask, radius, grid)
+    parts = []
+    for (r,) in sorted(tuple(x) for x in radius.select("value").distinct().where("value is not null").collect()):
+        here = radius.where(F.col("value") == r).select("site_id")
+        parts.append(close(mask.join(here, "site_id", "left_semi"), int(r), grid.join(here, "site_id", "left_semi")))
+    return reduce(DataFrame.union, parts) if parts else mask.limit(0)
+
+
 def repair(mask: DataFrame, grid: DataFrame, nrows: int, ncols: int, small: int, large: int, smoothing: int, hole: int, small2: int, large2: int) -> DataFrame:
-    """Size filter, closing, size filter, small holes."""
+    """Size filter, closing, size filter, small holes. Each number may be a table (site_id, value)."""
     m = written(area_filter(mask, grid, small, large), "repair")
-    m = written(close(m, smoothing, grid), "repair")
+    m = written(close_by_site(m, smoothing, grid), "repair")
     m = written(area_filter(m, grid, small2, large2), "repair")
     return fill_small_holes(m, grid, nrows, ncols, hole)

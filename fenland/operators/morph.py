@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .cells import KEYS
+from .cells import KEYS, with_values
 
 #: Neighbour bits of a code: NW 1, N 2, NE 4, W 8, E 16, SW 32, S 64, SE 128.
 NB8 = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -96,7 +96,7 @@ def bwmorph_diag(mask: DataFrame) -> DataFrame:
 def border_mask(land: DataFrame, nrows: int, ncols: int) -> DataFrame:
     """Land cells off the grid's edge with a 4-neighbour that is not land."""
     code = neighbour_codes(land).where("inside")
-    return code.where(F.bit_count(F.col("code").bitwiseAND(F.lit(2 + 8 + 16 + 64))) < 4).where(f"r > 0 and c > 0 and r < {nrows - 1} and c < {ncols - 1}").select(*KEYS)
+    return code.where(F.bit_count(F.col("code").bitwiseAND(F.lit(2 + 8 + 16 + 64))) < 4).transform(with_values, _nrows=nrows, _ncols=ncols).where("r > 0 and c > 0 and r < _nrows - 1 and c < _ncols - 1").select(*KEYS)
 
 
 def perimeter_mask(area: DataFrame) -> DataFrame:

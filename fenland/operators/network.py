@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fenland.functions.helpers import TILE, relax_tile
 from fenland.functions.tables import replaced, scratch, written
 
-from .cells import KEYS
+from .cells import KEYS, with_values
 from .components import label
 from .geometry import euclid, rasterize_line, sinuosity
 from .graph import connected_components
@@ -63,7 +63,7 @@ def geodesic_distance(mask: DataFrame, seeds: DataFrame, hops: bool = False, rou
 def outlets(skel: DataFrame, cells: DataFrame, n: int, nrows: int, ncols: int) -> tuple[DataFrame, DataFrame]:
     """The n lowest skeleton cells of each site joined to the nearest border cell by a line: (skeleton with lines, breaches)."""
     order = Window.partitionBy("site_id").orderBy(F.col("z").asc_nulls_last(), "r", "c")
-    low = skel.join(cells.select(*KEYS, "z"), KEYS, "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    low = skel.join(cells.select(*KEYS, "z"), KEYS, "left").withColumn("rank", F.row_number().over(order)).transform(with_values, _n=n).where("rank <= _n")
     border = border_mask(cells.where("z is not null"), nrows, ncols).select("site_id", F.col("r").alias("r2"), F.col("c").alias("c2"))
     low = written(low, "lowest")
     few = F.broadcast if low.count() <= BROADCAST_OUTLETS else lambda x: x
@@ -162,14 +162,15 @@ def strahler_order(links: DataFrame, segments: DataFrame, ordermax: int, rounds:
         trunks, alive, left = peeled(alive, left.where("not held"), 1, rounds)
         out = []
         if leaves is not None:
-            out.append(leaves.select("site_id", "seg", F.least("round", F.lit(ordermax)).alias("ord"), "final", F.when(F.col("n_held") == 0, "isolated").otherwise("leaf").alias("kind")))
+            out.append(leaves.select("site_id", "seg", F.col("round").alias("ord"), "final", F.when(F.col("n_held") == 0, "isolated").otherwise("leaf").alias("kind")))
         if trunks is not None:
-            out.append(trunks.select("site_id", "seg", F.lit(ordermax).alias("ord"), "final", F.lit("trunk").alias("kind")))
+            out.append(trunks.select("site_id", "seg", F.lit(None).cast("int").alias("ord"), "final", F.lit("trunk").alias("kind")))
         same = left.groupBy("site_id", "final").agg((F.count("*") == 1).alias("one"))
         whole = alive.groupBy("site_id", "final").agg(F.max("closed").alias("closed")).join(same, ["site_id", "final"], "left")
         kinds = whole.select("site_id", "final", F.when(F.col("closed") | F.coalesce("one", F.lit(True)), "ring").otherwise("connector").alias("kind"))
-        out.append(alive.join(kinds, ["site_id", "final"]).select("site_id", "seg", F.lit(ordermax).alias("ord"), "final", "kind"))
-        return written(reduce(DataFrame.union, out), "orders", kept=True)
+        out.append(alive.join(kinds, ["site_id", "final"]).select("site_id", "seg", F.lit(None).cast("int").alias("ord"), "final", "kind"))
+        every = with_values(reduce(DataFrame.union, out), _most=ordermax).withColumn("ord", F.least("ord", F.col("_most").cast("int")))
+        return written(every.select("site_id", "seg", "ord", "final", "kind"), "orders", kept=True)
 
 
 def segment_lengths(chains: DataFrame, segments: DataFrame, orders: DataFrame) -> DataFrame:

@@ -7,18 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from fenland.functions.helpers import hull, widest
 
-from .cells import KEYS
+from .cells import KEYS, with_values
 
 
 def tidal_prism(cells: DataFrame, hat: float, gs: float | None = None) -> DataFrame:
     """Sum of HAT - z below HAT; with gs times the cell's area."""
-    return cells.groupBy("site_id").agg((F.sum(F.greatest(hat - F.col("z"), F.lit(0.0))) * (gs * gs if gs else 1.0)).alias("prism"))
+    return with_values(cells, _hat=hat).groupBy("site_id").agg((F.sum(F.greatest(F.col("_hat") - F.col("z"), F.lit(0.0))) * (gs * gs if gs else 1.0)).alias("prism"))
 
 
 def marsh_means(cells: DataFrame, mask: DataFrame, hat: float) -> DataFrame:
     """Creek cells, catchment cells, mean z, mean z outside the creek, HAT minus mean z."""
-    m = cells.join(mask.select(*KEYS, F.lit(1).alias("creek")), KEYS, "left")
-    return m.groupBy("site_id").agg(F.count("creek").alias("creek_area"), F.count("z").alias("catchment_area"), F.avg("z").alias("mean_elev"), F.avg(F.when(F.col("creek").isNull(), F.col("z"))).alias("marsh_elev"), (hat - F.avg("z")).alias("elev_under_hat"))
+    m = with_values(cells.join(mask.select(*KEYS, F.lit(1).alias("creek")), KEYS, "left"), _hat=hat)
+    return m.groupBy("site_id").agg(F.count("creek").alias("creek_area"), F.count("z").alias("catchment_area"), F.avg("z").alias("mean_elev"), F.avg(F.when(F.col("creek").isNull(), F.col("z"))).alias("marsh_elev"), (F.max("_hat") - F.avg("z")).alias("elev_under_hat"))
 
 
 def mean_overland_path(distance: DataFrame, area: DataFrame) -> DataFrame:

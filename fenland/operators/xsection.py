@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .cells import KEYS
+from .cells import KEYS, with_values
 from .geometry import angle_between, euclid, rasterize_line, wrapped
 from .morph import NB8, moved
 
@@ -47,7 +47,7 @@ def half_lines(anchors: DataFrame, nrows: int, ncols: int) -> DataFrame:
         line = rasterize_line(anchors.select("site_id", "seg", F.col("rm").alias("r1"), F.col("cm").alias("c1"), F.col(f"r{i}").alias("r2"), F.col(f"c{i}").alias("c2")))
         sides.append(line.withColumn("pos", F.col("pos") * sign))
     both = sides[0].union(sides[1].where("pos > 0"))
-    return both.where(f"r between 0 and {nrows - 1} and c between 0 and {ncols - 1}").select("site_id", "seg", "pos", "r", "c")
+    return with_values(both, _nrows=nrows, _ncols=ncols).where("r between 0 and _nrows - 1 and c between 0 and _ncols - 1").select("site_id", "seg", "pos", "r", "c")
 
 
 def middle_run(points: DataFrame, mask: DataFrame) -> DataFrame:
@@ -110,8 +110,8 @@ def junction_angles(branches: DataFrame, chains: DataFrame, hops: int) -> DataFr
     d = geodesic_distance(chains, one, hops=True)
     along = chains.join(d, KEYS)
     # A chain with both ends at branches is measured from its nearer one.
-    far = start.select("site_id", "seg", "br", "bc").distinct().join(along, ["site_id", "seg"]).where(F.col("d") <= hops - 1)
-    far = far.where(F.greatest(F.abs(F.col("r") - F.col("br")), F.abs(F.col("c") - F.col("bc"))) <= hops)
+    far = start.select("site_id", "seg", "br", "bc").distinct().join(along, ["site_id", "seg"]).transform(with_values, _hops=hops).where("d <= _hops - 1")
+    far = far.where(F.greatest(F.abs(F.col("r") - F.col("br")), F.abs(F.col("c") - F.col("bc"))) <= F.col("_hops"))
     tip = far.groupBy("site_id", "br", "bc", "seg").agg(F.max_by(F.struct("r", "c"), F.struct("d", -F.col("r"), -F.col("c"))).alias("p"))
     v = tip.select("site_id", "br", "bc", "seg", (F.col("p.r") - F.col("br")).alias("dr"), (F.col("p.c") - F.col("bc")).alias("dc"))
     o = v.select("site_id", "br", "bc", F.col("seg").alias("seg2"), F.col("dr").alias("dr2"), F.col("dc").alias("dc2"))

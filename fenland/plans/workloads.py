@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,7 +13,7 @@ from fenland.operators.morph import branch_points, end_points
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters that all sites of a run share."""
+    """Parameters of a run. Each is one value for all sites or a table (site_id, value), see settings_of."""
 
     nrows: int
     ncols: int
@@ -34,9 +34,26 @@ class Settings:
     hops: int = 4
 
 
+#: Sites of which the parameters are broadcast (a few dozen bytes each).
+BROADCAST_SITES = 500_000
+
+
+def settings_of(params: DataFrame) -> Settings:
+    """Settings by site from params(site_id, nrows, ncols, hat, ...), one row a site; parameters without a column have their
+    default for all sites. They are counted, and broadcast while they are few."""
+    p = written(params, "settings")
+    send = F.broadcast if p.count() <= BROADCAST_SITES else lambda x: x
+    return Settings(**{f.name: send(p.select("site_id", F.col(f.name).alias("value"))) for f in fields(Settings) if f.name in p.columns})
+
+
 def detected(cells: DataFrame, s: Settings) -> DataFrame:
     """Cells with HAT masked and creek, no shuffle."""
-    return ce.detect_creek(ce.mask_above_hat(ce.abs_slope(cells), s.hat), s.cth, s.lzth, s.hzth)
+    own = hat_masked(ce.with_values(ce.abs_slope(cells), _cth=s.cth, _lzth=s.lzth, _hzth=s.hzth), s)
+    return ce.detect_creek(own, F.col("_cth"), F.col("_lzth"), F.col("_hzth")).drop("_cth", "_lzth", "_hzth")
+
+
+def hat_masked(cells: DataFrame, s: Settings) -> DataFrame:
+    return ce.mask_above_hat(ce.with_values(cells, _hat=s.hat), F.col("_hat")).drop("_hat")
 
 
 def creek_mask(cells: DataFrame, s: Settings) -> DataFrame:
@@ -116,7 +133,7 @@ def summarised(cells: DataFrame, s: Settings, corrections: DataFrame | None) ->
 def overland_paths(cells: DataFrame, mask: DataFrame, s: Settings) -> DataFrame:
     """Distance to the creek, axis and prism of every site."""
     with scratch(cells.sparkSession):
-        hatted = ce.mask_above_hat(cells, s.hat)
+        hatted = hat_masked(cells, s)
         distance = written(edt.edt(cells, mask), "distance")
         area = ce.land_mask(hatted)
         out = overland.mean_overland_path(distance, area).join(overland.major_axis(area), "site_id", "left")
