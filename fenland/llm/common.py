@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fenland.functions.tables import new_folder, scratch, shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "arrow_rows", "host_of", "new_folder", "scratch", "shared_dir", "sized_join", "table", "text_key", "within_bytes", "written"]
+__all__ = ["BROADCAST_ROWS", "arrow_rows", "host_of", "new_folder", "scratch", "shared_dir", "sized_join", "small", "table", "text_key", "within_bytes", "written"]
 
 #: A side of a join is broadcast only when its measured rows do not exceed this.
 BROADCAST_ROWS = 1_000_000
@@ -26,10 +26,15 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None
     return left.join(F.broadcast(right) if n <= limit else right, on, how)
 
 
+def small(right: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of the rows of right, a written table, take at most limit bytes."""
+    each = F.sum(F.length(F.to_json(F.struct(*right.columns)))) if right.columns else F.lit(0)
+    return (right.agg(each).first()[0] or 0) <= limit
+
+
 def within_bytes(right: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """right, a written table, to be broadcast if the values of its rows take at most limit bytes; beyond, Spark shuffles it."""
-    each = F.sum(F.length(F.to_json(F.struct(*right.columns)))) if right.columns else F.lit(0)
-    return F.broadcast(right) if (right.agg(each).first()[0] or 0) <= limit else right
+    return F.broadcast(right) if small(right, limit) else right
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

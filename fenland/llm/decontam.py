@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sized_join, text_key, written
+from .common import sized_join, text_key, within_bytes, written
 
 #: Word positions that enter a seed. The two hit every pattern of equal words that is accepted in windows of LEAST_WORDS to
 #: WINDOW words; masks of five words would need three for 13 words alone.
@@ -61,7 +61,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, doc_id: str, text:
     diagonals = written(hits.groupBy(*KEY, "item", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.count("*").alias("hits")), "diagonals")
     same = coded["doc_id"].eqNullSafe(diagonals["doc_id"]) & (coded["key1"] == diagonals["key1"]) & (coded["key2"] == diagonals["key2"])
     near = sized_join(coded, diagonals, same, "inner").select(*(coded[k] for k in KEY), "codes", "item", "shift")
-    both = sized_join(near, items.select("item", "item_id", F.col("codes").alias("icodes")), "item", "inner")
+    both = near.join(within_bytes(items.select("item", "item_id", F.col("codes").alias("icodes"))), "item")
     equal = F.transform("icodes", lambda c, i: F.when((i + F.col("shift") >= 0) & F.coalesce(F.get("codes", i + F.col("shift")) == c, F.lit(False)), 1).otherwise(0))
     both = both.select(*KEY, "item_id", equal.alias("equal"))
     width = F.least(F.lit(WINDOW), F.size("equal"))

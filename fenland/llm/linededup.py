@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .lines import line_key, raw_lines, with_frequent_lines
+from .lines import raw_lines, with_line_marks
 
 #: A line goes if it stands on more than RATIO of its host's pages; LEAST pages are what tells a line from one that repeats by chance.
 RATIO, LEAST = 0.02, 3
@@ -17,10 +17,10 @@ def drop_boilerplate_lines(docs: DataFrame, source: str = "source", text: str =
     null with null counts, an empty text stays empty; the other lines, blank ones too, keep their order and bytes. Every
     row is a page of its host; null hosts are the host ''. Repeated rows are treated alike.
     """
-    known = with_frequent_lines(docs, source, text, ratio, least)
+    known = with_line_marks(docs, source, text, ratio, least)
     lines = raw_lines(F.col(text))
-    keep = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_fl_lines"), line_key(x)), F.lit(False)))
-    return known.withColumn("_fl_n_lines", F.size(lines)).withColumn("_fl_kept", F.when(F.col("_fl_lines").isNull(), lines).otherwise(keep)).withColumn(text, F.array_join("_fl_kept", "\n")).drop("_fl_lines")
+    keep = F.filter(lines, lambda x, i: ~F.coalesce(F.get("_fl_marks", i), F.lit(False)))
+    return known.withColumn("_fl_n_lines", F.size(lines)).withColumn("_fl_kept", F.when(F.size("_fl_marks") > 0, keep).otherwise(lines)).withColumn(text, F.array_join("_fl_kept", "\n")).drop("_fl_marks")
 
 
 def query(docs: DataFrame) -> DataFrame:

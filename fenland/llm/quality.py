@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .linededup import LINES_SQL
-from .lines import BLANKS, TRIM, line_key, raw_lines, with_frequent_lines
+from .lines import BLANKS, TRIM, raw_lines, with_line_marks
 
 #: A line is removed from pages of a host that has it on more than SHARE of its pages and on LEAST or more of them.
 SHARE, LEAST = 0.02, 3
@@ -27,7 +27,7 @@ def with_quality(docs: DataFrame, source: str = "source", text: str = "text") ->
     of the results, are left alone. A text's 8-word windows are compared by 64-bit hashes within the text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    known = with_frequent_lines(docs, source, text, SHARE, LEAST)
+    known = with_line_marks(docs, source, text, SHARE, LEAST)
     a = known.withColumn("_fl_words", word_list(F.col(text))).withColumn("_fl_lines_all", F.filter(raw_lines(t), lambda x: F.btrim(x, F.lit(TRIM)) != ""))
     n = F.size("_fl_words")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_fl_words"), i, WINDOW))))
@@ -40,8 +40,9 @@ def with_quality(docs: DataFrame, source: str = "source", text: str = "text") ->
     a = a.withColumn("_fl_twice", twice)
     # A repeated window adds the words up to the next one, 8 at most.
     covered = F.aggregate("_fl_twice", F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("last")), lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("sum"), i.alias("last")), lambda acc: acc["sum"])
-    gone = F.filter("_fl_lines_all", lambda x: F.array_contains(F.col("_fl_lines"), line_key(x)))
-    a = a.withColumn("_fl_gone", F.when(F.col("_fl_lines").isNotNull(), gone))
+    # Named twice, so that the marks are not made again for each line.
+    gone = F.filter(raw_lines(t), lambda x, i: F.coalesce(F.get("_fl_marks", i), F.lit(False)))
+    a = a.withColumn("_fl_gone", F.when(F.size("_fl_marks") > 0, gone))
     lost = F.coalesce(F.aggregate("_fl_gone", F.lit(0), lambda acc, x: acc + F.size(word_list(x))), F.lit(0))
     long = {
         "n_words": n,
@@ -54,7 +55,7 @@ def with_quality(docs: DataFrame, source: str = "source", text: str = "text") ->
     a = a.withColumns({f"_fl_{k}": v.cast("long") for k, v in long.items()})
     failed = (F.col("_fl_n_words") < 20) | (100 * F.col("_fl_n_repeat_words") > 30 * F.col("_fl_n_words"))
     a = a.withColumn("_fl_base_failed", failed).withColumn("_fl_kept", ~failed & (F.col("_fl_n_left_words") >= LEFT * F.col("_fl_n_words")))
-    return a.drop("_fl_words", "_fl_lines_all", "_fl_windows", "_fl_order", "_fl_twice", "_fl_gone", "_fl_lines")
+    return a.drop("_fl_words", "_fl_lines_all", "_fl_windows", "_fl_order", "_fl_twice", "_fl_gone", "_fl_marks")
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left_words")

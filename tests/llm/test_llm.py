@@ -5,6 +5,7 @@ import base64
 import itertools
 import zlib
 from collections import Counter
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 
 import corpus_pipeline
 from fenland.llm.common import text_key
-from fenland.llm import decontam, jaccard, linededup, lmscore, packing, quality, registry, sharding, tokenbin, tokens, toxicity, warc
+from fenland.llm import decontam, jaccard, linededup, lines, lmscore, packing, quality, registry, sharding, tokenbin, tokens, toxicity, warc
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, host string"
@@ -42,8 +43,12 @@ def test_equals_sql(spark, name):
     assert got == want
 
 
-def test_repeated_lines_go_at_every_host_size(spark):
-    """Hosts of 9, 300 and 3,000 pages with one line on a tenth of them at least, and 1,000 equal pages of 1,100."""
+@pytest.mark.parametrize("host_lines", [lines.HOST_LINES, 0])
+def test_repeated_lines_go_at_every_host_size(spark, monkeypatch, host_lines):
+    """Hosts of 9, 300 and 3,000 pages with one line on a tenth of them at least, and 1,000 equal pages of 1,100; with the lines of
+    hosts broadcast and with each page joined to its own."""
+    for module in (linededup, quality):
+        monkeypatch.setattr(module, "with_line_marks", partial(lines.with_line_marks, host_lines=host_lines))
     rows, boiler = [], "This line stands on many pages of the site"
     for host, n in (("small", 9), ("middle", 300), ("hot", 3000)):
         for i in range(n):
@@ -59,9 +64,9 @@ def test_repeated_lines_go_at_every_host_size(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {x.doc_id: x for x in linededup.query(docs).collect()}
     for i, t, host in rows:
-        lines = t.split("\n")
-        stay = [x for x in lines if not x.startswith((boiler, "mark")) and host != "copies" or x.startswith("another page")]
-        assert got[i].text == "\n".join(stay) and got[i].n_dropped == len(lines) - len(stay), (i, host)
+        every = t.split("\n")
+        stay = [x for x in every if not x.startswith((boiler, "mark")) and host != "copies" or x.startswith("another page")]
+        assert got[i].text == "\n".join(stay) and got[i].n_dropped == len(every) - len(stay), (i, host)
     kept = {x.doc_id: (x.base_failed, x.kept) for x in quality.query(docs).collect()}
     for i, t, host in rows:
         n = len(t.split())
@@ -69,6 +74,18 @@ def test_repeated_lines_go_at_every_host_size(spark):
         assert kept[i][1] == (n >= 20 and not kept[i][0] and i not in depleted and host != "copies"), (i, host)
 
 
+def test_frequent_lines_of_odd_pages(spark, monkeypatch):
+    """Null and empty texts, null hosts, repeated rows, lines that stand twice and clashing columns, both ways of joining."""
+    rows = [(1, None, "s", 1), (2, "", "s", 1), (3, None, None, 1), (4, "one\n\none\ntwo", None, 1), (4, "one\n\none\ntwo", None, 1), (5, "ONE \nthree\n", None, 1), (None, "four\n one", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, at int")
+    want = sorted([(1, None), (2, ""), (3, None), (4, "\ntwo"), (4, "\ntwo"), (5, "three\n"), (None, "four")], key=repr)
+    for bound in (lines.HOST_LINES, 0):
+        monkeypatch.setattr(linededup, "with_line_marks", partial(lines.with_line_marks, host_lines=bound))
+        out = linededup.drop_boilerplate_lines(docs)
+        assert out.columns == [*docs.columns, "_fl_n_lines", "_fl_kept"]
+        assert sorted(((x.doc_id, x.text) for x in out.collect()), key=repr) == want
+
+
 def words_of(text):
     return (text or "").encode().lower().split()
 
