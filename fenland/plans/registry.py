@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from fenland.operators import cells as ce, components as co, edt as ed, geometry as ge, hypsometry as hy, loops as lo, morph as mo, network as ne, overland as ov, paths as pa, reconnect as re, summary as su, thin as th, xsection as xs
 from fenland.sources.fixtures import CELLS, COLS, PARAMS as P, ROWS, grids_of, orders_grid, params_of
 from fenland.functions.tables import new_folder, written
-from fenland.sources import grids as gr, stages as st
+from fenland.sources import grids as gr, ranges as rg, stages as st
 
 from .workloads import Settings, creek_mask, detected, morphometry, ordered_network, overland_paths, sections
 
@@ -153,6 +153,15 @@ def p15_in_bounds(spark, d):
     return ge.in_bounds(raw_mask(spark, d).select("site_id", (F.col("r") - 5).alias("r"), (F.col("c") + 5).alias("c")), ROWS, COLS)
 
 
+@query("SELECT site_id, r, c, z FROM cells")
+def s1_s2_byte_ranges(spark, d):
+    """The same text by the data source of byte ranges, whose tasks number their own lines."""
+    cells, path = orders_grid(spark, d), new_folder(spark, "grids")
+    gr.write_ascii_grid(cells, grids_of(cells), path)
+    back = rg.read_grid_ranges(spark, path, site=r"site=([^/]*)/[^/]*$").withColumns({k: F.col(k).cast("long") for k in ("site_id", "r", "c")})
+    return back.join(cells.select("site_id", "r", "c"), ["site_id", "r", "c"], "left_semi")
+
+
 @query("SELECT e.site_id, e.r, e.c, e.z, s.slope FROM cells e JOIN cells s USING (site_id, r, c)")
 def j1_align(spark, d):
     cells = orders_grid(spark, d)

@@ -51,3 +51,26 @@ def test_bucketed_tables_join_without_an_exchange(spark):
     finally:
         for n in names:
             spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def test_byte_ranges_read_each_line_once(spark, tmp_path):
+    """Ranges of every size from one byte on, two grids in folders, a hidden file, long and empty lines, Windows line ends."""
+    from fenland.sources import ranges
+
+    want = {}
+    for site, n, end in (("a", 9, "\n"), ("b", 4, "\r\n")):
+        folder = tmp_path / f"site={site}"
+        folder.mkdir()
+        rows = [[-9999 if (i + j) % 5 == 0 else i * 100 + j + 0.5 for j in range(3)] for i in range(n)]
+        head = ["ncols 3", f"nrows {n}", "xllcorner 1", "yllcorner 2", "cellsize 2.5", "NODATA_value -9999"]
+        (folder / "grid.asc").write_bytes((end.join(head + [" ".join(map(str, r)) for r in rows]) + end + end).encode())
+        want |= {(site, i, j): None if v == -9999 else v for i, r in enumerate(rows) for j, v in enumerate(r)}
+    (tmp_path / "_SUCCESS").write_text("not a grid\n")
+    for size in (1, 7, 50, 1 << 20):
+        for path in (str(tmp_path), f"file://{tmp_path}"):
+            got = ranges.read_grid_ranges(spark, path, site=r"site=([^/]*)/", range_bytes=size).collect()
+            assert len(got) == len(want) and {(x.site_id, x.r, x.c): x.z for x in got} == want
+    heads = {x.file.split("site=")[1][0]: (x.ncols, x.nrows, x.gs, x.nodata) for x in ranges.grid_headers(spark, str(tmp_path)).collect()}
+    assert heads == {"a": (3, 9, 2.5, -9999.0), "b": (3, 4, 2.5, -9999.0)}
+    (tmp_path / "none").mkdir()
+    assert ranges.read_grid_ranges(spark, f"{tmp_path}/none").count() == 0
