@@ -7,9 +7,10 @@ score is the mean over its tokens of target loss minus background loss: the lowe
 Words and pairs are counted over all texts. Every word and pair seen LEAST times or more is in the written table of the
 models, which grows with the corpus; any other word is the word 'other', and what no pair is listed for backs off to the
 word's own probability by absolute discounting, so each model is a proper distribution. The table's most frequent rows, at
-most 2 / WORD_SHARE + 1 / PAIR_SHARE of them, are broadcast, as most tokens need only these; what a document has besides is
-counted by document and key and joined to the rest of the table, which Spark shuffles. Where a row is looked up does not
-change the scores.
+most 2 / WORD_SHARE + 1 / PAIR_SHARE of them, are broadcast, as most tokens need only these; what a text has besides is
+counted by text and key and meets the rest of the table in buckets of keys. To the buckets go packed rows, each with the keys
+of many texts, sorted, as differences. No bucket is large, as any key frequent enough to fill one is among those broadcast.
+Where a row is looked up does not change the scores.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .common import scratch, sized_join, text_key, written
-from .kernel import BLOCK, U, blocks, mix, words
+from .kernel import BLOCK, U, blocks, heads, mix, words
 
 WORD_SHARE, PAIR_SHARE, LEAST, DISCOUNT = 1e-5, 1e-6, 2, 0.75
 #: Counts that a task holds before it sends them on.
 HELD = 1_500_000
+#: Words of the corpus for each bucket of keys at most; there are BUCKETS for each shuffle partition at least.
+BUCKET_WORDS, BUCKETS = 8_000_000, 4
+#: More than the frequent words, of which there are at most 1 / WORD_SHARE.
+PLACES = U(1 << 20)
 #: What stands before the first word of a text.
 START = 0x5DEECE66D
 
@@ -37,7 +42,9 @@ def context_key(word: np.ndarray) -> np.ndarray:
 
 
 def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(before + U(0x9E3779B97F4A7C15)) * U(3) + word)
+    """Two frequent words' places side by side, which pack small; of other pairs a hash."""
+    mixed = mix(mix(before + U(0x9E3779B97F4A7C15)) * U(3) + word)
+    return np.where((before < PLACES) & (word < PLACES), (before + U(1)) * PLACES + word, mixed)
 
 
 #: The counts of a word: occurrences, those before another word of the text, and both in target documents.
@@ -178,8 +185,36 @@ def score_texts(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Broa
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), *(pa.array(x) for x in sums)], ["doc_id", "text_key", "n_tokens", "target", "background"])
 
 
-def keys_to_join(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Broadcast) -> Iterator[pa.RecordBatch]:
-    """What each text looks up that is not among the broadcast rows, with its count in the text."""
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: those of small numbers compress to nothing."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def of_planes(data: np.ndarray, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(data.reshape(size, -1).T).view(kind).ravel()
+
+
+def packed(text: np.ndarray, key: np.ndarray, c: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: the texts that have keys of it; the keys, sorted, as differences, with places in texts and counts."""
+    bucket, key = key % buckets, key // buckets
+    order = np.lexsort((key, bucket))
+    bucket, key, c = bucket[order], key[order], c[order].astype(np.int32)
+    text, of = np.unique(text, return_inverse=True)
+    of = of[order]
+    edges = [*heads(bucket), len(bucket)]
+    rows = []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        own, at = np.unique(of[i:j], return_inverse=True)
+        data = planes(np.diff(key[i:j], prepend=0)) + planes(at.astype(np.int32)) + planes(c[i:j])
+        rows.append((int(bucket[i]), j - i, text[own].tobytes(), pa.compress(data, codec="zstd", asbytes=True)))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "size", "texts", "packed"])
+
+
+def keys_to_join(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Broadcast, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What each text looks up that is not among the broadcast rows, with its count in the text, packed by bucket."""
+    held, size = [], 0
     for batch in batches:
         for b in blocks(batch, "text"):
             _, of, key, at = looked_up(b, short.value, table.value[0])
@@ -187,8 +222,34 @@ def keys_to_join(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Bro
             order = np.lexsort((key, of))
             of, key = of[order], key[order]
             new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
-            text = b.column("text_key").to_numpy()[of[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(text), pa.array(key[new].view(np.int64)), pa.array(np.diff(np.r_[new, len(key)]).astype(np.int32))], ["text_key", "key", "c"])
+            held.append((b.column("text_key").to_numpy()[of[new]], key[new].view(np.int64), np.diff(np.r_[new, len(key)])))
+            size += len(new)
+            if size > HELD:
+                yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                held, size = [], 0
+    if size:
+        yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+
+
+def joined(found: pa.Table, rest: pa.Table, buckets: int) -> pa.Table:
+    """The sums over the keys of a bucket for the texts that have some."""
+    listed = rest.column("key").to_numpy()
+    order = np.argsort(listed)
+    listed = listed[order]
+    values = [rest.column(k).to_numpy()[order] for k in ("target", "background")]
+    parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+    for bucket, n, texts, data in zip(*(found.column(k).to_pylist() for k in ("bucket", "size", "texts", "packed")), strict=True):
+        if not len(listed):
+            break
+        data = np.frombuffer(pa.decompress(data, decompressed_size=16 * n, codec="zstd"), np.uint8)
+        key = np.cumsum(of_planes(data[: 8 * n], np.int64)) * buckets + bucket
+        at = np.minimum(np.searchsorted(listed, key), len(listed) - 1)
+        hit = listed[at] == key
+        of, c = of_planes(data[8 * n : 12 * n], np.int32)[hit], of_planes(data[12 * n :], np.int32)[hit]
+        text = np.frombuffer(texts, np.int64)
+        some = np.bincount(of, minlength=len(text)) > 0
+        parts.append((text[some], *(np.bincount(of, weights=c * v[at[hit]], minlength=len(text))[some] for v in values)))
+    return pa.table([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["text_key", "target", "background"])
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,8 +270,12 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str =
         order = np.argsort(key)
         sent = spark.sparkContext.broadcast((key[order], tuple(top.column(k).to_numpy()[order] for k in part)))
         rest = table.where(~frequent).select("key", *part)
-        found = slim.select("text_key", "text").mapInArrow(partial(keys_to_join, short=short, table=sent), "text_key long, key long, c int")
-        more = sized_join(found, rest, "key", "inner").groupBy("text_key").agg(*(F.sum(F.col(k) * F.col("c")).alias(f"more_{k}") for k in part))
+        # An odd number, so that both words of a pair decide.
+        buckets = 2 * max(BUCKETS // 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BUCKET_WORDS)) + 1
+        found = slim.select("text_key", "text").mapInArrow(partial(keys_to_join, short=short, table=sent, buckets=buckets), "bucket long, size int, texts binary, packed binary")
+        rest = rest.withColumn("bucket", F.pmod("key", F.lit(buckets).cast("long")))
+        sums = found.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(lambda a, b: joined(a, b, buckets), "text_key long, target double, background double")
+        more = sums.groupBy("text_key").agg(*(F.sum(k).alias(f"more_{k}") for k in part))
         more = written(more, "lm-more", kept=True)
         copies = written(slim.groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1"), "lm-copies", kept=True)
     scored = slim.mapInArrow(partial(score_texts, short=short, table=sent, other=other), "doc_id long, text_key long, n_tokens long, target double, background double")
