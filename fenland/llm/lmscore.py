@@ -9,7 +9,7 @@ models, which grows with the corpus; any other word is the word 'other', and wha
 word's own probability by absolute discounting, so each model is a proper distribution. The table's most frequent rows, at
 most 2 / WORD_SHARE + 1 / PAIR_SHARE of them, are broadcast, as most tokens need only these; what a text has besides is
 counted by text and key and meets the rest of the table in buckets of keys. To the buckets go packed rows, each with the keys
-of many texts, sorted, as differences. No bucket is large, as any key frequent enough to fill one is among those broadcast.
+of many texts, sorted, as differences; pairs are counted in the same way. No bucket is large, as any key frequent enough to fill one is among those broadcast.
 Where a row is looked up does not change the scores.
 """
 
@@ -21,7 +21,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import scratch, sized_join, text_key, written
 from .kernel import BLOCK, U, blocks, heads, mix, words
@@ -30,7 +30,7 @@ WORD_SHARE, PAIR_SHARE, LEAST, DISCOUNT = 1e-5, 1e-6, 2, 0.75
 #: Counts that a task holds before it sends them on.
 HELD = 1_500_000
 #: Words of the corpus for each bucket of keys at most; there are BUCKETS for each shuffle partition at least.
-BUCKET_WORDS, BUCKETS = 8_000_000, 4
+BUCKET_WORDS, BUCKETS = 2_000_000, 4
 #: More than the frequent words, of which there are at most 1 / WORD_SHARE.
 PLACES = U(1 << 20)
 #: What stands before the first word of a text.
@@ -122,19 +122,67 @@ def coded_words(batches: Iterator[pa.RecordBatch], short: Broadcast) -> Iterator
         yield batch.set_column(0, "key", pa.array(key))
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch], short: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block with their counts; Spark adds them up."""
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Numbers by planes, the first bytes of all, then the second ones and so on: those of small numbers compress to nothing."""
+    return pa.compress(b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns), codec="zstd", asbytes=True)
+
+
+def opened(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
+    """The columns of n numbers each that squeezed was given."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    flat = np.frombuffer(pa.decompress(data, decompressed_size=n * sum(sizes), codec="zstd"), np.uint8)
+    ends = np.cumsum([0, *sizes]) * n
+    return [np.ascontiguousarray(flat[a:b].reshape(size, n).T).view(k).ravel() for a, b, size, k in zip(ends[:-1], ends[1:], sizes, kinds, strict=True)]
+
+
+def bucket_count(spark: SparkSession, total: int) -> int:
+    """Buckets of keys for so many words; an odd number, so that both words of a pair decide."""
+    return 2 * max(BUCKETS // 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BUCKET_WORDS)) + 1
+
+
+def summed_pairs(before: np.ndarray, word: np.ndarray, *counts: np.ndarray, of: np.ndarray | None = None) -> list[np.ndarray]:
+    """Pairs once each with the sums of their counts, ordered by of, if given, which a pair decides, and the pair."""
+    order = np.lexsort((word, before) if of is None else (word, before, of))
+    before, word = before[order], word[order]
+    new = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (word[1:] != word[:-1])])
+    return [before[new], word[new], *(np.add.reduceat(c[order], new) for c in counts)]
+
+
+def packed_pairs(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket with its pairs, sorted, and their counts."""
+    before, word, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    before, word, *counts = summed_pairs(before, word, *counts, of=pair_key(before, word).view(np.int64) % buckets)
+    bucket = pair_key(before, word).view(np.int64) % buckets
+    edges = [*heads(bucket), len(bucket)]
+    rows = [(int(bucket[i]), j - i, squeezed(np.diff(before[i:j], prepend=U(0)), word[i:j], *(c[i:j] for c in counts))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "size", "packed"])
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch], short: Broadcast, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with their counts, packed by bucket whenever a task holds HELD of them."""
+    held, size = [], 0
     for batch in batches:
-        for b in blocks(batch, "text", 8 * BLOCK):
+        for b in blocks(batch, "text"):
             w = words(b.column("text"))
             if len(w["hash"]):
                 word = coded(w["hash"], short.value)
-                before = befores(w["row"], word)
-                key, first, at = np.unique(pair_key(before, word), return_index=True, return_inverse=True)
-                target = np.bincount(at, weights=b.column("target").to_numpy(zero_copy_only=False)[w["row"]], minlength=len(key)).astype(np.int64)
-                columns = (before[first].view(np.int64), word[first].view(np.int64), np.bincount(at, minlength=len(key)), target)
-                for i in range(0, len(key), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["before", "word", "n", "n_target"])
+                target = b.column("target").to_numpy(zero_copy_only=False)[w["row"]].astype(np.int64)
+                held.append(tuple(summed_pairs(befores(w["row"], word), word, np.ones(len(word), np.int64), target)))
+                size += len(held[-1][0])
+            if size > HELD:
+                yield packed_pairs(held, buckets)
+                held, size = [], 0
+    if held:
+        yield packed_pairs(held, buckets)
+
+
+def sum_pairs(t: pa.Table) -> pa.Table:
+    """The pairs of a bucket seen LEAST times or more with their counts."""
+    parts = [opened(data, n, U, U, np.int64, np.int64) for data, n in zip(t.column("packed").to_pylist(), t.column("size").to_pylist(), strict=True)]
+    before, word, *counts = (np.concatenate(x) for x in zip(*((np.cumsum(p[0], dtype=U), *p[1:]) for p in parts), strict=True))
+    before, word, *counts = summed_pairs(before, word, *counts)
+    kept = counts[0] >= LEAST
+    return pa.table([pa.array(x[kept]) for x in (before.view(np.int64), word.view(np.int64), *counts)], ["before", "word", "n", "n_target"])
 
 
 def keyed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +233,6 @@ def score_texts(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Broa
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), *(pa.array(x) for x in sums)], ["doc_id", "text_key", "n_tokens", "target", "background"])
 
 
-def planes(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones, and so on: those of small numbers compress to nothing."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def of_planes(data: np.ndarray, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(data.reshape(size, -1).T).view(kind).ravel()
-
-
 def packed(text: np.ndarray, key: np.ndarray, c: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: the texts that have keys of it; the keys, sorted, as differences, with places in texts and counts."""
     bucket, key = key % buckets, key // buckets
@@ -206,8 +244,7 @@ def packed(text: np.ndarray, key: np.ndarray, c: np.ndarray, buckets: int) -> It
     rows = []
     for i, j in zip(edges[:-1], edges[1:], strict=True):
         own, at = np.unique(of[i:j], return_inverse=True)
-        data = planes(np.diff(key[i:j], prepend=0)) + planes(at.astype(np.int32)) + planes(c[i:j])
-        rows.append((int(bucket[i]), j - i, text[own].tobytes(), pa.compress(data, codec="zstd", asbytes=True)))
+        rows.append((int(bucket[i]), j - i, text[own].tobytes(), squeezed(np.diff(key[i:j], prepend=0), at.astype(np.int32), c[i:j])))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "size", "texts", "packed"])
 
@@ -241,11 +278,11 @@ def joined(found: pa.Table, rest: pa.Table, buckets: int) -> pa.Table:
     for bucket, n, texts, data in zip(*(found.column(k).to_pylist() for k in ("bucket", "size", "texts", "packed")), strict=True):
         if not len(listed):
             break
-        data = np.frombuffer(pa.decompress(data, decompressed_size=16 * n, codec="zstd"), np.uint8)
-        key = np.cumsum(of_planes(data[: 8 * n], np.int64)) * buckets + bucket
+        key, of, c = opened(data, n, np.int64, np.int32, np.int32)
+        key = np.cumsum(key) * buckets + bucket
         at = np.minimum(np.searchsorted(listed, key), len(listed) - 1)
         hit = listed[at] == key
-        of, c = of_planes(data[8 * n : 12 * n], np.int32)[hit], of_planes(data[12 * n :], np.int32)[hit]
+        of, c = of[hit], c[hit]
         text = np.frombuffer(texts, np.int64)
         some = np.bincount(of, minlength=len(text)) > 0
         parts.append((text[some], *(np.bincount(of, weights=c * v[at[hit]], minlength=len(text))[some] for v in values)))
@@ -270,8 +307,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str =
         order = np.argsort(key)
         sent = spark.sparkContext.broadcast((key[order], tuple(top.column(k).to_numpy()[order] for k in part)))
         rest = table.where(~frequent).select("key", *part)
-        # An odd number, so that both words of a pair decide.
-        buckets = 2 * max(BUCKETS // 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BUCKET_WORDS)) + 1
+        buckets = bucket_count(spark, total)
         found = slim.select("text_key", "text").mapInArrow(partial(keys_to_join, short=short, table=sent, buckets=buckets), "bucket long, size int, texts binary, packed binary")
         rest = rest.withColumn("bucket", F.pmod("key", F.lit(buckets).cast("long")))
         sums = found.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(lambda a, b: joined(a, b, buckets), "text_key long, target double, background double")
@@ -302,8 +338,8 @@ def tables_of_models(slim: DataFrame, targets: DataFrame, part: dict[str, str])
         # At most 1 / WORD_SHARE rows.
         often = kept.where(F.col("n") >= WORD_SHARE * total).select("key").toArrow().column("key").to_numpy()
         short = spark.sparkContext.broadcast(np.sort(often.view(U)))
-        two = marked.mapInArrow(partial(count_pairs, short=short), "before long, word long, n long, n_target long").groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-        two = written(two.where(F.col("n") >= LEAST), "lm-pairs")
+        two = marked.mapInArrow(partial(count_pairs, short=short, buckets=bucket_count(spark, total)), "bucket long, size int, packed binary")
+        two = written(two.groupBy("bucket").applyInArrow(sum_pairs, "before long, word long, n long, n_target long"), "lm-pairs")
         named = one.mapInArrow(partial(coded_words, short=short), kind)
         before = named.where(F.col("n_before") >= LEAST).select(F.col("key").alias("before"), F.col("n_before").alias("of_background"), F.col("n_before_target").alias("of_target"))
         kept_part = [F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(k) for k, c in part.items()]
