@@ -38,7 +38,8 @@ START = 0x5DEECE66D
 
 
 def context_key(word: np.ndarray) -> np.ndarray:
-    return mix(word + U(0x2545F4914F6CDD1D))
+    """Of a word known by its hash the number after it, so that both pack as one; of others a hash."""
+    return np.where(word >> U(63) == 1, word | U(1), mix(word + U(0x2545F4914F6CDD1D)))
 
 
 def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -100,11 +101,12 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coded(h: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """What words are known by: their places in short, the sorted hashes of frequent words, which shuffle small; others by hash."""
+    """What words are known by: their places in short, the sorted hashes of frequent words, which shuffle small; others by hash, even numbers."""
+    rare = (h | U(1 << 63)) & ~U(1)
     if not len(short):
-        return h | U(1 << 63)
+        return rare
     at = np.minimum(np.searchsorted(short, h), len(short) - 1)
-    return np.where(short[at] == h, at.astype(U), h | U(1 << 63))
+    return np.where(short[at] == h, at.astype(U), rare)
 
 
 def befores(row: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -140,21 +142,23 @@ def bucket_count(spark: SparkSession, total: int) -> int:
     return 2 * max(BUCKETS // 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BUCKET_WORDS)) + 1
 
 
-def summed_pairs(before: np.ndarray, word: np.ndarray, *counts: np.ndarray, of: np.ndarray | None = None) -> list[np.ndarray]:
-    """Pairs once each with the sums of their counts, ordered by of, if given, which a pair decides, and the pair."""
-    order = np.lexsort((word, before) if of is None else (word, before, of))
-    before, word = before[order], word[order]
-    new = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (word[1:] != word[:-1])])
-    return [before[new], word[new], *(np.add.reduceat(c[order], new) for c in counts)]
+def summed_pairs(before: np.ndarray, word: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """The keys of pairs, once each in order, the pairs and the sums of their counts."""
+    key = pair_key(before, word)
+    order = np.argsort(key)
+    key = key[order]
+    new = heads(key)
+    return [key[new], before[order[new]], word[order[new]], *(np.add.reduceat(c[order], new) for c in counts)]
 
 
 def packed_pairs(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
     """A row for each bucket with its pairs, sorted, and their counts."""
-    before, word, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    before, word, *counts = summed_pairs(before, word, *counts, of=pair_key(before, word).view(np.int64) % buckets)
-    bucket = pair_key(before, word).view(np.int64) % buckets
+    key, *columns = summed_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    bucket = key.view(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
     edges = [*heads(bucket), len(bucket)]
-    rows = [(int(bucket[i]), j - i, squeezed(np.diff(before[i:j], prepend=U(0)), word[i:j], *(c[i:j] for c in counts))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    rows = [(int(bucket[i]), j - i, squeezed(*(c[i:j] for c in columns))) for i, j in zip(edges[:-1], edges[1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "size", "packed"])
 
 
@@ -167,7 +171,7 @@ def count_pairs(batches: Iterator[pa.RecordBatch], short: Broadcast, buckets: in
             if len(w["hash"]):
                 word = coded(w["hash"], short.value)
                 target = b.column("target").to_numpy(zero_copy_only=False)[w["row"]].astype(np.int64)
-                held.append(tuple(summed_pairs(befores(w["row"], word), word, np.ones(len(word), np.int64), target)))
+                held.append((befores(w["row"], word), word, np.ones(len(word), np.int64), target))
                 size += len(held[-1][0])
             if size > HELD:
                 yield packed_pairs(held, buckets)
@@ -179,8 +183,7 @@ def count_pairs(batches: Iterator[pa.RecordBatch], short: Broadcast, buckets: in
 def sum_pairs(t: pa.Table) -> pa.Table:
     """The pairs of a bucket seen LEAST times or more with their counts."""
     parts = [opened(data, n, U, U, np.int64, np.int64) for data, n in zip(t.column("packed").to_pylist(), t.column("size").to_pylist(), strict=True)]
-    before, word, *counts = (np.concatenate(x) for x in zip(*((np.cumsum(p[0], dtype=U), *p[1:]) for p in parts), strict=True))
-    before, word, *counts = summed_pairs(before, word, *counts)
+    _, before, word, *counts = summed_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
     kept = counts[0] >= LEAST
     return pa.table([pa.array(x[kept]) for x in (before.view(np.int64), word.view(np.int64), *counts)], ["before", "word", "n", "n_target"])
 
@@ -235,9 +238,12 @@ def score_texts(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Broa
 
 def packed(text: np.ndarray, key: np.ndarray, c: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: the texts that have keys of it; the keys, sorted, as differences, with places in texts and counts."""
-    bucket, key = key % buckets, key // buckets
-    order = np.lexsort((key, bucket))
-    bucket, key, c = bucket[order], key[order], c[order].astype(np.int32)
+    # A word's own key and that of its context share the bucket and follow each other.
+    order = np.argsort(key)
+    order = order[np.argsort((key[order] >> 1) % buckets, kind="stable")]
+    key, c = key[order], c[order].astype(np.int32)
+    bucket = (key >> 1) % buckets
+    key = (key >> 1) // buckets * 2 + (key & 1)
     text, of = np.unique(text, return_inverse=True)
     of = of[order]
     edges = [*heads(bucket), len(bucket)]
@@ -256,7 +262,8 @@ def keys_to_join(batches: Iterator[pa.RecordBatch], short: Broadcast, table: Bro
         for b in blocks(batch, "text"):
             _, of, key, at = looked_up(b, short.value, table.value[0])
             of, key = of[at < 0], key[at < 0]
-            order = np.lexsort((key, of))
+            order = np.argsort(key)
+            order = order[np.argsort(of[order].astype(np.int32), kind="stable")]
             of, key = of[order], key[order]
             new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
             held.append((b.column("text_key").to_numpy()[of[new]], key[new].view(np.int64), np.diff(np.r_[new, len(key)])))
@@ -279,7 +286,8 @@ def joined(found: pa.Table, rest: pa.Table, buckets: int) -> pa.Table:
         if not len(listed):
             break
         key, of, c = opened(data, n, np.int64, np.int32, np.int32)
-        key = np.cumsum(key) * buckets + bucket
+        key = np.cumsum(key)
+        key = ((key >> 1) * buckets + bucket) * 2 + (key & 1)
         at = np.minimum(np.searchsorted(listed, key), len(listed) - 1)
         hit = listed[at] == key
         of, c = of[hit], c[hit]
@@ -309,7 +317,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, doc_id: str =
         rest = table.where(~frequent).select("key", *part)
         buckets = bucket_count(spark, total)
         found = slim.select("text_key", "text").mapInArrow(partial(keys_to_join, short=short, table=sent, buckets=buckets), "bucket long, size int, texts binary, packed binary")
-        rest = rest.withColumn("bucket", F.pmod("key", F.lit(buckets).cast("long")))
+        rest = rest.withColumn("bucket", F.pmod(F.shiftright("key", 1), F.lit(buckets).cast("long")))
         sums = found.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(lambda a, b: joined(a, b, buckets), "text_key long, target double, background double")
         more = sums.groupBy("text_key").agg(*(F.sum(k).alias(f"more_{k}") for k in part))
         more = written(more, "lm-more", kept=True)
