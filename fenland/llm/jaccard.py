@@ -5,11 +5,14 @@ into size bands [L, 2L) with L a power of two; a band's scheme also takes the se
 sets meet in a scheme. A scheme cuts the hashed feature domain into partitions and enumerates subsets of them:
 
 * L < SMALL: PartEnum with two levels, n2 = 3 partitions in each of n1 groups and k2 = 1: of n1 > k // 2 groups one at
-  least has a single difference, so one of its three 2-subsets of partitions agrees.
-* L >= SMALL: the subsets are single partitions (n2 = k2 + 1); of m non-void ones of a set at least t = m - k agree with
-  any linked set, so the first m - t + 1 in partition order are enough (pigeonhole).
-
-Void subsets would be one hot key; a set emits them only if its non-void subsets do not already prove a meeting.
+  least has a single difference, so one of its three 2-subsets of partitions agrees. d differences spoil at most
+  min(2 d, n1 + d) of the 3 n1 subsets.
+* L >= SMALL: the subsets are single partitions (n2 = k2 + 1), of which d differences spoil at most d.
+
+If at most x subsets can be spoilt, the first x + 1 in any order that all sets share are enough (pigeonhole): the first one
+that two linked sets have in common is among them in both. The order puts subsets with rare features first, so that passages
+which many texts share seldom make a group, and void ones last, which would be one hot key. What is rare is estimated on the
+features of about ORDERED texts; the estimate decides the order alone, so no link depends on it.
 Sets are keyed by a 64-bit digest, so equal sets are one node. The sets of a signature are paired while they are read if
 they are at most HOT. The sets of larger groups (hot sets) enumerate subsets of the finest partition, that of single
 features: two linked sets share enough features that, in any common order, an l-subset of the first features of both is
@@ -50,6 +53,8 @@ END = ("node", "n", "reach", "comp")
 #: Features in more than HOT hot sets whose counts are broadcast (16 bytes each), and open subsets broadcast at once; beyond,
 #: only more frequent features are told apart, and open subsets are taken in several passes.
 FREQUENT, OPEN = 1_000_000, 1_000_000
+#: Texts whose features are counted for the order of signatures; they are counted if ORDERED_LEAST of these have them.
+ORDERED, ORDERED_LEAST = 16_000, 3
 #: Signature rows that a task sorts at once to take the excess of hot groups out.
 SORTED = 1_000_000
 #: Groups are closed by classes of sizes, each CLASS times the one before.
@@ -117,9 +122,11 @@ def schemes(size: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         yield own, low, most
 
 
-def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Set (position) and signature."""
+def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Set (position) and signature. often: how frequent each feature is, the same for equal ones in all calls."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
+    often = np.zeros(len(h), np.int64) if often is None else often
+    never = np.iinfo(np.int32).max
     for own, low, most in schemes(size):
         k = np.full(len(size), -1, np.int64)
         k[own] = most
@@ -129,48 +136,64 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.nda
             continue
         top = (2 * low + 4 * 2 * low // 3) // 7
         salt = U(low * 2654435761)
-        if low < SMALL:
-            n1 = top // 2 + 2
-            cell = (mix(f + salt) % U(3 * n1)).astype(np.int64)
-        else:
-            n1 = max(top + 2, 8 * low // 10)
-            cell = (mix(f + salt) % U(n1)).astype(np.int64)
+        n1 = top // 2 + 2 if low < SMALL else max(top + 2, 8 * low // 10)
         width = 3 * n1 if low < SMALL else n1
+        cell = (mix(f + salt) % U(width)).astype(np.int64)
         order = np.argsort(r * width + cell, kind="stable")
         key, g = (r * width + cell)[order], mix(f[order] ^ U(0xD1B54A32D192ED03))
         at = heads(key)
-        cells, sums = key[at], np.add.reduceat(g, at)
+        # A subset's place in the order is that of its rarest feature.
+        cells, sums, rank = key[at], np.add.reduceat(g, at), np.minimum.reduceat(often[take][order], at)
         if low < SMALL:
             sets_here = np.unique(r)
-            dense = np.zeros((len(sets_here), n1, 3), U)
+            dense, rare = np.zeros((len(sets_here), n1, 3), U), np.full((len(sets_here), n1, 3), never)
             place = np.searchsorted(sets_here, cells // width)
             dense[place, (cells % width) // 3, cells % 3] = sums
-            void = dense == 0
-            parts, empty = [], []
-            for x, y in ((0, 1), (0, 2), (1, 2)):
-                parts.append(mix(dense[:, :, x] + mix(dense[:, :, y] + U(x * 3 + y + 1))))
-                empty.append(void[:, :, x] & void[:, :, y])
-            sig, none = np.stack(parts, 2), np.stack(empty, 2)
+            rare[place, (cells % width) // 3, cells % 3] = rank
+            pairs = ((0, 1), (0, 2), (1, 2))
+            sig = np.stack([mix(dense[:, :, x] + mix(dense[:, :, y] + U(x * 3 + y + 1))) for x, y in pairs], 2)
             sig = mix(sig + salt + np.arange(n1, dtype=U)[None, :, None] * U(0x9E3779B97F4A7C15) + np.arange(3, dtype=U)[None, None, :])
-            risky = none.any(2).sum(1) >= n1 - k[sets_here] // 2
-            emit = ~none | risky[:, None, None]
-            out.append((np.broadcast_to(sets_here[:, None, None], sig.shape)[emit], sig[emit]))
+            rank = np.stack([np.minimum(rare[:, :, x], rare[:, :, y]) for x, y in pairs], 2)
+            sig, rank = (x.reshape(len(sets_here), width) for x in (sig, rank))
+            first = np.argsort(rank, axis=1, kind="stable")
+            spoilt = np.minimum(2 * k[sets_here], n1 + k[sets_here])
+            emit = np.arange(width) <= spoilt[:, None]
+            out.append((np.broadcast_to(sets_here[:, None], sig.shape)[emit], np.take_along_axis(sig, first, 1)[emit]))
             continue
         of = cells // width
         sig = mix(sums + salt + (cells % width).astype(U) * U(0x9E3779B97F4A7C15))
         m = np.bincount(of, minlength=len(size))
-        spare = m - k  # t: signatures that any linked set shares
-        rank = np.arange(len(of)) - np.searchsorted(of, of)
-        emit = rank <= np.where(spare[of] > 0, k[of], m[of])
+        first = np.argsort(of * (int(rank.max()) + 1) + rank, kind="stable")
+        emit = first[np.arange(len(of)) - np.searchsorted(of, of) <= k[of]]
         out.append((of[emit], sig[emit]))
-        for s in np.unique(of[spare[of] <= 0]):
-            missing = np.setdiff1d(np.arange(n1), cells[of == s] % width).astype(U)
+        for s in np.unique(of[m[of] <= k[of]]):
+            missing = np.setdiff1d(np.arange(n1), cells[of == s] % width)[: k[s] + 1 - m[s]].astype(U)
             out.append((np.full(len(missing), s), mix(salt + missing * U(0x9E3779B97F4A7C15))))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, U)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+class Frequency:
+    """Counts of listed features (sorted), 0 for others."""
+
+    def __init__(self, listed: np.ndarray, count: np.ndarray) -> None:
+        self.listed, self.n = listed, count
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.low(listed)] = True
+
+    def low(self, h: np.ndarray) -> np.ndarray:
+        return (h & U(len(self.maybe) - 1)).astype(np.int64)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        some = np.flatnonzero(self.maybe[self.low(h)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.listed, h[some]), len(self.listed) - 1)
+            out[some] = np.where(self.listed[at] == h[some], self.n[at], 0)
+        return out
+
+
 class Dealer:
     """Rows (sig, node, ...) of a task, sorted and freed of repeated ones. Of a sig with more than HOT nodes here the first
     HOT + 1, which make its group known as hot, go to the group; the others are dealt at random, marked by another deal."""
@@ -203,8 +226,9 @@ class Dealer:
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (away, *columns)], ["deal", *self.names])
 
 
-def emit_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def emit_signatures(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterator[pa.RecordBatch]:
     """deal, sig: the signature, or for a node of a hot group that is dealt at random another deal than sig; node."""
+    often = Frequency(*frequent.value)
     rows = Dealer(["sig", "node"])
     for batch in batches:
         for b in blocks(batch, "text"):
@@ -212,7 +236,7 @@ def emit_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             copies = np.ones(len(size), bool)
             copies[np.unique(digest, return_index=True)[1]] = False
             size[copies] = 0  # the same node as one before it in this block
-            of, sig = signatures(row, h, size)
+            of, sig = signatures(row, h, size, often.of(h))
             yield from rows.add(sig.view(np.int64), digest[of].view(np.int64))
     yield from rows.rest()
 
@@ -334,16 +358,12 @@ def subsets(key: np.ndarray, n: int, opened: list[np.ndarray]) -> tuple[np.ndarr
 
 def emit_subsets(batches: Iterator[pa.RecordBatch], frequent: Broadcast, opened: Broadcast) -> Iterator[pa.RecordBatch]:
     """deal, sig, node, n, reach for each subset of a set's features that may be the first ones in common with a linked set."""
-    listed, count = frequent.value
+    often = Frequency(*frequent.value)
     rows = Dealer(["sig", "node", "n", "reach"])
     for batch in batches:
         for b in blocks(batch, "text"):
             row, h, size, digest = sets(b.column("text"))
-            often = np.zeros(len(h), np.int64)
-            if len(listed):
-                at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
-                often = np.where(listed[at] == h, count[at], 0)
-            h = h[np.lexsort((h, often, row))]
+            h = h[np.lexsort((h, often.of(h), row))]
             start = np.cumsum(size) - size
             if not opened.value:
                 place = np.arange(len(h)) - start[row]
@@ -422,11 +442,10 @@ def verified(pairs: DataFrame, slim: DataFrame, nodes: DataFrame, stars: bool =
     return first if rest.isEmpty() else first.union(compared(rest, slim, nodes))
 
 
-def frequent_features(spark: SparkSession, texts: DataFrame) -> Broadcast:
-    """Features of more than HOT of the texts and their counts, sorted: at most FREQUENT, the most frequent."""
+def frequent_features(spark: SparkSession, texts: DataFrame, least: int) -> Broadcast:
+    """Features of more than least of the texts and their counts, sorted: at most FREQUENT, the most frequent."""
     each = texts.mapInArrow(count_features, "feature long, n long")
-    count = written(each.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") > HOT), "jaccard-frequent")
-    least = HOT
+    count = written(each.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") > least), "jaccard-frequent")
     while count.where(F.col("n") > least).count() > FREQUENT:
         least *= 2
     found = count.where(F.col("n") > least).toArrow()
@@ -457,11 +476,14 @@ def open_rows(groups: DataFrame, comp: DataFrame) -> DataFrame:
 def linked_components(slim: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, comp) of the nodes that are linked with another."""
     spark = slim.sparkSession
-    pairs, large = meetings(slim.select("text").mapInArrow(emit_signatures, "deal long, sig long, node long"), "jaccard-met")
+    every = max(nodes.count() // ORDERED, 1)
+    some = written(nodes.where((F.col("n_shingles") > 0) & (F.pmod("node", F.lit(every)) == 0)).select("node").distinct(), "jaccard-ordered")
+    order = frequent_features(spark, texts_of(slim, nodes, some), ORDERED_LEAST - 1)
+    pairs, large = meetings(slim.select("text").mapInArrow(partial(emit_signatures, frequent=order), "deal long, sig long, node long"), "jaccard-met")
     wanted = written(large.select("node").distinct(), "jaccard-hot")
     if wanted.isEmpty():
         return connected_components(verified(pairs, slim, nodes))
-    frequent = frequent_features(spark, texts_of(slim, nodes, wanted))
+    frequent = frequent_features(spark, texts_of(slim, nodes, wanted), HOT)
     opened: list[list[np.ndarray]] = [[]]  # for each pass the keys of open subsets, by their size
     edges = comp = None
     kind = "deal long, sig long, node long, n int, reach int"

@@ -127,6 +127,30 @@ def test_jaccard_signatures_meet_for_random_sets():
             assert np.array_equal(np.sort(a), np.sort(b)) or set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (len(a), len(b))
 
 
+def test_jaccard_signatures_in_order_of_rarity():
+    """Linked sets meet in any order of their features, and a passage that all sets share makes no group."""
+    rng = np.random.default_rng(5)
+    for size in (3, 9, 20, 40, 63, 64, 90, 127, 130, 300, 700):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            b = a.copy()
+            while True:
+                c = np.delete(b, rng.integers(len(b))) if rng.random() < 0.5 and len(b) > 1 else np.r_[b, rng.integers(0, 2**63, 1).astype(np.uint64)]
+                if not jaccard.linked(len(np.intersect1d(a, c)), len(a), len(c)):
+                    break
+                b = c
+            n, h = np.array([len(a), len(b)]), np.r_[np.sort(a), np.sort(b)]
+            often = (h % np.uint64(7)).astype(np.int64) * (h % np.uint64(3) > 0)
+            of, sig = jaccard.signatures(np.repeat([0, 1], n), h, n, often)
+            assert np.array_equal(np.sort(a), np.sort(b)) or set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (len(a), len(b))
+    for size, common in ((40, 4), (100, 20), (300, 60)):
+        passage = rng.integers(0, 2**63, common).astype(np.uint64)
+        each = [np.sort(np.r_[passage, rng.integers(0, 2**63, size - common).astype(np.uint64)]) for _ in range(100)]
+        h = np.concatenate(each)
+        of, sig = jaccard.signatures(np.repeat(np.arange(100), size), h, np.full(100, size), np.isin(h, passage) * 100)
+        assert np.unique(sig, return_counts=True)[1].max() <= jaccard.HOT, size
+
+
 def test_meetings_stream_in_any_batches():
     rng = np.random.default_rng(1)
     for _ in range(200):
