@@ -1,7 +1,9 @@
 """Phrase collocation mining (operator 11): frequent phrases of 2 to 5 words and how far their words attract one another.
 
 Texts are cut at sentence marks into pieces, pieces at blanks into words; everything is counted per language. Words are counted
-first. Then, for 2 to 5 words, one length after the other:
+first. Then texts are written once as the places of their frequent words, in runs that no other word and no sentence mark
+interrupts, as no frequent phrase has another word; the steps below read these instead of texts. For 2 to 5 words, one length
+after the other:
 
 * Candidates. A phrase is safe if both phrases of one word less in it are frequent. A chunk of about CHUNK words or a task, with
   the share q of a language's words, reports the safe phrases that occur ceil(SUPPORT * q) times in it. The counts of the chunks
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import scratch, written
-from .kernel import BLOCK, LOWER, SPACE, U, blocks, mix, words
+from .common import arrow_rows, scratch, written
+from .kernel import BLOCK, LOWER, SPACE, U, blocks, mix, opened, squeezed, words
 from .tokens import spread
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
@@ -32,6 +34,8 @@ SUPPORT, LONGEST, TOP = 100, 5, 2000
 CHUNK, SHARD, TRIES = 2_500_000, 400_000, 4
 #: Distinct words that a task counts before it sends them on, and frequent words that are broadcast (8 bytes each).
 HELD, KNOWN = 400_000, 4_000_000
+#: Words of texts that are handled at once, and rows of coded texts (a block's words of a language each) handed to Python.
+AT_ONCE, ROWS = 500_000, 200
 #: Bytes that end a piece, and those that end a word.
 PIECE = np.zeros(256, bool)
 PIECE[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -109,23 +113,76 @@ def placed(key: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return np.where(letters[at] == key, at, -1)
 
 
-def shorter(key: np.ndarray, piece: np.ndarray, level: int, known: np.ndarray | None, tries: list) -> np.ndarray:
+def coded(batches: Iterator[pa.RecordBatch], known: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(lh, words, size, packed) for each language of a block: all its words, and of size frequent ones the places in known and
+    whether a run begins. Runs of one word are left out."""
+    for batch in batches:
+        for b in blocks(batch, "text", 4 * BLOCK):
+            w, key, piece = keyed(b)
+            if not len(key):
+                continue
+            code = placed(key, known.value)
+            names, of, every = np.unique(b.column("lh").to_numpy()[w["row"]], return_inverse=True, return_counts=True)
+            run = np.cumsum(np.r_[False, (piece[1:] != piece[:-1]) | (code[1:] < 0) | (code[:-1] < 0)])
+            kept = np.flatnonzero((code >= 0) & (np.bincount(run)[run] > 1))
+            rows = []
+            for i in range(len(names)):
+                at = kept[of[kept] == i]
+                new = np.diff(run[at], prepend=-1) != 0
+                rows.append((int(names[i]), int(every[i]), len(at), squeezed(code[at].astype(np.int32), new.astype(np.uint8))))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["lh", "words", "size", "packed"])
+
+
+def streams(batches: Iterator[pa.RecordBatch], known: np.ndarray | None, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts, or where known is given of rows of coded: keys, places in known, pieces and languages of words, and the number of
+    all words of each language. Languages are places in names."""
+    for batch in batches:
+        if known is None:
+            for b in blocks(batch, "text", 4 * BLOCK):
+                w, key, piece = keyed(b)
+                if len(key):
+                    lang = np.searchsorted(names, b.column("lh").to_numpy())[w["row"]]
+                    yield key, None, piece, lang, np.bincount(lang, minlength=len(names))
+            continue
+        lang, every, size = (batch.column(c).to_numpy() for c in ("lh", "words", "size"))
+        lang = np.searchsorted(names, lang)
+        part = np.cumsum(every) // AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(every)] if len(every) else []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            code, new = (np.concatenate(x) for x in zip(*(opened(batch.column("packed")[k].as_py(), int(size[k]), np.int32, np.uint8) for k in range(i, j)), strict=True))
+            yield known[code], code, np.cumsum(new, dtype=np.int64), np.repeat(lang[i:j], size[i:j]), np.bincount(lang[i:j], weights=every[i:j], minlength=len(names)).astype(np.int64)
+
+
+class Letters:
+    """Places of words among a trie's; those of all known words are looked up once."""
+
+    def __init__(self, letters: np.ndarray, known: np.ndarray | None) -> None:
+        self.letters = letters
+        self.of_known = None if known is None else placed(known, letters).astype(np.int32)
+
+    def of(self, key: np.ndarray, code: np.ndarray | None) -> np.ndarray:
+        return placed(key, self.letters) if code is None else self.of_known[code].astype(np.int64)
+
+
+def shorter(key: np.ndarray, code: np.ndarray | None, piece: np.ndarray, level: int, tries: list, letters: list[Letters]) -> np.ndarray:
     """For each position a number of the frequent phrase of level - 1 words there, or -1."""
     if level == 2:
-        return placed(key, known) if known is not None else np.unique(key, return_inverse=True)[1]
+        return np.unique(key, return_inverse=True)[1] if code is None else code.astype(np.int64)
     state = np.full(len(key), -1)
-    for number, letters, base, check, often in tries:
-        *_, (at, t) = walked(placed(key, letters), piece, base, check, level - 1)
+    for (number, _, base, check, often), places in zip(tries, letters, strict=True):
+        *_, (at, t) = walked(places.of(key, code), piece, base, check, level - 1)
         on = often[t]
         state[at[on]] = t[on] + (number << 32)
     return state
 
 
-def searched(key: np.ndarray, piece: np.ndarray, lang: np.ndarray, state: np.ndarray, level: int, both: bool, totals: np.ndarray, support: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def searched(key: np.ndarray, piece: np.ndarray, lang: np.ndarray, state: np.ndarray, level: int, both: bool, totals: np.ndarray, support: int, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The phrases of level words that a chunk reports. lang: places in totals, the words of each language; state as of shorter.
     (lang, words, excess): first for each language of the chunk the most that a phrase not reported may occur, without words;
-    then the phrases reported, and by how much they pass that. both: states of all frequent phrases are known."""
-    own = np.bincount(lang, minlength=len(totals))
+    then the phrases reported, and by how much they pass that. both: states of all frequent phrases are known. own: the words of
+    each language in the chunk, where not all of them are given."""
+    own = np.bincount(lang, minlength=len(totals)) if own is None else own
     slack = -(-support * own // np.maximum(totals, 1)) - 1
     here = np.flatnonzero(own)
     yield here, np.zeros((len(here), 0), U), slack[here]
@@ -154,37 +211,34 @@ def searched(key: np.ndarray, piece: np.ndarray, lang: np.ndarray, state: np.nda
 def discover(batches: Iterator[pa.RecordBatch], level: int, known: Broadcast | None, tries: Broadcast | None, both: bool, languages: Broadcast, support: int, chunk: int) -> Iterator[pa.RecordBatch]:
     """(lh, w1 .. w5, excess) of searched, for each chunk of the task; the last one has up to two chunks."""
     names, totals = languages.value
+    listed = None if known is None else known.value
+    letters = [] if tries is None else [Letters(x[1], listed) for x in tries.value]
     held: list[tuple[np.ndarray, ...]] = []
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        key, piece, lang, state = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, piece, lang, state = (np.concatenate(x) for x in list(zip(*held, strict=True))[:4])
         if level == 2 and known is None:
             state = np.unique(key, return_inverse=True)[1]
-        for of, grams, excess in searched(key, piece, lang, state, level, both, totals, support):
+        for of, grams, excess in searched(key, piece, lang, state, level, both, totals, support, sum(x[4] for x in held)):
             columns = [pa.array(names[of]), *(pa.array(np.ascontiguousarray(grams[:, j]).view(np.int64)) if j < grams.shape[1] else pa.nulls(len(of), pa.int64()) for j in range(LONGEST)), pa.array(excess.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["lh", *WORDS, "excess"])
 
     last, size = 0, 0
-    for batch in batches:
-        for b in blocks(batch, "text", 4 * BLOCK):
-            w, key, piece = keyed(b)
-            if not len(key):
-                continue
-            state = shorter(key, piece, level, None if known is None else known.value, [] if tries is None else tries.value)
-            lang = np.searchsorted(names, b.column("lh").to_numpy())[w["row"]]
-            # Pieces of one block never continue in the next one.
-            piece = np.cumsum(np.r_[True, piece[1:] != piece[:-1]]) + last
-            last = int(piece[-1])
-            held.append((key, piece.astype(np.int32), lang.astype(np.int16), state))
-            size += len(key)
-            if size >= 2 * chunk:
-                rest: list[tuple[np.ndarray, ...]] = []
-                while len(held) > 1 and size > chunk:
-                    rest.append(held.pop())
-                    size -= len(rest[-1][0])
-                yield from flushed()
-                held = rest[::-1]
-                size = sum(len(x[0]) for x in held)
+    for key, code, piece, lang, own in streams(batches, listed, names):
+        state = shorter(key, code, piece, level, [] if tries is None else tries.value, letters)
+        # Pieces of one block never continue in the next one.
+        piece = np.cumsum(np.r_[True, piece[1:] != piece[:-1]][: len(piece)]) + last
+        last = int(piece[-1]) if len(piece) else last
+        held.append((key, piece.astype(np.int32), lang.astype(np.int16), state, own))
+        size += int(own.sum())
+        if size >= 2 * chunk:
+            rest: list[tuple[np.ndarray, ...]] = []
+            while len(held) > 1 and size > chunk:
+                rest.append(held.pop())
+                size -= int(rest[-1][4].sum())
+            yield from flushed()
+            held = rest[::-1]
+            size = sum(int(x[4].sum()) for x in held)
     if held:
         yield from flushed()
 
@@ -265,14 +319,15 @@ def accepted(key: np.ndarray, piece: np.ndarray, letters: np.ndarray, base: np.n
     return counts
 
 
-def count_states(batches: Iterator[pa.RecordBatch], tries: Broadcast, level: int) -> Iterator[pa.RecordBatch]:
+def count_states(batches: Iterator[pa.RecordBatch], tries: Broadcast, level: int, known: Broadcast | None, languages: Broadcast) -> Iterator[pa.RecordBatch]:
+    """How often the states of level words are reached."""
+    listed = None if known is None else known.value
+    letters = [Letters(x[1], listed) for x in tries.value]
     counts = [np.zeros(len(check), np.int64) for _, _, _, check, _ in tries.value]
-    for batch in batches:
-        for b in blocks(batch, "text", 4 * BLOCK):
-            _, key, piece = keyed(b)
-            if len(key):
-                for c, (_, *arrays, _) in zip(counts, tries.value, strict=True):
-                    c += accepted(key, piece, *arrays, level)
+    for key, code, piece, *_ in streams(batches, listed, languages.value[0]):
+        for c, (_, _, base, check, _), places in zip(counts, tries.value, letters, strict=True):
+            *_, (_, state) = walked(places.of(key, code), piece, base, check, level)
+            c += np.bincount(state, minlength=len(check))
     for c, (number, *_) in zip(counts, tries.value, strict=True):
         slot = np.flatnonzero(c)
         for a in range(0, len(slot), 100_000):
@@ -302,13 +357,16 @@ def phrase_counts(docs: DataFrame, lang: str, text: str, support: int) -> tuple[
         known = spark.sparkContext.broadcast(np.sort(frequent.select("h").toArrow()["h"].to_numpy().view(U)))
     send, slim = spark.sparkContext.broadcast, slim.select("lh", "text")
     of, phrases, groups = send((names, totals)), None, [None]
+    if known is not None:
+        slim = written(slim.mapInArrow(partial(coded, known=known), "lh long, words long, size int, packed binary"), "coded")
     wide = ", ".join(f"{c} long" for c in ("lh", *WORDS))
     for level in range(2, LONGEST + 1):
         found, both = None, len(groups) == 1 and (level > 2 or known is not None)
         for tries in groups:
             part = slim.mapInArrow(partial(discover, level=level, known=known, tries=None if tries is None else send(tries), both=both or level == 2, languages=of, support=support, chunk=CHUNK), wide + ", excess long")
             found = part if found is None else found.union(part)
-        found = written(found.groupBy("lh", *WORDS).agg(F.sum("excess").alias("excess")), "discovered")
+        with arrow_rows(spark, 10_000 if known is None else ROWS):
+            found = written(found.groupBy("lh", *WORDS).agg(F.sum("excess").alias("excess")), "discovered")
         # Each pass over the tries has had all chunks.
         slack = found.where("w1 is null").select("lh", (F.col("excess") / len(groups)).cast("long").alias("slack"))
         candidates = found.where("w1 is not null").join(slack, "lh").where(F.col("excess") + F.col("slack") >= support).select("lh", *WORDS, "excess", F.lit(True).alias("new"))
@@ -331,8 +389,9 @@ def phrase_counts(docs: DataFrame, lang: str, text: str, support: int) -> tuple[
                 part = built.where(F.col("new") & mine).select("trie", "slot", F.col("excess").alias("a"))
             else:
                 sent = send(groups[-1])
-                part = slim.mapInArrow(partial(count_states, tries=sent, level=level), "trie long, slot long, n long").groupBy("trie", "slot").agg(F.sum("n").alias("a"))
-                part = written(part.join(built.where(F.col("new") & mine).select("trie", "slot"), ["trie", "slot"]).where(F.col("a") >= support), "counts")
+                part = slim.mapInArrow(partial(count_states, tries=sent, level=level, known=known, languages=of), "trie long, slot long, n long").groupBy("trie", "slot").agg(F.sum("n").alias("a"))
+                with arrow_rows(spark, 10_000 if known is None else ROWS):
+                    part = written(part.join(built.where(F.col("new") & mine).select("trie", "slot"), ["trie", "slot"]).where(F.col("a") >= support), "counts")
                 sent.destroy()
             slots = part.select("trie", "slot").toArrow()
             number, slot = slots["trie"].to_numpy(), slots["slot"].to_numpy()

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import scratch, sized_join, text_key, written
-from .kernel import BLOCK, U, blocks, heads, mix, words
+from .kernel import BLOCK, U, blocks, heads, mix, opened, squeezed, words
 
 WORD_SHARE, PAIR_SHARE, LEAST, DISCOUNT = 1e-5, 1e-6, 2, 0.75
 #: Counts that a task holds before it sends them on.
@@ -124,19 +124,6 @@ def coded_words(batches: Iterator[pa.RecordBatch], short: Broadcast) -> Iterator
         yield batch.set_column(0, "key", pa.array(key))
 
 
-def squeezed(*columns: np.ndarray) -> bytes:
-    """Numbers by planes, the first bytes of all, then the second ones and so on: those of small numbers compress to nothing."""
-    return pa.compress(b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns), codec="zstd", asbytes=True)
-
-
-def opened(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
-    """The columns of n numbers each that squeezed was given."""
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    flat = np.frombuffer(pa.decompress(data, decompressed_size=n * sum(sizes), codec="zstd"), np.uint8)
-    ends = np.cumsum([0, *sizes]) * n
-    return [np.ascontiguousarray(flat[a:b].reshape(size, n).T).view(k).ravel() for a, b, size, k in zip(ends[:-1], ends[1:], sizes, kinds, strict=True)]
-
-
 def bucket_count(spark: SparkSession, total: int) -> int:
     """Buckets of keys for so many words; an odd number, so that both words of a pair decide."""
     return 2 * max(BUCKETS // 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BUCKET_WORDS)) + 1

@@ -116,3 +116,33 @@ def test_odd_tables(spark):
     rows = [(None, None, None), (1, "en", ""), (1, "en", "a" * 200_000), (2, None, "x y " * 3)]
     got = co.collocations(spark.createDataFrame(rows, SCHEMA).withColumn("score", co.F.lit(None).cast("int")), support=2)
     assert [tuple(x) for x in got.orderBy("rank").collect()] == plain([x[1:] for x in rows], 2, 2000)
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_coded_texts_keep_all_runs_of_frequent_words():
+    """What is read again instead of texts: per language the same runs of frequent words, and the number of all words."""
+    rows = [x[1:] for x in corpus(4, 300)]
+    names = {x: i - 2 for i, x in enumerate(("en", "de", None, ""))}
+    batch = co.pa.RecordBatch.from_arrays([co.pa.array([names[x] for x, _ in rows], co.pa.int64()), co.pa.array([t or "" for _, t in rows])], ["lh", "text"])
+    every = list(co.streams([batch], None, np.arange(-2, 2)))
+    key = np.concatenate([x[0] for x in every])
+    found, n = np.unique(key, return_counts=True)
+    known = found[n >= 40]
+    assert 0 < len(known) < len(found)
+    want, all_words = Counter(), sum(x[4] for x in every)
+    for key, _, piece, lang, _ in every:
+        run = np.cumsum(np.r_[True, (piece[1:] != piece[:-1]) | ~np.isin(key[1:], known) | ~np.isin(key[:-1], known)])
+        for r in np.split(np.arange(len(key)), np.flatnonzero(np.diff(run)) + 1):
+            if len(r) > 1:
+                want[int(lang[r[0]]), tuple(key[r].tolist())] += 1
+    got, words = Counter(), 0
+    for key, code, piece, lang, own in co.streams(co.coded([batch], Sent(known)), known, np.arange(-2, 2)):
+        assert np.array_equal(known[code], key)
+        words += own
+        for r in np.split(np.arange(len(key)), np.flatnonzero(np.diff(piece)) + 1):
+            got[int(lang[r[0]]), tuple(key[r].tolist())] += 1
+    assert got == want and np.array_equal(words, all_words)
