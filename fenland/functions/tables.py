@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PLANNED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 #: Folders that each open scratch has to drop, the innermost last.
 SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("fenland_scratch", default=())
 
@@ -58,10 +59,29 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder; kept: it outlives the scratch in which it is written."""
+@contextmanager
+def broadcasts_measured(spark: SparkSession) -> Iterator[None]:
+    """Sides of joins that run inside are broadcast by the bytes that their shuffle has counted, up to the session's threshold,
+    or where the code says so; not by the size of files, as cells compress to a byte or less a row and take a hundred when
+    they are broadcast, all of them in the driver."""
+    planned, measured = spark.conf.get(PLANNED), spark.conf.get(MEASURED, None)
+    spark.conf.set(MEASURED, measured or planned)
+    spark.conf.set(PLANNED, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(PLANNED, planned)
+        if measured is None:
+            spark.conf.unset(MEASURED)
+        else:
+            spark.conf.set(MEASURED, measured)
+
+
+def written(df: DataFrame, name: str, kept: bool = False, measured: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder; kept: it outlives the scratch in which it is written; measured: its joins are
+    as of broadcasts_measured."""
     path = new_folder(df.sparkSession, name)
-    with shuffles_dropped(df.sparkSession):
+    with shuffles_dropped(df.sparkSession), broadcasts_measured(df.sparkSession) if measured else nullcontext():
         df.write.parquet(path)
     if of := SCRATCH.get()[: -1 if kept else None]:
         of[-1].append(path)

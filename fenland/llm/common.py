@@ -7,7 +7,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fenland.functions.tables import new_folder, scratch, shared_dir, written
+from fenland.functions import tables
+from fenland.functions.tables import new_folder, scratch, shared_dir
 
 __all__ = ["BROADCAST_ROWS", "arrow_rows", "host_of", "new_folder", "scratch", "shared_dir", "sized_join", "small", "table", "text_key", "within_bytes", "written"]
 
@@ -17,6 +18,11 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """As of tables; the large joins here are sized ones, the others are left to Spark."""
+    return tables.written(df, name, kept, measured=False)
+
+
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """left join right; right is broadcast if it has at most limit rows (counted here unless given): fewer for wide rows.
 

@@ -197,11 +197,11 @@ def paint_orders(chains: DataFrame, orders: DataFrame, grid: DataFrame) -> DataF
     cells = written(chains.join(orders.select("site_id", "seg", "ord"), ["site_id", "seg"]).select(*KEYS, "ord"), "painted")
     parts = None
     for i in sorted(x[0] for x in cells.select("ord").distinct().collect()):
-        part = dilate(bwmorph_diag(cells.where(F.col("ord") == i)), i, grid).withColumn("ord", F.lit(i))
+        part = dilate(bwmorph_diag(cells.where(F.col("ord") == i)), i).withColumn("ord", F.lit(i))
         parts = part if parts is None else parts.union(part)
     if parts is None:
         return cells
-    return parts.groupBy(*KEYS).agg(F.max("ord").alias("ord"))
+    return written(parts.groupBy(*KEYS).agg(F.max("ord").alias("ord")).join(grid.select(*KEYS), KEYS, "left_semi"), "order-cells")
 
 
 def snap(points: DataFrame, anchors: DataFrame, square: int = 8) -> DataFrame:
@@ -255,7 +255,7 @@ def apply_corrections(orders_cells: DataFrame, skel: DataFrame, corrections: Dat
     """order cells with the orders of corrections(site_id, id, r1, c1, r2, c2, new_order) on the shortest path between their
     snapped ends: the cells whose distances to both ends add up to the least sum. Later ids win."""
     path = correction_paths(skel, corrections, anchors).groupBy(*KEYS).agg(F.max_by("new_order", "id").alias("new_order"))
-    return orders_cells.select(*KEYS, "ord").join(path, KEYS, "full").select(*KEYS, F.coalesce("new_order", "ord").alias("ord"))
+    return written(orders_cells.select(*KEYS, "ord").join(path, KEYS, "full").select(*KEYS, F.coalesce("new_order", "ord").alias("ord")), "corrected-cells")
 
 
 def corrected_segments(skel: DataFrame, corrections: DataFrame, anchors: DataFrame) -> DataFrame:
