@@ -1,18 +1,15 @@
 """No side of a join goes through the driver for the size of its files: cells compress to a byte or less a row."""
 
-from functools import reduce
-
 import pytest
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from fenland.functions.tables import MEASURED, PLANNED, written
 from fenland.operators import network
-from fenland.plans import registry
 
 #: Bytes up to which a side is broadcast here; of cells that is at most MOST rows, in files it would be tens of times as many.
 BYTES = 200_000
 MOST = BYTES // 24
-SITES = 250
+SITES = 400
 
 
 @pytest.fixture
@@ -43,19 +40,19 @@ def largest_broadcast(spark, run):
     return most
 
 
-def cells_of(spark, parts, rows=40, cols=40):
+def cells_of(spark, parts):
     """written(site_id, r, c) of SITES sites alike, by (r, c) of one."""
-    one = spark.createDataFrame([(r, c) for r, c in parts if r < rows and c < cols], "r long, c long")
+    one = spark.createDataFrame(sorted(parts), "r long, c long")
     return written(spark.range(SITES).withColumnRenamed("id", "site_id").crossJoin(one).repartition(4, "site_id").sortWithinPartitions("site_id", "r", "c"), "sites")
 
 
 def grid(spark):
-    return cells_of(spark, [(r, c) for r in range(12) for c in range(40)], 12)
+    return cells_of(spark, [(r, c) for r in range(12) for c in range(40)])
 
 
 def crossing(spark):
-    """A line along row 5 that two lines leave, in every site."""
-    return cells_of(spark, {(5, c) for c in range(1, 39)} | {(r, 12) for r in range(6, 11)} | {(r, 25) for r in range(1, 5)})
+    """A line along row 5 that forks, in every site."""
+    return cells_of(spark, {(5, c) for c in range(1, 21)} | {(4 - i, 21 + i) for i in range(4)} | {(6 + i, 21 + i) for i in range(5)})
 
 
 def network_of(spark):
@@ -66,9 +63,16 @@ def network_of(spark):
 
 
 def test_painting_broadcasts_no_grid(spark, threshold):
-    chains = written(crossing(spark).withColumn("seg", F.lit(1)), "chains")
+    chains = written(crossing(spark).where("r = 5").withColumn("seg", F.lit(1)), "chains")
     orders = chains.select("site_id", "seg").distinct().withColumn("ord", F.lit(1))
     found = []
     assert largest_broadcast(spark, lambda: found.append(network.paint_orders(chains, orders, grid(spark)).count())) <= MOST
-    one = {(r + i, c + j) for r, c in {(5, c) for c in range(1, 39)} | {(r, 12) for r in range(6, 11)} | {(r, 25) for r in range(1, 5)} for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))}
-    assert found == [SITES * len({(r, c) for r, c in one if 0 <= r < 12 and 0 <= c < 40})]
+    assert found == [SITES * (22 + 2 * 20)]
+
+
+def test_contraction_broadcasts_no_skeleton(spark, threshold):
+    skel = crossing(spark)
+    z = written(grid(spark).withColumn("z", F.col("c") * 1.0), "z")
+    found = []
+    assert largest_broadcast(spark, lambda: found.append(network.segment_graph(skel, z, skel.where("c = 1"))[2].count())) <= MOST
+    assert found == [SITES * 3]
