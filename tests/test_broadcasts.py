@@ -76,3 +76,11 @@ def test_contraction_broadcasts_no_skeleton(spark, threshold):
     found = []
     assert largest_broadcast(spark, lambda: found.append(network.segment_graph(skel, z, skel.where("c = 1"))[2].count())) <= MOST
     assert found == [SITES * 3]
+
+
+def test_outlets_broadcast_no_border(spark, threshold):
+    skel = crossing(spark)
+    z = written(grid(spark).withColumn("z", F.col("c") * 1.0), "z")
+    found = []
+    assert largest_broadcast(spark, lambda: found.append([written(x, "outlets").count() for x in network.outlets(skel, z.where("r % 2 = 0"), 1, 12, 40)])) <= MOST
+    assert found[0][1] == SITES
