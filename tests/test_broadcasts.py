@@ -84,3 +84,10 @@ def test_outlets_broadcast_no_border(spark, threshold):
     found = []
     assert largest_broadcast(spark, lambda: found.append([written(x, "outlets").count() for x in network.outlets(skel, z.where("r % 2 = 0"), 1, 12, 40)])) <= MOST
     assert found[0][1] == SITES
+
+
+def test_lengths_broadcast_no_chains(spark, threshold):
+    _, _, chains, segments, orders = network_of(spark)
+    found = []
+    assert largest_broadcast(spark, lambda: found.append(written(network.segment_lengths(chains, segments, orders), "lengths").count())) <= MOST
+    assert found == [orders.select("site_id", "final").distinct().count()]
