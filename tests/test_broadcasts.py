@@ -91,3 +91,15 @@ def test_lengths_broadcast_no_chains(spark, threshold):
     found = []
     assert largest_broadcast(spark, lambda: found.append(written(network.segment_lengths(chains, segments, orders), "lengths").count())) <= MOST
     assert found == [orders.select("site_id", "final").distinct().count()]
+
+
+def corrections_of(skel):
+    return skel.select("site_id").distinct().selectExpr("site_id", "1 AS id", "5 AS r1", "3 AS c1", "5 AS r2", "18 AS c2", "4 AS new_order")
+
+
+def test_corrections_broadcast_no_cells(spark, threshold):
+    skel = crossing(spark)
+    painted = skel.withColumn("ord", F.lit(1))
+    found = []
+    assert largest_broadcast(spark, lambda: found.append(network.apply_corrections(painted, skel, corrections_of(skel), skel).where("ord = 4").count())) <= MOST
+    assert found == [SITES * 16]
