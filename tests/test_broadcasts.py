@@ -103,3 +103,10 @@ def test_corrections_broadcast_no_cells(spark, threshold):
     found = []
     assert largest_broadcast(spark, lambda: found.append(network.apply_corrections(painted, skel, corrections_of(skel), skel).where("ord = 4").count())) <= MOST
     assert found == [SITES * 16]
+
+
+def test_corrected_segments_broadcast_no_cells(spark, threshold):
+    skel = crossing(spark)
+    found = []
+    assert largest_broadcast(spark, lambda: found.append(network.corrected_segments(skel, corrections_of(skel), skel).select("sinuous_len", "straight_len").distinct().collect())) <= MOST
+    assert [tuple(x) for x in found[0]] == [(15.0, 15.0)]
