@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fenland.functions.tables import MEASURED, PLANNED, written
 from fenland.operators import network
+from fenland.plans import registry
 
 #: Bytes up to which a side is broadcast here; of cells that is at most MOST rows, in files it would be tens of times as many.
 BYTES = 200_000
@@ -110,3 +111,13 @@ def test_corrected_segments_broadcast_no_cells(spark, threshold):
     found = []
     assert largest_broadcast(spark, lambda: found.append(network.corrected_segments(skel, corrections_of(skel), skel).select("sinuous_len", "straight_len").distinct().collect())) <= MOST
     assert [tuple(x) for x in found[0]] == [(15.0, 15.0)]
+
+
+@pytest.mark.parametrize("name", ("workload_morphometry",))
+def test_morphometry_broadcasts_no_grid(spark, name):
+    before = spark.conf.get(PLANNED)
+    spark.conf.set(PLANNED, "24000")
+    try:
+        assert largest_broadcast(spark, lambda: registry.queries()[name](spark, "/root/testdata/sf0.001").count()) <= 1000
+    finally:
+        spark.conf.set(PLANNED, before)
