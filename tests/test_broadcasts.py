@@ -113,7 +113,7 @@ def test_corrected_segments_broadcast_no_cells(spark, threshold):
     assert [tuple(x) for x in found[0]] == [(15.0, 15.0)]
 
 
-@pytest.mark.parametrize("name", ("workload_morphometry",))
+@pytest.mark.parametrize("name", ("workload_morphometry", "r10_corrected_morphometry"))
 def test_morphometry_broadcasts_no_grid(spark, name):
     before = spark.conf.get(PLANNED)
     spark.conf.set(PLANNED, "24000")
